@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.llm import batch_dedup
+from strandline.llm import batch_dedup, source_files
 from strandline.sources.tables import table
 
 
@@ -22,8 +22,18 @@ def p5_inserted(spark: SparkSession, d: str) -> DataFrame:
     return said.join(runs, "run_id", "full").select("run_id", F.coalesce("fetched", F.lit(0)).cast("bigint").alias("fetched"), F.coalesce("inserted", F.lit(0)).cast("bigint").alias("inserted"), "reported")
 
 
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return source_files.not_hand_written(table(spark, d, "function_records"), table(spark, d, "libraries")).select("snapshot_id", "file_path")
+
+
+def p6_kinds(spark: SparkSession, d: str) -> DataFrame:
+    """Files by library and kind; hand_written are the files that remain."""
+    files = source_files.judged_files(table(spark, d, "function_records"), table(spark, d, "libraries"))
+    return files.groupBy("library_id", F.coalesce("kind", F.lit("hand_written")).alias("kind")).agg(F.count("*").alias("files"))
+
+
 def queries() -> dict:
-    return {"p5_found": p5_found, "p5_inserted": p5_inserted}
+    return {"p5_found": p5_found, "p5_inserted": p5_inserted, "p6_found": p6_found, "p6_kinds": p6_kinds}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -5,10 +5,28 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.llm import batch_dedup, source_files
+from strandline.llm import batch_dedup, pii, residue, source_files
 from strandline.sources.tables import table
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return pii.found(table(spark, d, "event_details"))
+
+
+def p2_redacted(spark: SparkSession, d: str) -> DataFrame:
+    return pii.with_placeholders(table(spark, d, "event_details")).select("id", "created_at", "message", "author")
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return residue.residue(table(spark, d, "event_details")).select("id").distinct()
+
+
+def p3_real_messages(spark: SparkSession, d: str) -> DataFrame:
+    """The events with a message that somebody wrote, one row each."""
+    events = table(spark, d, "event_details").where("trim(message) <> ''").groupBy("id").agg(F.min("created_at").alias("created_at"), F.min_by("message", "created_at").alias("message"))
+    return events.join(residue.residue(table(spark, d, "event_details")), "id", "left_anti")
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return batch_dedup.repeats(table(spark, d, "collected_events"))
 
@@ -33,7 +51,7 @@ def p6_kinds(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"p5_found": p5_found, "p5_inserted": p5_inserted, "p6_found": p6_found, "p6_kinds": p6_kinds}
+    return {"p2_found": p2_found, "p2_redacted": p2_redacted, "p3_found": p3_found, "p3_real_messages": p3_real_messages, "p5_found": p5_found, "p5_inserted": p5_inserted, "p6_found": p6_found, "p6_kinds": p6_kinds}
 
 
 def oracle_sql() -> dict[str, str]:

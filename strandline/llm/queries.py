@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.llm import batch_dedup, pii, residue, source_files
+from strandline.llm import batch_dedup, mixing, packing, pii, residue, source_files, tokens
+from strandline.session import checkpointed
 from strandline.sources.tables import table
 
 
@@ -50,8 +51,30 @@ def p6_kinds(spark: SparkSession, d: str) -> DataFrame:
     return files.groupBy("library_id", F.coalesce("kind", F.lit("hand_written")).alias("kind")).agg(F.count("*").alias("files"))
 
 
+def _sized(spark: SparkSession, d: str, *keep: str) -> DataFrame:
+    return checkpointed(tokens.with_tokens(table(spark, d, "documents"), ["doc_id", *keep]))
+
+
+def p7_packed(spark: SparkSession, d: str) -> DataFrame:
+    return packing.packed(_sized(spark, d), table(spark, d, "containers"))
+
+
+def p7_unused(spark: SparkSession, d: str) -> DataFrame:
+    return packing.unused(p7_packed(spark, d), table(spark, d, "containers"))
+
+
+def p8_repeats(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.repeats(_sized(spark, d, "source"), table(spark, d, "mix_targets"))
+
+
+def p8_shares(spark: SparkSession, d: str) -> DataFrame:
+    sized, targets = _sized(spark, d, "source"), table(spark, d, "mix_targets")
+    return mixing.shares(mixing.repeats(sized, targets), sized, targets)
+
+
 def queries() -> dict:
-    return {"p2_found": p2_found, "p2_redacted": p2_redacted, "p3_found": p3_found, "p3_real_messages": p3_real_messages, "p5_found": p5_found, "p5_inserted": p5_inserted, "p6_found": p6_found, "p6_kinds": p6_kinds}
+    more = {"p7_packed": p7_packed, "p7_unused": p7_unused, "p8_repeats": p8_repeats, "p8_shares": p8_shares}
+    return more | {"p2_found": p2_found, "p2_redacted": p2_redacted, "p3_found": p3_found, "p3_real_messages": p3_real_messages, "p5_found": p5_found, "p5_inserted": p5_inserted, "p6_found": p6_found, "p6_kinds": p6_kinds}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -3,8 +3,8 @@
 Sizes in tokens are counted once per document; a document larger than a container is cut into full pieces and a rest,
 no other is. Only the histogram (container, length, count) reaches the driver: at most one row per length up to the
 capacity, whatever the number of documents. There the lengths are placed longest first, each into the pack with the most
-room (the shortest pack) of those it fits, all packs of one pattern at a time; else new packs are opened. The patterns say
-for each length which ranks go to which packs, and each piece looks up its own rank in them.
+room (the shortest pack) of those it fits, all packs of one pattern at a time; else new packs are opened. The best of a few
+numbers of packs to begin with is kept (from the number that the total size needs). The patterns say for each length which ranks go to which packs, and each piece looks up its own rank in them.
 
 Ranks within a length are made without one task per length: rows are numbered per (container, length, salt) and moved by
 the counts of the smaller salts.
@@ -42,8 +42,18 @@ def pieces(sized: DataFrame, containers: DataFrame) -> DataFrame:
     return d.select("container_id", "doc_id", "piece", F.least(F.col("cap"), F.col("tokens") - F.col("piece") * F.col("cap")).cast("bigint").alias("size"))
 
 
-def shortest_pack_first(histogram: dict[int, int], capacity: int) -> list[tuple[int, tuple[int, ...]]]:
-    """(packs, lengths in a pack): the patterns for a histogram {length: count}."""
+def fewest_packs(histogram: dict[int, int], capacity: int, tries: int = 9) -> list[tuple[int, tuple[int, ...]]]:
+    """The best patterns of a few starts: from no pack, and from about as many empty packs as the total size needs.
+
+    With the packs open from the start, the shortest pack first keeps them level, so that little room is left in any.
+    """
+    least = max(-(-sum(k * n for k, n in histogram.items()) // capacity), sum(n for k, n in histogram.items() if 2 * k > capacity))
+    starts = [0, *(least + j * max(1, least // 400) for j in range(tries - 1))]
+    return min((shortest_pack_first(histogram, capacity, s) for s in starts), key=lambda found: sum(n for n, _ in found))
+
+
+def shortest_pack_first(histogram: dict[int, int], capacity: int, start: int = 0) -> list[tuple[int, tuple[int, ...]]]:
+    """(packs, lengths in a pack): the patterns for a histogram {length: count}, with start packs open from the first."""
     room: dict[int, list[tuple[int, tuple[int, ...]]]] = {}
     heap: list[int] = []
 
@@ -53,6 +63,8 @@ def shortest_pack_first(histogram: dict[int, int], capacity: int) -> list[tuple[
             heapq.heappush(heap, -free)
         room[free].append((count, pattern))
 
+    if start:
+        put(capacity, start, ())
     for length in sorted(histogram, reverse=True):
         left = histogram[length]
         while left and heap and -heap[0] >= length:
@@ -68,7 +80,7 @@ def shortest_pack_first(histogram: dict[int, int], capacity: int) -> list[tuple[
             left -= used
         if left:
             put(capacity - length, left, (length,))
-    return [(n, p) for f in sorted(room) for n, p in room[f]]
+    return [(n, p) for f in sorted(room) for n, p in room[f] if p]
 
 
 def slots(patterns: list[tuple[int, tuple[int, ...]]]) -> dict[int, np.ndarray]:
@@ -103,7 +115,7 @@ def packed(sized: DataFrame, containers: DataFrame, salts: int = SALTS) -> DataF
     histogram: dict[int, dict[int, int]] = {}
     for c, size, n in all_pieces.groupBy("container_id", "size").count().collect():  # at most one row per length
         histogram.setdefault(c, {})[size] = n
-    plan = spark.sparkContext.broadcast({c: slots(shortest_pack_first(h, caps[c])) for c, h in histogram.items()})
+    plan = spark.sparkContext.broadcast({c: slots(fewest_packs(h, caps[c])) for c, h in histogram.items()})
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in parts:

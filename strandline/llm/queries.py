@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.llm import batch_dedup, mixing, packing, pii, residue, source_files, tokens
+from strandline.llm import batch_dedup, mixing, packing, pii, reading, residue, source_files, tokens
 from strandline.session import checkpointed
 from strandline.sources.tables import table
 
@@ -72,8 +72,16 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.shares(mixing.repeats(sized, targets), sized, targets)
 
 
+def p9_levels(spark: SparkSession, d: str) -> DataFrame:
+    return reading.levels(table(spark, d, "documents"), table(spark, d, "reading_labels"))
+
+
+def p9_profile(spark: SparkSession, d: str) -> DataFrame:
+    return reading.profile(p9_levels(spark, d))
+
+
 def queries() -> dict:
-    more = {"p7_packed": p7_packed, "p7_unused": p7_unused, "p8_repeats": p8_repeats, "p8_shares": p8_shares}
+    more = {"p9_levels": p9_levels, "p9_profile": p9_profile, "p7_packed": p7_packed, "p7_unused": p7_unused, "p8_repeats": p8_repeats, "p8_shares": p8_shares}
     return more | {"p2_found": p2_found, "p2_redacted": p2_redacted, "p3_found": p3_found, "p3_real_messages": p3_real_messages, "p5_found": p5_found, "p5_inserted": p5_inserted, "p6_found": p6_found, "p6_kinds": p6_kinds}
 
 

@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandline.functions.ids import uuid_key
+from strandline.session import checkpointed
 
 #: Rows from which a key counts as heavy, and how many heavy keys are broadcast at most (the largest; others shuffle).
 HEAVY_ROWS = 200_000
@@ -39,14 +40,18 @@ def table_targets(df: DataFrame, deletions: DataFrame, table: str, ref_field: st
     return rows.join(log, "key", "left").select(F.lit(ref_field).alias("ref_field"), "key", F.coalesce(F.col("deleted_at") >= F.col("first_at"), F.lit(False)).alias("gone"), "first_at")
 
 
-def _split(rows: DataFrame, heavy: DataFrame, targets: DataFrame, on: list[str], how: str) -> DataFrame:
+def _split(rows: DataFrame, heavy: DataFrame | None, targets: DataFrame, on: list[str], how: str) -> DataFrame:
     """rows joined to targets: heavy keys by broadcast, all others by shuffle."""
+    if heavy is None:
+        return rows.join(targets, on, how)
     few = F.broadcast(targets.join(F.broadcast(heavy), on, "left_semi"))
     return rows.join(F.broadcast(heavy), on, "left_semi").join(few, on, how).unionByName(rows.join(F.broadcast(heavy), on, "left_anti").join(targets, on, how))
 
 
-def _heavy(cells: DataFrame, on: list[str], heavy_rows: int, max_heavy: int) -> DataFrame:
-    return cells.groupBy(*on).agg(F.sum("n").alias("n")).where(F.col("n") >= heavy_rows).orderBy(F.desc("n"), *on).limit(max_heavy).select(*on)
+def _heavy(cells: DataFrame, on: list[str], heavy_rows: int, max_heavy: int) -> DataFrame | None:
+    """The heavy keys, at most max_heavy rows; None if there are none."""
+    keys = checkpointed(cells.groupBy(*on).agg(F.sum("n").alias("n")).where(F.col("n") >= heavy_rows).orderBy(F.desc("n"), *on).limit(max_heavy).select(*on))
+    return None if keys.isEmpty() else keys
 
 
 def judged_cells(refs: DataFrame, targets: DataFrame, heavy_rows: int = HEAVY_ROWS, max_heavy: int = MAX_HEAVY) -> DataFrame:
@@ -54,7 +59,7 @@ def judged_cells(refs: DataFrame, targets: DataFrame, heavy_rows: int = HEAVY_RO
 
     refs has (ref_field, record_id, key, period, created_at), targets one row (ref_field, key, gone, first_at) a key.
     """
-    cells = refs.groupBy(*KEY, "period").agg(F.count("*").alias("n"), F.min("created_at").alias("lo"), F.max("created_at").alias("hi"), F.count("created_at").alias("dated"))
+    cells = checkpointed(refs.groupBy(*KEY, "period").agg(F.count("*").alias("n"), F.min("created_at").alias("lo"), F.max("created_at").alias("hi"), F.count("created_at").alias("dated")))
     known = targets.withColumn("known", F.lit(True))
     both = _split(cells, _heavy(cells, KEY, heavy_rows, max_heavy), known, KEY, "left")
     verdict = (
@@ -68,7 +73,7 @@ def judged_cells(refs: DataFrame, targets: DataFrame, heavy_rows: int = HEAVY_RO
 
 def orphan_records(refs: DataFrame, targets: DataFrame, heavy_rows: int = HEAVY_ROWS, max_heavy: int = MAX_HEAVY) -> DataFrame:
     """The references (ref_field, record_id, key, period) without a target, one row each."""
-    bad = judged_cells(refs, targets, heavy_rows, max_heavy).where("verdict <> 'none'")
+    bad = checkpointed(judged_cells(refs, targets, heavy_rows, max_heavy).where("verdict <> 'none'"))
     on = [*KEY, "period"]
     # a null period is a period of its own
     refs, bad = (x.withColumn("period", F.coalesce("period", F.lit("unknown"))) for x in (refs, bad))

@@ -130,7 +130,7 @@ PARSERS: dict[str, tuple[str, Callable[[str], Iterator[Found]]]] = {
     "cmake-find-package": (r"(^|/)CMakeLists\.txt$", cmake),
     "conan": (r"(^|/)conanfile\.txt$", conan),
     "foundry-soldeer": (r"(^|/)foundry\.toml$", foundry),
-    "git-submodule": (r"(^|/)\.gitmodules$", submodules),
+    "git-submodule": (r"(^|/)\.?gitmodules$", submodules),
     "go-mod": (r"(^|/)go\.mod$", go_mod),
     "gradle": (r"(^|/)build\.gradle(\.kts)?$", gradle),
     "maven-pom": (r"(^|/)pom\.xml$", maven),
@@ -141,8 +141,9 @@ PARSERS: dict[str, tuple[str, Callable[[str], Iterator[Found]]]] = {
 
 
 def discovered(spark: SparkSession, root: str) -> DataFrame:
-    """(path, content) of the manifests below a folder."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "{*.toml,*.txt,*.mod,*.xml,*.gradle,*.kts,*.json,.gitmodules}").load(root)
+    """(path, content) of the manifests below a folder. Spark's sources skip names with a leading dot, so a mirror keeps
+    .gitmodules as gitmodules, or hands its rows to ``dependencies`` itself."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "{*.toml,*.txt,*.mod,*.xml,*.gradle,*.kts,*.json,gitmodules}").load(root)
     return files.where(F.col("path").rlike("|".join(p for p, _ in PARSERS.values()))).select("path", F.decode("content", "UTF-8").alias("content"))
 
 

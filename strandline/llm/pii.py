@@ -33,7 +33,7 @@ DASHES = "‐‑‒–—−－﹣"
 
 _digit = "|".join(sorted(DIGIT_WORDS, key=len, reverse=True))
 SPELLED = re.compile(rf"(?<!\w)(?:{_digit}|\d)(?:[ ,.-]{{1,3}}(?:{_digit}|\d)){{6,15}}(?!\w)", re.I)
-MIXED = re.compile(r"[A-Za-z]\w*[Ͱ-ӿ]|[Ͱ-ӿ]\w*[A-Za-z]")
+MIXED = re.compile(r"[A-Za-z][\w.@+-]*[Ͱ-ӿ]|[Ͱ-ӿ][\w.@+-]*[A-Za-z]")
 AT = r"(?:[ \t]*[\[({<][ \t]*(?:at|@|arroba|ät)[ \t]*[\])}>][ \t]*|[ \t]+(?:at|AT|At|arroba|@)[ \t]+)"
 DOT = r"(?:[ \t]*[\[({<][ \t]*(?:dot|punkt|point|punto|\.)[ \t]*[\])}>][ \t]*|[ \t]+(?:dot|DOT|Dot|punkt|punto)[ \t]+|\.)"
 DISGUISED = re.compile(rf"(?<![\w./@+-])([A-Za-z][\w.+-]*)({AT})((?:[A-Za-z0-9](?:[\w-]*[A-Za-z0-9])?)(?:{DOT}[A-Za-z0-9](?:[\w-]*[A-Za-z0-9])?)+)(?![\w/@(-])", re.I)
@@ -127,7 +127,7 @@ class Normal:
         if not source.isascii():
             self._characters(source)
             if MIXED.search(self.text):
-                self.rewrite(re.compile(r"\w+"), self._latin)
+                self.rewrite(re.compile(r"[\w.@+-]+"), self._latin)
         low = self.text.lower()
         if sum(low.count(w) for w in DIGIT_WORDS) >= 6 and SPELLED.search(self.text):
             self.rewrite(SPELLED, self._digits)

@@ -123,6 +123,8 @@ def unfilled(text: str) -> bool:
         if SPOKEN.search(sentence):
             continue
         name = re.sub(r"[_.\s]+", " ", re.sub(r"^[^A-Za-z]+|(?<=\))s$|[^A-Za-z]+$", "", h)).strip().lower()
+        if h[0] == "<" and f"</{name}" in text.lower():
+            continue
         if h[0] in "[<" and not h.startswith(("[[", "<%")):
             known = re.fullmatch(rf"(?:your|insert|enter|add) .*|(?:{VALUE}|[a-z]+ name|[a-z]+ number)", name)
             if not known or (h[0] == "<" and CODE_NAME.search(sentence) and " " not in name and not re.fullmatch(VALUE, name)):

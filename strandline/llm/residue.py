@@ -31,6 +31,8 @@ ERROR = """
 internal server error|bad gateway|service unavailable|service temporarily unavailable|gateway timeout|gateway time-out|gateway timed out|not found|page not found|forbidden|unauthorized|unauthorised|access denied|permission denied|too many requests|rate limit exceeded|bad request|request timeout|request timed out|method not allowed|unknown error|gone|http error|error code|error|server error|web server is down|connection refused|connection reset
 the server met an unexpected condition|the server encountered an internal error|the server encountered an unexpected condition|the server could not complete your request|could not complete your request|the server is temporarily unable|temporarily unable to service your request|please try again later|try again later|try again|please contact the administrator|if you think this is a mistake|contact the operator|contact support|the page you asked for does not exist on this server|the page you requested|the page you are looking for|the requested url was not found|was not found on this server|does not exist on this server|does not exist|you do not have permission|you don't have permission to access|slow down and try again in|seconds
 we are down for maintenance|down for maintenance|and will be back soon|will be back soon|we'll be back|whoops|oops|sorry|something went wrong|on our end|our team of|is on it|incident|error establishing a database connection|the connection has timed out|the server at|is taking too long to respond|backend did not answer in time|upstream|no healthy upstream|api rate limit exceeded|api rate limit exceeded for this address|for this address|see the limits page|request id|request|node|ray|ray id|reference|your ip|blocked|cloud|edge|cache miss|traceback|templateerror while rendering block|while rendering|body|of page|status|detail|documentation|message|code|data|null|center|title|at|mirror|server
+your session has ended|your session has expired|your session timed out|session expired|sign in again|log in again|please sign in|please log in|login required|authentication required|to go on|to continue|go on|the page you are looking for may have been moved|the page you are looking for|may have been moved or never existed|may have been moved or deleted|may have been moved|may have been removed|or never existed|never existed|no longer available|is no longer available|back to start page|back to the start page|back to home page|back to the home page|back to home|go back|return to the home page|home page|start page|check the address|check the url|and try again|reload this page|refresh the page|retry|an error occurred|an unexpected error occurred|an error has occurred|unexpected error|internal error|application error|a server error|bad response|invalid response|invalid response from the upstream server|upstream server|upstream request timeout|upstream connect error|no server is available to handle this request|is currently unavailable|is currently overloaded|overloaded|at capacity|our servers are|currently unable to handle the request|unable to handle|not implemented|payload too large|request entity too large|precondition failed|conflict|length required|unprocessable entity|proxy error|proxy authentication required|dns error|host not found|this site can't be reached|took too long to respond|connection timed out|ssl handshake failed|origin is unreachable|quota exceeded|limit exceeded|try again in|minutes|the operator|the administrator|has been notified|we have been notified|our engineers|support team|resource|to view this resource|you do not have permission to view this resource|exception|stack trace|fatal error|undefined variable|on line|segmentation fault
+sitzung abgelaufen|ihre sitzung ist abgelaufen|bitte melden sie sich erneut an|erneut anmelden|die angeforderte seite gibt es nicht|gibt es nicht mehr|gibt es nicht|zurück zur startseite|startseite|ein fehler ist aufgetreten|es ist ein fehler aufgetreten|bitte warten|votre session a expiré|reconnectez-vous|veuillez vous reconnecter|retour à l'accueil|une erreur est survenue|su sesión ha caducado|su sesión ha expirado|vuelva a iniciar sesión|inicie sesión|volver al inicio|会话已过期|登录已过期|请重新登录|返回首页|页面出错|出错了|发生错误
 interner serverfehler|serverfehler|seite nicht gefunden|die seite wurde nicht gefunden|nicht gefunden|zugriff verweigert|der dienst ist derzeit nicht erreichbar|dienst nicht verfügbar|der server ist derzeit nicht erreichbar|bitte versuchen sie es später erneut|bitte versuchen sie es später noch einmal|versuchen sie es später|später erneut|fehler|wartungsarbeiten|zu viele anfragen|die angeforderte seite|existiert nicht
 erreur|une erreur interne est survenue|erreur interne du serveur|réessayez plus tard|veuillez réessayer plus tard|le service est momentanément indisponible|service indisponible|page introuvable|page non trouvée|accès refusé|accès interdit|trop de requêtes|la page demandée|n'existe pas|est introuvable|en maintenance
 error interno del servidor|error interno|página no encontrada|no se encontró la página|no encontrada|acceso denegado|servicio no disponible|el servicio no está disponible|inténtelo de nuevo más tarde|inténtalo más tarde|inténtelo más tarde|demasiadas solicitudes|vuelva a intentarlo|la página solicitada|no existe|se ha producido un error|ha ocurrido un error|temporalmente
@@ -48,12 +50,12 @@ attivare|abilita|per continuare|il tuo browser|ative o|para continuar|seu navega
 """
 FILLER = """
 lorem|ipsum|dolor|sit|amet|consectetur|consetetur|sadipscing|adipiscing|adipisicing|elit|elitr|sed|do|eiusmod|tempor|incididunt|ut|labore|et|dolore|magna|aliqua|aliquyam|enim|ad|minim|veniam|quis|nostrud|exercitation|ullamco|laboris|nisi|aliquip|ex|ea|commodo|consequat|duis|aute|irure|in|reprehenderit|voluptate|velit|esse|cillum|eu|fugiat|nulla|pariatur|excepteur|sint|occaecat|cupidatat|non|proident|sunt|culpa|qui|officia|deserunt|mollit|anim|id|est|laborum|diam|nonumy|eirmod|invidunt|erat|voluptua|vero|eos|accusam|justo|duo|dolores|rebum|stet|clita|kasd|gubergren|takimata|sanctus|at|no
-test|testing|test test|text|text text|text goes here|your text here|insert text here|some text|sample text|dummy text|dummy|sample paragraph|replace this|with your own text|with your own|your own text|your text|this sample|sample|edit this text|click here to edit|write something here|lorem text|filler|filler text|placeholder|placeholder text|this is a placeholder|this is a test|please ignore|ignore|tbd|to be determined|to be done|to be written|to be filled|todo|coming soon|content goes here|description goes here|foo|bar|foo bar|baz|qux|asdf|asdfgh|asdfghjkl|asdasd|qwerty|qwertz|qwe|xxx|xxxx|yyyy|zzzz|blah|bla|blah blah|abc|n/a|none|hello world|fixes|see|nnn
+test|testing|test test|text|text text|text goes here|your text here|insert text here|some text|sample text|dummy text|dummy|sample paragraph|replace this|with your own text|with your own|your own text|your text|this sample|sample|edit this text|click here to edit|write something here|lorem text|filler|filler text|placeholder|placeholder text|this is a placeholder|this is a test|please ignore|ignore|tbd|to be determined|to be done|to be written|to be filled|todo|coming soon|write a real description|write a description|write description|real description|before merging|before merge|before submitting|before you submit|add a description|add description here|delete this line|remove this line|change me|changeme|fill me in|to come|more to come|no description|no description provided|no message|empty|untitled|wip|content goes here|description goes here|foo|bar|foo bar|baz|qux|asdf|asdfgh|asdfghjkl|asdasd|qwerty|qwertz|qwe|xxx|xxxx|yyyy|zzzz|blah|bla|blah blah|abc|n/a|none|hello world|fixes|see|nnn
 beispieltext|blindtext|platzhalter|platzhaltertext|mustertext|hier steht später der text|hier steht der text|hier kommt der text|text folgt|beispiel|texto de ejemplo|texto de relleno|texto de prueba|texto de muestra|aquí va el texto|su texto aquí|texte d'exemple|texte de remplissage|texte factice|votre texte ici|texte à venir|faux texte|exemple de texte|testo segnaposto|testo di esempio|texto de exemplo|пример текста|текст заполнитель|здесь будет текст|рыба текст
 占位文本|占位符|示例文本|示例文字|此处填写|此处输入|这里是文本|测试测试|测试|填充文本|样例文本|待补充|在此输入|文字
 """
 FORM = """
-what does this pr do|what does this change do|what does this do|what changed|what|why|how|how was this tested|how has this been tested|how to test|testing|checklist|tests|docs|documentation|changelog|description|summary|motivation|motivation and context|context|related issue|related issues|related|issue|screenshots|type of change|steps to reproduce|expected behaviour|expected behavior|actual behaviour|actual behavior|expected result|actual result|environment|additional context|one or two sentences|link the issue|link to the issue|describe your changes|please describe|please fill in|fill in|breaking change|bug fix|new feature|version|was ist passiert|warum|beschreibung|zusammenfassung|description du changement|pourquoi|descripción|por qué|lista de control|notes|reviewers|risk|rollback
+what does this pr do|expected|actual|expected outcome|actual outcome|expectation|observed|impact|solution|problem|proposal|please fill in this form|please fill in below|fill in below|fill out|please fill out|replace this line|delete if not needed|delete as needed|optional|if applicable|yes|no|os|browser|what does this change do|what does this do|what changed|what|why|how|how was this tested|how has this been tested|how to test|testing|checklist|tests|docs|documentation|changelog|description|summary|motivation|motivation and context|context|related issue|related issues|related|issue|screenshots|type of change|steps to reproduce|expected behaviour|expected behavior|actual behaviour|actual behavior|expected result|actual result|environment|additional context|one or two sentences|link the issue|link to the issue|describe your changes|please describe|please fill in|fill in|breaking change|bug fix|new feature|version|was ist passiert|warum|beschreibung|zusammenfassung|description du changement|pourquoi|descripción|por qué|lista de control|notes|reviewers|risk|rollback
 """
 CLASSES = {"error": ERROR, "script": SCRIPT, "filler": FILLER}
 
@@ -62,11 +64,11 @@ VALUE = r"(?:first ?name|last ?name|full ?name|user ?name|name|vorname|nachname|
 ENVIRONMENT = r"(?:HOME|PATH|USER|USERNAME|VAR|PWD|SHELL|TMP|TEMP|TMPDIR|LANG|APPDATA|USERPROFILE|PREFIX|DESTDIR|CC|CXX|CFLAGS|CXXFLAGS|LDFLAGS|LD_LIBRARY_PATH|SRCDIR|BUILDDIR|PYTHONPATH|JAVA_HOME|NAME)"
 HOLDERS = re.compile(
     r"\{\{[^{}\n]{0,60}\}\}|\{%[^%\n]{1,60}%\}|<%[=#-]?[^%\n]{1,120}%>|[$#]\{[A-Za-z_][\w. -]{0,40}\}|%[A-Za-z][A-Za-z_]{1,40}%|%\([a-z_]{1,40}\)s|(?<!\w)__[A-Z][A-Z_]{1,40}__(?!\w)|@@[A-Za-z_]{2,40}@@"
-    r"|(?<![\w.@])@[a-z_]{2,40}@(?![\w.])|\[\[[A-Za-z_ ]{2,40}\]\]|\[(?:your|insert|enter|add) [^\]\n]{1,60}\]|<(?:insert|your|enter|add) [^>\n]{1,60}>|\[[a-z_ ]{2,40}\](?!\()|<[a-z][a-z_ -]{1,40}>|\$[A-Z][A-Z]*_[A-Z_]+\b|\bX{4}\b.*\bY{4}\b",
+    r"|(?<![\w.@])@[a-z_]{2,40}@(?![\w.])|\[\[[A-Za-z_ ]{2,40}\]\]|\[(?:your|insert|enter|add|describe|explain|write|fill|provide|list|replace|please|put|type|give|state|summari[sz]e|ihr|hier|votre|décrire|décrivez|describa|su|escriba) [^\]\n]{1,80}\]|<(?:insert|your|enter|add|describe|explain|write|fill|provide|list|replace|please|put|type|give|state) [^>\n]{1,80}>|\[[a-z_ ]{2,40}\](?!\()|<[a-z][a-z_ -]{1,40}>|\$[A-Z][A-Z]*_[A-Z_]+\b|\bX{4}\b.*\bY{4}\b|\{\d\}[^\n]{0,60}\{\d\}",
     re.I,
 )
 SPOKEN = re.compile(
-    r"\b(?:escap\w*|quot(?:e|ed|es|ing)|expand\w*|expansion|render(?:s|ed|ing)? .*\b(?:lazily|engine|once|template)|template engine|templates? (?:engine|syntax|language)|leaves? .* alone|left alone|literally|verbatim|instead of|placeholders?|interpolat\w*|substitut\w*|unescaped|variables?|parsed? by|parser|brackets?|docs?:|usage line|syntax|regex|string literal|printf|format string|spell\w*|rename[ds]?|replaced? by real)\b",
+    r"\b(?:escap\w*|quot(?:e|ed|es|ing)|expand(?:s|ed|ing)?|expansion|render(?:s|ed|ing)? .*\b(?:lazily|engine|once|template)|template engine|templates? (?:engine|syntax|language)|leaves? .* alone|left alone|literally|verbatim|instead of|placeholders?|interpolat\w*|substitut\w*|unescaped|variables?|parsed by|brackets?|docs?:|usage line|syntax|regex|string literal|printf|format string|spell\w*|rename[ds]?|replaced? by real)\b",
     re.I,
 )
 TAG = re.compile(r"<!doctype[^>]*>|</?(?:html|head|body|title|h[1-6]|p|hr|br|center|div|span|noscript|meta|script|style|pre|a|b|i|ul|li|strong|em)\b[^>]{0,200}>", re.I)
@@ -122,11 +124,12 @@ def unfilled(text: str) -> bool:
         sentence = text[a:b]
         if SPOKEN.search(sentence):
             continue
-        name = re.sub(r"[_.\s]+", " ", re.sub(r"^[^A-Za-z]+|(?<=\))s$|[^A-Za-z]+$", "", h)).strip().lower()
+        inner = re.search(r"[A-Za-z][\w. -]*", h)
+        name = re.sub(r"[_.\s]+", " ", inner.group()).strip().lower() if inner else ""
         if h[0] == "<" and f"</{name}" in text.lower():
             continue
         if h[0] in "[<" and not h.startswith(("[[", "<%")):
-            known = re.fullmatch(rf"(?:your|insert|enter|add) .*|(?:{VALUE}|[a-z]+ name|[a-z]+ number)", name)
+            known = re.fullmatch(rf"(?:your|insert|enter|add|describe|explain|write|fill|provide|list|replace|please|put|type|give|state|summari[sz]e|ihr|hier|votre|décrire|décrivez|describa|su|escriba) .*|(?:{VALUE}|[a-z]+ name|[a-z]+ number)", name)
             if not known or (h[0] == "<" and CODE_NAME.search(sentence) and " " not in name and not re.fullmatch(VALUE, name)):
                 continue
             return True

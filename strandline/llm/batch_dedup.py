@@ -37,11 +37,11 @@ MIN_CHARS = 100
 # Labels before a title, trailers after a message.
 LABEL = re.compile(r"^\s*(?:(?:\[[^\]]{1,40}\]|\((?:backport|cherry-?pick|stable|lts)[^)]{0,20}\)|(?:re|fwd?|aw|backport|cherry-?pick|stable|lts|merged?|picked|squash!|fixup!|revised|v\d+)\s*[:!|]\s)\s*)+", re.I)
 TRAILER = re.compile(
-    r"(?i:\(\s*(?:cherry[-\s]+picked|backported|picked|ported|rebased|imported)\s+from\s[^)]{0,80}\)?)"
+    r"(?i:\([^()]{0,40}\bcom+it\s+[0-9a-f]{7,64}\s*\))|(?i:\(\s*(?:cherry[-\s]+picked|backported|picked|ported|rebased|imported)\s+from\s[^)]{0,80}\)?)"
     r"|(?im:^[ \t>*-]*(?:[a-z]+(?:-[a-z]+)*-(?:by|to|from|of|on|id|for|with|url|link|sha|commit)|cc|change-?id|backport|upstream|bug|link|origin|submitted|pr-url|reviewed|backported from|picked from|git-svn-id)[ \t]*:[^\n]*$)"
     r"|(?i:\b(?:signed-off|reviewed|acked|tested|co-authored|co-developed|reported|suggested|approved|merged|helped|committed|requested)-by:\s*(?:[\w.'’-]+[ \t]+){0,4}(?:<[^>]{0,80}>|[\w.'’-]+))"
     r"|(?i:\b(?:change-id|backport-of|upstream-commit|[a-z]+-from|git-svn-id):\s*\S+)"
-    r"|(?i:\A\s*(?:this is a )?(?:back-?port|cherry-?pick|port|copy) (?:of|from) [^.\n]*[.\n])"
+    r"|(?i:\A(?:[\s>*-]*(?:this is an? )?(?:ba\w*ck?-?por?t|cherry-?pick|port|copy)\s+(?:of|from)\s(?:[^.!;]|\.(?=\w)){0,120}?(?:[.!;]|\n\n|\n(?=[-*])))+)"
 )
 WORD = re.compile(r"\w+(?:[./]\w+)*")
 FIXED = re.compile(r"[\d_/.]")

@@ -74,7 +74,7 @@ ADDRESS = re.compile(
     rf"|(?:Am|An\s(?:der|den|dem)|Auf\s(?:der|dem|den)|Im|In\s(?:der|den)|Zum|Zur|Unter\sden|Hinter\s(?:der|dem)|Beim|Bei\sder)\s{_W}\s\d{{1,4}}\s?[a-z]?(?=,\s(?:\d{{4,5}}\s)?[{_U}]|\s*$|[.;)\"'])"
     r"|(?:ул(?:ица|\.)|пр(?:оспект|-т|\.)|пер(?:еулок|\.)|наб(?:ережная|\.)|бульвар|площадь)\s?[А-ЯЁ][а-яё-]+(?:\s[А-ЯЁ][а-яё-]+)?,?\s(?:д(?:ом|\.)\s?)?\d{1,4}"
     r"|(?:[一-鿿]{1,6}(?:省|市|区|县))*[一-鿿]{1,6}(?:路|街|大道|巷|弄|胡同)\s?\d{1,5}\s?号(?:\s?\d{1,4}\s?(?:室|楼|栋|单元))*"
-    rf")(?:,\s(?:Apt\.?|Flat|Unit|Suite|Apartment|Bldg\.?|Floor|#)\s?\d+\w?)?(?:,?\s(?:\d{{4,6}}\s{CITY}|(?<=,\s){CITY}(?:,?\s(?:[A-Z]{{1,2}}\d[\dA-Z]?\s\d[A-Z]{{2}}|[A-Z]{{2}}\s\d{{5}}|\d{{4,6}}))?(?![\w'’]|\s{_W})))?",
+    rf")(?:,\s(?:Apt\.?|Flat|Unit|Suite|Apartment|Bldg\.?|Floor|#)\s?\d+\w?)?(?:,?\s(?:\d{{4,6}}\s{CITY}|(?<=,\s){CITY}(?:,?\s(?:[A-Z]{{1,2}}\d[\dA-Z]?\s\d[A-Z]{{2}}|[A-Z]{{2}}\s\d{{5}}|\d{{4,6}}))?(?![\w'’]| {_W})))?",
 )
 MAYBE_ADDRESS = re.compile(rf"\d[a-z]?,?\s(?:[{_U}]|[rabcipqs](?:ue|ve|oul|d|hem|mp|lace|uai|ours|oute|llée|ent|is|er))|[{_U}]{_l}+,?\s(?:n\S{{0,3}}\s?)?\d{{1,4}}[,\s;.a-zA-Z]|[路街道巷弄同]\s?\d|(?:ул|пр|пер|наб|бульвар|площадь)[^\n]{{0,40}}\d|[{_U}]{_l}+,?\s\d{{1,4}}$")
 MANY_DIGITS, SOME_DIGITS = re.compile(r"\d(?:[ ()./-]{0,2}\d){6}"), re.compile(r"\d(?:[ .-]?\d){4}")
@@ -89,7 +89,7 @@ NO_NAME = frozenset(
     a an the this that these those it its we you they he she i my your our their his her and or but nor so yet for if then else when while where which who whom whose what why how not no yes also only even just still again already
     as at by from in into of off on onto out over to up upon with within without under after before since until during about above below between among through against per via than like unlike because although though however therefore hence instead
     is are was were be been being has have had do does did can could may might must shall should will would let lets get got make made see seen use used add added fix fixed fixes remove removed drop dropped keep kept move moved split check checks test tests tested reject allow avoid handle guard limit stop plug rework refactor revert update updated upgrade merge merged bump release released resolve resolves close closes closed reopen follow split show tell write read retry replace escape quote map render answer call return returns running setting reading
-    reported reporter suggested signed reviewed acked approved tested co developed authored helped requested thanks thank thx merci gracias danke grazie obrigado dank cc author authors committer contact contacts date subject hello hi dear hallo bonjour hola best regards cheers note notes docs doc documentation log logs debug info warning error errors fatal trace steps step highlights maintenance todo fixme xxx hat tip tips delivery patch patches pairing sample row first last name names surname
+    reported reporter suggested signed reviewed acked approved tested co developed authored helped requested thanks thank thx merci gracias danke grazie obrigado dank cc author authors committer contact contacts date subject hello hi dear hallo bonjour hola best regards cheers note notes docs doc documentation log logs debug info warning error errors fatal trace steps step highlights maintenance todo fixme xxx hat tip tips delivery patch patches pairing sample row first last name names surname nachname vorname familienname nombre apellido apellidos nom prénom telefon teléfono
     team teams group groups crew squad bot bots robot robots service services system systems server servers build builds builder ci cd job jobs runner runners pipeline pipelines release releases platform platforms infrastructure infra tooling tools tool security secure response responders maintainers maintainer contributors contributor developers developer engineering engineers core community project projects foundation committee council board office department division lab labs institute university company corporation inc ltd gmbh llc
     static analysis analyser analyzer analyzers address sanitizer sanitizers sanitiser memory thread undefined behavior behaviour leak leaks continuous integration fuzzing fuzzer fuzzers fuzz nightly weekly daily hourly run runs triage automation automated automatic auto lint linter format formatter dependency dependencies updater update updates coverage scanner scan scans mirror mirroring sync import importer export quality assurance qa support help desk helpdesk admin administrator administrators root user users guest anonymous unknown nobody everyone anybody someone somebody
     main loop loops worker workers pool pools thread threads queue queues event events handler handlers manager managers controller controllers factory factories module modules component components library libraries package packages version versions feature features option options parser parsers lexer compiler linker loader reader writer buffer buffers cache caches table tables index list lists map maps tree trees node nodes key keys value values string strings array arrays object objects class classes method methods function functions interface interfaces header headers file files path paths folder directory windows linux mac macos ios android unix posix
@@ -110,7 +110,7 @@ FULL = re.compile(rf"(?<![\w@/:#.$%-])({GIVEN})((?:{SEP}[{_U}]\.)*(?:{SEP}{PARTI
 MAYBE_FULL = re.compile(rf"[{_U}][^\W\d_A-Z]+[ \t\n]+(?:[{_U}]\.[ \t\n]+|(?:van|von|de|del|della|dalla|di|da|dos|du|le|la|el|al|bin|ibn|ben|ter|ten|zu|af|av|der|den|los)[ \t\n]+)*(?:al-|el-)?[{_U}]")
 INITIAL = re.compile(rf"(?<![\w@/:#.$%-])((?:[{_U}]\.[ -]?){{1,3}})((?:{PARTICLE}\s)?)({SURNAME})(?![\w(@/]|[-.]\w)")
 SURNAME_FIRST = re.compile(rf"(?<![\w@/.])((?:{PARTICLE}\s)?)({SURNAME}),\s({GIVEN}(?:\s[{_U}]\.)*|[{_U}]\.)(?![\w(@/]|[-.]\w)")
-LIST_PLACE = re.compile(r"(?:^|[\"';|\t<(:=]\s*|[-_][Bb][Yy]:\s*)$")
+LIST_PLACE = re.compile(r"(?:^|[\"';|\t\n<(:=]\s*|[-_][Bb][Yy]:\s*)$")
 CYRILLIC = re.compile(r"(?<!\w)([А-ЯЁІЇЄҐ][а-яёіїєґ'’]+(?:-[А-ЯЁ][а-яё]+)?)((?:\s[А-ЯЁ]\.)*\s)([А-ЯЁІЇЄҐ][а-яёіїєґ'’]+(?:-[А-ЯЁ][а-яё]+)?)(?!\w)|(?<!\w)(?:[А-ЯЁ]\.\s?){1,2}[А-ЯЁ][а-яё]{2,}|(?<!\w)[А-ЯЁ][а-яё]{2,}\s(?:[А-ЯЁ]\.\s?){1,2}")
 GREEK = re.compile(r"(?<!\w)[Α-ΩΆΈΉΊΌΎΏ][α-ωάέήίόύώϊϋΐΰς]+\s[Α-ΩΆΈΉΊΌΎΏ][α-ωάέήίόύώϊϋΐΰς]+(?!\w)")
 CJK = re.compile(r"(?:报告人|报告者|作者|联系人|提交人|提交者|审核人|审阅人|经办人|负责人|姓名|感谢|鸣谢|致谢|由|請聯絡|联系|報告者|担当|担当者|보고자|작성자)\s*[:：为是]?\s*([一-鿿·]{2,5}?|[가-힣]{2,4}|[ァ-ヶー一-龯]{2,8})(?=[，,。、；;（(\s]|先生|女士|老师|提供|报告|提交|发现|的|$)")

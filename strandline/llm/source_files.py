@@ -162,7 +162,7 @@ def judged_files(functions: DataFrame, libraries: DataFrame | None = None) -> Da
         | elsewhere
     )
     kind = (
-        F.when((F.col("data_chars") > 0.5 * F.col("chars")) & (F.col("data_chars") > 400), "data")
+        F.when((F.col("data_chars") > 0.5 * F.col("chars")) & (F.col("data_chars") > 200), "data")
         .when(minified, "minified").when(generated, "generated").when(vendored, "vendored")
     )
     return files.select("snapshot_id", "file_path", "library_id", kind.alias("kind"), "project", "prints", "shared", "elsewhere", "owners", "chars", "same_lines", "lines")

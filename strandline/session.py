@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -42,6 +44,13 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def share_library(spark: SparkSession) -> None:
+    """Lets Python workers import this library from the driver's folder, wherever the driver was started."""
+    env, root = spark.sparkContext.environment, str(Path(__file__).resolve().parent.parent)
+    if root not in env.get("PYTHONPATH", "").split(os.pathsep):
+        env["PYTHONPATH"] = os.pathsep.join(filter(None, [root, env.get("PYTHONPATH")]))
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new path for a written intermediate table in the shared folder."""
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"

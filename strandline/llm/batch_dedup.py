@@ -211,10 +211,11 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
 def first_rows(rows: DataFrame) -> DataFrame:
     """(seq, first): for each row the smallest seq that tells the same change."""
     r = with_refs(rows)
-    refs = r.where("ref_key is not null").groupBy("lib", "type", "ref_key").agg(F.min("seq").alias("node"), F.min("sha_key").alias("one_sha"))
-    member = r.select("seq", "lib", "type", "ref_key").join(refs.drop("one_sha"), ["lib", "type", "ref_key"], "left").select("seq", F.coalesce("node", "seq").alias("node"))
+    refs = r.where("ref_key is not null").groupBy("lib", "type", "ref_key").agg(F.min("seq").alias("node"))
+    # two numbers a row, written once, instead of the joins they come from in each of the uses below
+    member = checkpointed(r.select("seq", "lib", "type", "ref_key").join(refs, ["lib", "type", "ref_key"], "left").select("seq", F.coalesce("node", "seq").alias("node")))
     shas = r.where("sha_key is not null").select("lib", F.col("seq").alias("pr"), F.lit("commit").alias("type"), F.col("sha_key").alias("ref_key"))
-    merged = shas.join(refs.drop("one_sha"), ["lib", "type", "ref_key"]).select(F.col("pr").alias("a"), F.col("node").alias("b"))
+    merged = shas.join(refs.where("type = 'commit'"), ["lib", "type", "ref_key"]).select(F.col("pr").alias("a"), F.col("node").alias("b"))
     texts = texts_of(r)
     spill = scratch_path(rows.sparkSession, "texts")
     texts.write.parquet(spill)
@@ -226,7 +227,7 @@ def first_rows(rows: DataFrame) -> DataFrame:
     links = merged.unionByName(equal).unionByName(near)
     # from rows to the nodes of their references, so that only changes with a second spelling take part below
     m = member.select(F.col("seq").alias("x"), "node")
-    links = links.join(m.withColumnRenamed("node", "na"), links.a == F.col("x")).drop("x").join(m.withColumnRenamed("node", "nb"), F.col("b") == F.col("x")).where("na <> nb").select(F.col("na").alias("a"), F.col("nb").alias("b"))
+    links = checkpointed(links.join(m.withColumnRenamed("node", "na"), links.a == F.col("x")).drop("x").join(m.withColumnRenamed("node", "nb"), F.col("b") == F.col("x")).where("na <> nb").select(F.col("na").alias("a"), F.col("nb").alias("b")))
     top = components(links)
     return member.join(top, "node", "left").select("seq", F.coalesce("first", "node").alias("first"))
 

@@ -60,11 +60,108 @@ def glob_pattern(glob: str) -> str:
 
 
 def hunk_functions(patch: Column | str) -> Column:
-    """The functions named after the @@ of a patch's hunks, each once in order."""
-    heads = F.regexp_extract_all(_c(patch), F.lit(r"(?m)^@@[^@\n]*@@[ \t]*([^\n]+)$"), 1)
-    names = F.transform(heads, lambda h: F.regexp_extract(h, r"([A-Za-z_~][\w~:]*)\s*\(", 1))
-    return F.array_distinct(F.filter(names, lambda n: n != ""))
+    """The functions named after the @@ of a patch's hunks, each once in order: the word before the first bracket, or the
+    last word of a line without brackets if it can be a name."""
+    heads = F.regexp_extract_all(_c(patch), F.lit(r"(?m)^@@.*@@[ \t]+(.+)$"), 1)
+    named = lambda h: F.when(h.rlike(r"\w\s*\("), F.regexp_extract(h, r"(\w+)\s*\(", 1)).otherwise(F.regexp_extract(h, r"(?:^|\s)([A-Za-z_]\w*)\s*$", 1))
+    return F.array_distinct(F.filter(F.transform(heads, named), lambda n: n != ""))
 
 
 def is_c_file(path: Column | str) -> Column:
     return _c(path).rlike(r"\.(c|cc|cpp|cxx|h|hh|hpp|hxx)$")
+
+
+# Words that speak of security, authors that are bots, what a title's prefix says (class, confidence),
+# spellings of event classes, of kinds of vulnerabilities and of severities.
+SECURITY_WORDS = (
+    r"CVE-\d{4}-\d+|CWE-\d+|vulnerab|exploit|security|"
+    r"buffer.?over(?:flow|read|write)|heap.?over(?:flow|read|write)|stack.?over(?:flow|read|write)|"
+    r"use.?after.?free|double.?free|out.?of.?bounds|oob|integer.?(?:over|under)flow|null.?(?:pointer|ptr|deref)|"
+    r"uninitiali[sz]ed|race.?condition|TOCTOU|injection|XSS|CSRF|SSRF|auth.?bypass|privilege.?escalat|"
+    r"info(?:rmation)?.?leak|denial.?of.?service|dos\b|memory.?corrupt|memory.?safety"
+)
+BOTS = "dependabot|renovate|greenkeeper|snyk-bot|github-actions|semantic-release-bot|mergify|codecov|depfu"
+PREFIXES = {
+    "fix": ("normal_bugfix", 0.70), "feat": ("feature", 0.80), "refactor": ("refactor", 0.80),
+    "docs": ("other", 0.85), "test": ("other", 0.85), "perf": ("other", 0.85), "ci": ("other", 0.85), "chore": ("other", 0.85), "build": ("other", 0.85),
+}
+CLASSES = {
+    "security_bugfix": "security_bugfix", "security": "security_bugfix",
+    "normal_bugfix": "normal_bugfix", "bugfix": "normal_bugfix", "bug_fix": "normal_bugfix", "bug": "normal_bugfix",
+    "feature": "feature", "refactor": "refactor", "refactoring": "refactor",
+}  # all else: other
+VULN_TYPES = {
+    "buffer_overflow": ("buffer_overflow", "heap_overflow", "stack_overflow", "buffer_overread", "heap_buffer_overflow", "stack_buffer_overflow", "oob_read", "oob_write", "out_of_bounds"),
+    "use_after_free": ("use_after_free", "double_free", "uaf", "use-after-free"),
+    "integer_overflow": ("integer_overflow", "int_overflow", "integer_underflow"),
+    "null_deref": ("null_deref", "null_pointer", "null_dereference", "nullptr"),
+    "injection": ("injection", "command_injection", "sql_injection", "header_injection"),
+    "auth_bypass": ("auth_bypass", "authentication_bypass", "authorization_bypass"),
+    "info_leak": ("info_leak", "information_leak", "information_disclosure", "uninitialized_memory"),
+    "dos": ("dos", "denial_of_service", "infinite_loop"),
+    "race_condition": ("race_condition", "toctou", "data_race"),
+    "memory_corruption": ("memory_corruption",),
+}  # all else: other
+SEVERITIES = {"critical": ("critical", "severe"), "high": ("high", "important"), "medium": ("medium", "moderate"), "low": ("low", "minor", "negligible")}  # all else: unknown
+
+
+def security_words(c: Column | str) -> Column:
+    """All words of a text that speak of security, as they stand; null for null."""
+    return F.regexp_extract_all(_c(c), F.lit(rf"(?i)\b(?:{SECURITY_WORDS})\b"), 0)
+
+
+def rule_class(kind: Column | str, author: Column | str, title: Column | str, message: Column | str) -> Column:
+    """What cheap rules say of an event, struct(classification, confidence); null where none decides.
+
+    In order: tags and bots' events are "other"; nothing is said of texts with words of security; then the title's prefix.
+    """
+    said = lambda name, sure: F.struct(F.lit(name).alias("classification"), F.lit(sure).alias("confidence"))
+    text = F.concat(F.coalesce(_c(title), F.lit("")), F.lit(" "), F.coalesce(_c(message), F.lit("")))
+    rule = F.when(_c(kind) == "tag", said("other", 0.95)).when(_c(author).rlike(rf"(?i)\b(?:{BOTS})\b"), said("other", 0.90))
+    rule = rule.when(text.rlike(rf"(?i)\b(?:{SECURITY_WORDS})\b"), F.lit(None))
+    prefix = title_prefix(F.trim(_c(title)))
+    for p, (name, sure) in PREFIXES.items():
+        rule = rule.when(prefix == p, said(name, sure))
+    return rule
+
+
+def reply_class(reply: Column | str) -> Column:
+    """struct(classification, confidence) of the first flat JSON object in a scorer's reply; null without one.
+
+    Labels are folded to their class, unknown ones to "other"; the confidence is cut to 0..1 and 0.5 where it's no number.
+    """
+    found = F.regexp_extract(_c(reply), r"\{[^{}]*\}", 0)
+    label = F.lower(F.trim(F.get_json_object(found, "$.label")))
+    name = F.lit("other")
+    for alias, to in CLASSES.items():
+        name = F.when(label == alias, to).otherwise(name)
+    sure = F.coalesce(F.get_json_object(found, "$.confidence").try_cast("double"), F.lit(0.5))
+    parsed = F.try_parse_json(F.when(found != "", found))
+    return F.when(parsed.isNotNull(), F.struct(name.alias("classification"), F.greatest(F.lit(0.0), F.least(F.lit(1.0), sure)).alias("confidence")))
+
+
+def folded(c: Column | str, spellings: dict, default: str) -> Column:
+    """The name whose spellings hold the value in lower case; the default for all else and for nulls."""
+    out = F.lit(default)
+    for name, known in spellings.items():
+        out = F.when(F.lower(F.trim(_c(c))).isin(list(known)), name).otherwise(out)
+    return out
+
+
+def module_repo(module: Column | str) -> Column:
+    """The repository of a Go module on one of three known hosts, from its first three parts; else null."""
+    parts = F.split(_c(module), "/")
+    return F.when(parts[0].isin("github.com", "gitlab.com", "bitbucket.org") & (F.size(parts) >= 3), F.concat(F.lit("https://"), F.array_join(F.slice(parts, 1, 3), "/")))
+
+
+def without_mount(path: Column | str) -> Column:
+    """A path within a build container, /src/<name>/x/y.c, relative to the project: x/y.c; others stay."""
+    return F.regexp_replace(_c(path), r"^/src/[^/]+/", "")
+
+
+def called_names(content: Column | str) -> Column:
+    """The distinct words before an opening bracket in a source text, outside comments and strings, without keywords."""
+    bare = F.regexp_replace(_c(content), r"(?s)/\*.*?\*/", " ")
+    bare = F.regexp_replace(F.regexp_replace(bare, r'"(?:[^"\\\n]|\\.)*"', '""'), r"//[^\n]*", " ")
+    names = F.array_distinct(F.regexp_extract_all(bare, F.lit(r"\b([A-Za-z_]\w*)\s*\("), 1))
+    return F.filter(names, lambda n: ~n.isin("if", "for", "while", "switch", "return", "sizeof", "catch", "do", "else", "defined"))

@@ -89,3 +89,38 @@ def trails(edges: DataFrame, starts: DataFrame, max_depth: int) -> DataFrame:
         longer = walk.select("graph", "start", "vertex", F.lit(depth).alias("length"), "path")
         found = longer if found is None else found.unionByName(longer)
     return found
+
+
+def merged_backends(edges: DataFrame, key: list[str], backend: str, order: list[str]) -> DataFrame:
+    """One edge per key from several analyses: backends (sorted, joined by +), call_type of the most precise backend in
+    order, confidence raised by the number of backends that agree.
+
+    Within a backend the greatest confidence stands for an edge. One backend keeps its confidence; of several the least is
+    taken, with 0.1 more for two and 0.2 for more, at most 1. Unknown backends come last in order.
+    """
+    rank = F.coalesce(F.nullif(F.array_position(F.lit(order), F.col(backend)), F.lit(0)), F.lit(len(order) + 1))
+    one = edges.groupBy(*key, backend).agg(F.max("confidence").alias("confidence"), F.min("call_type").alias("call_type"))
+    got = one.groupBy(*key).agg(F.concat_ws("+", F.array_sort(F.collect_set(backend))).alias("backends"), F.min_by("call_type", F.struct(rank, backend)).alias("call_type"), F.min("confidence").alias("least"), F.count("*").alias("n"))
+    extra = F.when(F.col("n") == 1, 0.0).when(F.col("n") == 2, 0.1).otherwise(0.2)
+    return got.withColumn("confidence", F.least(F.lit(1.0), F.col("least") + extra)).drop("least", "n")
+
+
+def through_helpers(edges: DataFrame, starts: DataFrame, helpers: DataFrame, max_depth: int = 50) -> DataFrame:
+    """(graph, start, callee): what a start calls itself or through its helpers (graph, start, vertex), helpers left out.
+
+    The search goes on from helpers alone, so the library behind the first call isn't entered.
+    """
+    on = ["graph", "start", "vertex"]
+    e = checkpointed(edges.select("graph", F.col("src").alias("vertex"), "dst"))
+    own = checkpointed(helpers.select(*on).distinct())
+    front = checkpointed(starts.select("graph", F.col("vertex").alias("start"), "vertex").distinct())
+    seen, calls = front, None
+    for _ in range(max_depth):
+        step = checkpointed(front.join(e, ["graph", "vertex"]).select("graph", "start", F.col("dst").alias("vertex")).distinct())
+        outside = step.join(own, on, "left_anti").where("vertex <> start")
+        calls = outside if calls is None else calls.unionByName(outside)
+        front = checkpointed(step.join(own, on, "left_semi").join(seen, on, "left_anti"))
+        if front.isEmpty():
+            break
+        seen = seen.unionByName(front)
+    return calls.distinct().withColumnRenamed("vertex", "callee")

@@ -53,3 +53,39 @@ def best_edges(edges: DataFrame, key: Sequence[str], score: str, ordinal: str) -
     """One edge per key: the greatest score, at equal scores the first by ordinal."""
     rest = [c for c in edges.columns if c not in key]
     return edges.groupBy(*key).agg(F.max_by(F.struct(*rest), F.struct(F.col(score), -F.col(ordinal))).alias("r")).select(*key, "r.*").select(*edges.columns)
+
+
+def upsert_by_name(old: DataFrame, delta: DataFrame, name: str, same: str) -> tuple[DataFrame, DataFrame]:
+    """(rows to append, conflicts): new names are appended; a known name whose ``same`` column differs is a conflict.
+
+    delta holds a name once; its conflicts come with the old value as ``known``. Nulls differ from values, not from nulls.
+    """
+    known = old.select(name, F.col(same).alias("known")).distinct()
+    conflicts = delta.join(known, name).where(~F.col(same).eqNullSafe(F.col("known")))
+    return delta.join(known.select(name), name, "left_anti").select(*delta.columns), conflicts.select(*delta.columns, "known")
+
+
+def delete_cascade(gone: DataFrame, tables: Mapping[str, tuple[DataFrame, str, str | None, str | None]], key: str) -> dict[str, DataFrame]:
+    """Tables without the gone keys and all that hangs on them.
+
+    tables: name -> (rows, own key, parent's name, column that names the parent's key), parents first; the first table
+    loses the keys in ``gone``, each further one the rows whose parent went, by anti joins on keys alone.
+    """
+    lost: dict[str, DataFrame] = {}
+    kept: dict[str, DataFrame] = {}
+    for name, (rows, own, parent, on) in tables.items():
+        dead = gone.select(F.col(key).alias(own)).distinct() if parent is None else lost[parent].select(F.col(tables[parent][1]).alias(on)).distinct()
+        by = own if parent is None else on
+        lost[name] = rows.join(dead, by, "left_semi").select(*rows.columns)
+        kept[name] = rows.join(dead, by, "left_anti").select(*rows.columns)
+    return kept
+
+
+def first_of_sources(parts: Sequence[DataFrame], key: str) -> DataFrame:
+    """The union of the parts with each key once, from the first part that has it."""
+    rest = [c for c in parts[0].columns if c != key]
+    rows = None
+    for i, p in enumerate(parts):
+        one = p.select(key, *rest).withColumn("part", F.lit(i))
+        rows = one if rows is None else rows.unionByName(one)
+    return rows.groupBy(key).agg(F.min(F.struct("part", *rest)).alias("r")).select(key, *(F.col(f"r.{c}") for c in rest), F.col("r.part").alias("part"))

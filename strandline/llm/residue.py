@@ -1,7 +1,7 @@
 """Problem 3: template residue, filler, error pages and demands for scripts instead of a message.
 
 One Aho-Corasick automaton over the phrases below is run over each whole message (lower case, one blank for any white
-space). A message is excluded when the phrases of one class cover at least ``COVERAGE`` of its letters; tags, hosts,
+space). A message is excluded when the phrases of one class cover at least ``COVERAGE`` of its letters, not all of them mere fragments; tags, hosts,
 ids and numbers count neither way, and a phrase in quotation marks inside prose is quoted, not said. Unfilled
 placeholders count wherever they stand for a value; where the sentence is about placeholders (escaping, expanding,
 documenting them) or the name is that of an environment variable they don't. A form counts when only its headings,
@@ -57,6 +57,8 @@ beispieltext|blindtext|platzhalter|platzhaltertext|mustertext|hier steht später
 FORM = """
 what does this pr do|expected|actual|expected outcome|actual outcome|expectation|observed|impact|solution|problem|proposal|please fill in this form|please fill in below|fill in below|fill out|please fill out|replace this line|delete if not needed|delete as needed|optional|if applicable|yes|no|os|browser|what does this change do|what does this do|what changed|what|why|how|how was this tested|how has this been tested|how to test|testing|checklist|tests|docs|documentation|changelog|description|summary|motivation|motivation and context|context|related issue|related issues|related|issue|screenshots|type of change|steps to reproduce|expected behaviour|expected behavior|actual behaviour|actual behavior|expected result|actual result|environment|additional context|one or two sentences|link the issue|link to the issue|describe your changes|please describe|please fill in|fill in|breaking change|bug fix|new feature|version|was ist passiert|warum|beschreibung|zusammenfassung|description du changement|pourquoi|descripción|por qué|lista de control|notes|reviewers|risk|rollback
 """
+# Phrases that only go with others, so a message of nothing else is no case.
+FRAGMENTS = frozenset("before merging|before merge|before submitting|before you submit|see|fixes|at|no|is|do|in|id|and|or|since|because|seconds|minutes|request|node|body|status|detail|documentation|message|code|data|title|mirror|server|cloud|edge|resource|conflict|incident|upstream|reference|using|reload|refresh|loading|to continue|para continuar|pour continuer|um fortzufahren|empty|ignore|abc".split("|"))
 CLASSES = {"error": ERROR, "script": SCRIPT, "filler": FILLER}
 
 # Names that stand for a value in a form, and variables of the environment.
@@ -175,9 +177,10 @@ def kind_of(auto: ahocorasick.Automaton, message: str | None, coverage: float =
             return "template"
     names = sum(m.end() - m.start() for m in CODE_NAME.finditer(text))
     best, top = None, 0.0
+    whole = {k for a, size, kinds in found if low[a : a + size] not in FRAGMENTS for k in kinds}
     for kind in CLASSES:
         mask = masks.get(kind)
-        if mask is None:
+        if mask is None or kind not in whole:
             continue
         for a, b in quoted:
             mask[a:b] = bytes(b - a)

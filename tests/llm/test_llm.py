@@ -299,3 +299,12 @@ def test_reading_levels_follow_grades_on_held_out_documents(spark):
     none = reading.levels(df, labels.limit(0)).where(F.col("level").isNotNull())
     assert none.count() == 162 and reading.levels(df.limit(0), labels).count() == 0
     assert reading.profile(reading.levels(df, labels)).count() == 3
+
+
+def test_mere_fragments_are_no_residue():
+    from strandline.llm import residue
+
+    auto = residue._automaton()
+    assert residue.kind_of(auto, "ping @map-owners before merging") is None
+    assert residue.kind_of(auto, "Request status: see node") is None
+    assert residue.kind_of(auto, "write a real description before merging") == "filler"

@@ -76,10 +76,10 @@ def index_keys(scope: int, words: list[str], tau: int = TAU) -> list[int]:
     return [_key(scope, n, i, words[a : a + s]) for i, (a, s) in enumerate(segments(n, tau))]
 
 
-def probe_keys(scope: int, words: list[str], tau: int = TAU) -> list[int]:
-    """Keys of the substrings that can equal a segment of a text of n - tau to n words within tau edits."""
+def probe_keys(scope: int, words: list[str], tau: int = TAU, longer: int = 0) -> list[int]:
+    """Keys of the substrings that can equal a segment of a text of n - tau to n + longer words within tau edits."""
     n, out = len(words), set()
-    for other in range(max(0, n - tau), n + 1):
+    for other in range(max(0, n - tau), n + longer + 1):
         d = n - other
         for i, (a, s) in enumerate(segments(other, tau)):
             # multi-match-aware window: i edits at most before the segment, tau - i after it
@@ -158,7 +158,7 @@ def texts_of(rows: DataFrame) -> DataFrame:
 
 
 def _keys(texts: DataFrame, kind: str) -> DataFrame:
-    make = index_keys if kind == "index" else probe_keys
+    make = {"index": index_keys, "probe": probe_keys, "probe both": lambda s, w: probe_keys(s, w, longer=TAU)}[kind]
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in parts:
@@ -168,23 +168,23 @@ def _keys(texts: DataFrame, kind: str) -> DataFrame:
     return texts.select("scope", "text", "node").mapInPandas(run, "key bigint, node bigint, text string")
 
 
-def text_links(stored: DataFrame, new: DataFrame) -> DataFrame:
-    """(a, b) nodes whose texts are the same but for light edits; stored and new have (scope, text, node).
-
-    Each side is probed with the texts of the other that are at least as long.
-    """
-
+def _light():
     @F.pandas_udf("boolean")
     def light(a: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series([same_but_light_edits(x.split(" "), y.split(" ")) for x, y in zip(a, b)])
 
-    def match(index: DataFrame, probe: DataFrame) -> DataFrame:
-        i = _keys(index, "index").select("key", F.col("node").alias("a"), F.col("text").alias("ta"))
-        p = _keys(probe, "probe").select("key", F.col("node").alias("b"), F.col("text").alias("tb"))
-        pairs = i.join(p, "key").where("a <> b").dropDuplicates(["a", "b"])
-        return pairs.where(light("ta", "tb")).select("a", "b")
+    return light
+
 
-    return match(stored, new) if stored is new else match(stored, new).unionByName(match(new, stored))
+def text_links(texts: DataFrame) -> DataFrame:
+    """(a, b) nodes whose texts are the same but for light edits; texts have (scope, text, node), each node once.
+
+    Each text probes the segments of those that are as long or shorter, so every pair is met from its longer side.
+    """
+    i = _keys(texts, "index").select("key", F.col("node").alias("a"), F.col("text").alias("ta"))
+    p = _keys(texts, "probe").select("key", F.col("node").alias("b"), F.col("text").alias("tb"))
+    pairs = i.join(p, "key").where("a <> b").dropDuplicates(["a", "b"])
+    return pairs.where(_light()("ta", "tb")).select("a", "b")
 
 
 def shared_scopes(texts: DataFrame) -> DataFrame:
@@ -223,7 +223,7 @@ def first_rows(rows: DataFrame) -> DataFrame:
     distinct = texts.groupBy("scope", F.lower("text").alias("low")).agg(F.min("seq").alias("node"), F.min_by("text", "seq").alias("text"))
     equal = texts.join(distinct.withColumnRenamed("node", "b").drop("text"), (texts.scope == distinct.scope) & (F.lower(texts.text) == F.col("low"))).where("seq <> b").select(F.col("seq").alias("a"), "b")
     probed = shared_scopes(distinct.select("scope", "text", "node"))
-    near = text_links(probed, probed)
+    near = text_links(probed)
     links = merged.unionByName(equal).unionByName(near)
     # from rows to the nodes of their references, so that only changes with a second spelling take part below
     m = member.select(F.col("seq").alias("x"), "node")
@@ -238,11 +238,13 @@ def repeats(rows: DataFrame) -> DataFrame:
 
 
 class History:
-    """The accepted changes of all earlier batches: a reference index, a text table and its segment index.
+    """The accepted changes of all earlier batches: a reference index, the texts and their segment index.
 
     ``ingest`` links a batch with what is stored and returns (seq, first) of the batch's rows, first being the row that
     told the change first; then the batch's new entries are appended. Rows arrive in order of seq, so stored firsts
-    never change; a row that joins two stored changes repeats the smaller one.
+    never change; a row that joins two stored changes repeats the smaller one. History is met by equi-joins of the
+    batch's references and probes with the indexes; stored texts are read for the candidates' nodes only, none is cut
+    into segments again.
     """
 
     def __init__(self, spark: SparkSession, folder: str):
@@ -251,30 +253,40 @@ class History:
     def _read(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}")
 
+    def _append(self, name: str, rows: DataFrame) -> None:
+        rows.write.mode("append").parquet(f"{self.folder}/{name}")
+
+    def _candidates(self, texts: DataFrame) -> DataFrame:
+        """(seq, old, equal): the batch's texts with the stored changes they tell again."""
+        probes = _keys(texts, "probe both").select("key", F.col("node").alias("seq"))
+        pairs = probes.join(self._read("segments"), "key").select("seq", "node").distinct()
+        own = texts.select(F.col("node").alias("seq"), F.col("text").alias("tb"))
+        pairs = pairs.join(self._read("texts").select("node", F.col("text").alias("ta"), "first"), "node").join(own, "seq")
+        return pairs.where(_light()("ta", "tb")).select("seq", F.col("first").alias("old"), (F.lower("ta") == F.lower("tb")).alias("equal"))
+
     def ingest(self, batch: DataFrame) -> DataFrame:
         out = first_rows(batch)
         r = with_refs(batch)
-        texts = texts_of(r).withColumnRenamed("seq", "node")
+        texts = texts_of(r).groupBy("scope", F.lower("text").alias("low")).agg(F.min("seq").alias("node"), F.min_by("text", "seq").alias("text"))
+        texts = checkpointed(texts.select("scope", "text", "node"))
         own = r.where("ref_key is not null").select("seq", "lib", "type", "ref_key")
+        stored = None
         if self.filled:
-            refs, old, segs = self._read("refs"), self._read("texts"), self._read("segments")
+            refs = self._read("refs")
             by_ref = own.join(refs, ["lib", "type", "ref_key"]).select("seq", F.col("first").alias("old"))
             sha = r.where("sha_key is not null").select("seq", "lib", F.lit("commit").alias("type"), F.col("sha_key").alias("ref_key")).join(refs, ["lib", "type", "ref_key"]).select("seq", F.col("first").alias("old"))
             named = own.where("type = 'commit'").join(self._read("shas"), ["lib", "ref_key"]).select("seq", F.col("first").alias("old"))
-            probed = texts.join(old.select("scope").distinct(), "scope", "left_semi")
-            # stored texts as long as or shorter than the new one by the stored segments, longer ones of the same scope by probing
-            near = text_links(old.select("scope", "text", F.col("first").alias("node")).join(probed.select("scope").distinct(), "scope", "left_semi"), probed)
-            firsts = old.select("first").distinct().withColumnRenamed("first", "f")
-            near = near.join(firsts, near.a == F.col("f"), "left").select(F.when(F.col("f").isNull(), F.col("a")).otherwise(F.col("b")).alias("seq"), F.when(F.col("f").isNull(), F.col("b")).otherwise(F.col("a")).alias("old"))
-            hits = by_ref.unionByName(sha).unionByName(named).unionByName(near).groupBy("seq").agg(F.min("old").alias("old"))
+            near = checkpointed(self._candidates(texts))
+            stored = near.where("equal").select(F.col("seq").alias("node")).distinct()
+            hits = by_ref.unionByName(sha).unionByName(named).unionByName(near.select("seq", "old")).groupBy("seq").agg(F.min("old").alias("old"))
             lowest = out.join(hits, "seq").groupBy("first").agg(F.min("old").alias("old"))
             out = out.join(lowest, "first", "left").select("seq", F.least("first", F.coalesce("old", "first")).alias("first"))
         out = checkpointed(out)
-        tie = out.withColumnRenamed("seq", "s")
-        own.join(tie, own.seq == tie.s).groupBy("lib", "type", "ref_key").agg(F.min("first").alias("first")).write.mode("append").parquet(f"{self.folder}/refs")
-        r.where("sha_key is not null").join(tie, F.col("seq") == F.col("s")).select("lib", F.col("sha_key").alias("ref_key"), "first").write.mode("append").parquet(f"{self.folder}/shas")
-        kept = checkpointed(texts.join(tie, texts.node == tie.s).select("scope", "text", "first").distinct())
-        kept.write.mode("append").parquet(f"{self.folder}/texts")
-        _keys(kept.withColumnRenamed("first", "node"), "index").select("key", "node").write.mode("append").parquet(f"{self.folder}/segments")
+        new = texts if stored is None else texts.join(stored, "node", "left_anti")
+        new = checkpointed(new.join(out.withColumnRenamed("seq", "node"), "node").select("node", "scope", "text", "first"))
+        self._append("refs", own.join(out, "seq").groupBy("lib", "type", "ref_key").agg(F.min("first").alias("first")))
+        self._append("shas", r.where("sha_key is not null").join(out, "seq").select("lib", F.col("sha_key").alias("ref_key"), "first"))
+        self._append("texts", new)
+        self._append("segments", _keys(new, "index").select("key", "node"))
         self.filled = True
         return out

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandline.llm import batch_dedup, mixing, packing, pii, reading, residue, source_files, tokens
-from strandline.session import checkpointed
+from strandline.session import checkpointed, scratch_path
 from strandline.sources.tables import table
 
 
@@ -41,6 +41,19 @@ def p5_inserted(spark: SparkSession, d: str) -> DataFrame:
     return said.join(runs, "run_id", "full").select("run_id", F.coalesce("fetched", F.lit(0)).cast("bigint").alias("fetched"), F.coalesce("inserted", F.lit(0)).cast("bigint").alias("inserted"), "reported")
 
 
+def p5_history(spark: SparkSession, d: str) -> DataFrame:
+    """The changes that four batches in order of arrival bring, each checked against the stored history of those before."""
+    rows = table(spark, d, "collected_events").where("seq is not null")
+    low, high = rows.agg(F.min("seq"), F.max("seq")).first()
+    history = batch_dedup.History(spark, scratch_path(spark, "history"))
+    part = F.lit(0) if low is None else F.least(F.lit(3), F.floor((F.col("seq") - low) * 4 / (high - low + 1)))
+    done = None
+    for i in range(4):
+        one = history.ingest(rows.where(part == i)).withColumn("batch", F.lit(i))
+        done = one if done is None else done.unionByName(one)
+    return done
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return source_files.not_hand_written(table(spark, d, "function_records"), table(spark, d, "libraries")).select("snapshot_id", "file_path")
 
@@ -82,7 +95,7 @@ def p9_profile(spark: SparkSession, d: str) -> DataFrame:
 
 def queries() -> dict:
     more = {"p9_levels": p9_levels, "p9_profile": p9_profile, "p7_packed": p7_packed, "p7_unused": p7_unused, "p8_repeats": p8_repeats, "p8_shares": p8_shares}
-    return more | {"p2_found": p2_found, "p2_redacted": p2_redacted, "p3_found": p3_found, "p3_real_messages": p3_real_messages, "p5_found": p5_found, "p5_inserted": p5_inserted, "p6_found": p6_found, "p6_kinds": p6_kinds}
+    return more | {"p2_found": p2_found, "p2_redacted": p2_redacted, "p3_found": p3_found, "p3_real_messages": p3_real_messages, "p5_found": p5_found, "p5_inserted": p5_inserted, "p5_history": p5_history, "p6_found": p6_found, "p6_kinds": p6_kinds}
 
 
 def oracle_sql() -> dict[str, str]:

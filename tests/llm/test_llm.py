@@ -159,6 +159,37 @@ def test_history_gives_batch_by_batch_what_all_at_once_gives(spark, tmp_path):
     assert got == WANT
 
 
+def test_batches_against_history_equal_one_run(spark):
+    """Whatever batches bring them, rows of one change end up under the same first row, but for changes joined later."""
+    from strandline.llm import queries
+
+    d = "/root/testdata/sf0.001"
+    whole = {r["seq"]: r["first"] for r in batch_dedup.first_rows(spark.read.parquet(f"{d}/collected_events.parquet")).collect()}
+    parts = {r["seq"]: r["first"] for r in queries.p5_history(spark, d).collect()}
+    assert parts.keys() == whole.keys()
+    # a batch never links more than one run does, and what it finds first is a row of the same change
+    assert all(whole[f] == whole[s] for s, f in parts.items())
+    assert sum(parts[s] != f for s, f in whole.items()) <= 0.01 * len(whole)
+
+
+def test_probes_meet_longer_and_shorter_texts():
+    r = random.Random(4)
+    vocabulary = [f"w{chr(97 + i)}" for i in range(12)]
+    for _ in range(400):
+        a = [r.choice(vocabulary) for _ in range(r.randrange(8, 24))]
+        b = list(a)
+        for _ in range(r.randrange(batch_dedup.TAU + 1)):
+            k = r.randrange(len(b))
+            change = r.choice("sdi")
+            if change == "s":
+                b[k] = "zz"
+            elif change == "d":
+                del b[k]
+            else:
+                b.insert(k, "yy")
+        assert set(batch_dedup.index_keys(1, a)) & set(batch_dedup.probe_keys(1, b, longer=batch_dedup.TAU))
+
+
 # ---- problem 6 ----
 FUNCTIONS = "snapshot_id string, file_path string, function_id bigint, library_id string, content string, kind string, prints int"
 

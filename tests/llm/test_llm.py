@@ -172,6 +172,14 @@ def test_batches_against_history_equal_one_run(spark):
     assert sum(parts[s] != f for s, f in whole.items()) <= 0.01 * len(whole)
 
 
+def test_history_of_an_empty_table(spark, tmp_path):
+    from strandline.llm import queries
+
+    spark.read.parquet("/root/testdata/sf0.001/collected_events.parquet").limit(0).write.parquet(str(tmp_path / "collected_events.parquet"))
+    out = queries.p5_history(spark, str(tmp_path))
+    assert out.columns == ["seq", "first", "batch"] and out.count() == 0
+
+
 def test_probes_meet_longer_and_shorter_texts():
     r = random.Random(4)
     vocabulary = [f"w{chr(97 + i)}" for i in range(12)]

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from strandline.functions import text
 from strandline.operators import graph
 from strandline.plans.proxies import view
-from strandline.plans.reference import _EDGES, _edges
+from strandline.plans.reference import _EDGES, HOPS, _edges, _entries
 from strandline.plans.registry import Registry
 from strandline.sources import debug_info, manifests
 from strandline.sources.tables import table
@@ -82,17 +82,16 @@ _ENTRIES = "s as (select distinct snapshot_id as graph, name as entry from funct
 _REACHED = f"{_EDGES}, {_ENTRIES}, r as (select graph, entry, entry as vertex, 0 as depth from s union select r.graph, r.entry, e.dst, r.depth + 1 from r join e on e.graph = r.graph and e.src = r.vertex where r.depth < 6), m as (select graph, entry, vertex, min(depth) as depth from r group by 1, 2, 3 having min(depth) > 0)"
 
 
-def _entries(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "function_records").where("is_entry_point and snapshot_id is not null").select(F.col("snapshot_id").alias("graph"), F.col("name").alias("vertex")).distinct()
-
-
 def _reached(spark: SparkSession, d: str) -> DataFrame:
-    return graph.reach(_edges(spark, d), _entries(spark, d).withColumn("entry", F.col("vertex")), 6, "entry").where("depth > 0")
+    return graph.reach(_edges(spark, d), _entries(spark, d).withColumn("entry", F.col("vertex")), HOPS, "entry").where("depth > 0")
 
 
 @query(f"with recursive {_REACHED} select graph, entry, vertex, depth from m")
 def graph_entry_reaches(spark: SparkSession, d: str) -> DataFrame:
-    """Least depth from every entry point of a snapshot to every function, all searches in the same steps."""
+    """Least depth from every entry point of a snapshot to every function, all searches in the same steps.
+
+    The SQL stops at 6 steps.
+    """
     return _reached(spark, d)
 
 

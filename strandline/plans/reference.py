@@ -16,6 +16,7 @@ from strandline.sources.tables import table
 
 STAGES = ["recorded", "reported", "confirmed", "fixed"]
 CUT = dt.datetime(2025, 6, 1)
+HOPS = 50  # a search from entry points goes no deeper
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
 
@@ -231,6 +232,10 @@ def _starts(spark: SparkSession, d: str) -> DataFrame:
     return f.groupBy(F.col("snapshot_id").alias("graph")).agg(F.min("name").alias("vertex"))
 
 
+def _entries(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "function_records").where("is_entry_point and snapshot_id is not null").select(F.col("snapshot_id").alias("graph"), F.col("name").alias("vertex")).distinct()
+
+
 @query("""with f as (select distinct snapshot_id, name as callee, coalesce(file_path, '') as file from function_records), k as (select snapshot_id, callee, min(file) as file from f group by 1, 2),
 e as (select edge_id, snapshot_id, caller, callee, coalesce(trim(callee_file), '') as wanted, call_type, confidence from call_edges where trim(callee) <> ''),
 b as (select e.*, f.file from e join f on f.snapshot_id = e.snapshot_id and f.callee = e.callee and f.file = e.wanted where e.wanted <> '' union all select e.*, k.file from e join k on k.snapshot_id = e.snapshot_id and k.callee = e.callee where e.wanted = '')
@@ -262,8 +267,9 @@ def graph_subtree(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"with recursive {_REACH}, f as (select distinct snapshot_id as graph, name as vertex from function_records where snapshot_id is not null and trim(coalesce(file_path, '')) <> '') select f.graph, f.vertex from f left join m on m.graph = f.graph and m.vertex = f.vertex where m.vertex is null")
 def graph_unreached(spark: SparkSession, d: str) -> DataFrame:
+    """Functions that no entry point of their snapshot reaches; the SQL tries the first entry point and 6 steps alone."""
     f = table(spark, d, "function_records").where("snapshot_id is not null and trim(file_path) <> ''").select(F.col("snapshot_id").alias("graph"), F.col("name").alias("vertex")).distinct()
-    return f.join(graph.reach(_edges(spark, d), _starts(spark, d), 6), ["graph", "vertex"], "left_anti")
+    return f.join(graph.reach(_edges(spark, d), _entries(spark, d), HOPS), ["graph", "vertex"], "left_anti")
 
 
 @query(f"""with recursive {_REACH}, w as (select e.graph, e.src, e.dst, b.depth from e join m a on a.graph = e.graph and a.vertex = e.src join m b on b.graph = e.graph and b.vertex = e.dst where b.depth = a.depth + 1),

@@ -33,11 +33,12 @@ DASHES = "‐‑‒–—−－﹣"
 
 _digit = "|".join(sorted(DIGIT_WORDS, key=len, reverse=True))
 SPELLED = re.compile(rf"(?<!\w)(?:{_digit}|\d)(?:[ ,.-]{{1,3}}(?:{_digit}|\d)){{6,15}}(?!\w)", re.I)
+WORD, FOLD = re.compile(r"\w+"), str.maketrans("İıſ", "iis")
 MIXED = re.compile(r"[A-Za-z][\w.@+-]*[Ͱ-ӿ]|[Ͱ-ӿ][\w.@+-]*[A-Za-z]")
 AT = r"(?:[ \t]*[\[({<][ \t]*(?:at|@|arroba|ät)[ \t]*[\])}>][ \t]*|[ \t]+(?:at|AT|At|arroba|@)[ \t]+)"
 DOT = r"(?:[ \t]*[\[({<][ \t]*(?:dot|punkt|point|punto|\.)[ \t]*[\])}>][ \t]*|[ \t]+(?:dot|DOT|Dot|punkt|punto)[ \t]+|\.)"
 DISGUISED = re.compile(rf"(?<![\w./@+-])([A-Za-z][\w.+-]*)({AT})((?:[A-Za-z0-9](?:[\w-]*[A-Za-z0-9])?)(?:{DOT}[A-Za-z0-9](?:[\w-]*[A-Za-z0-9])?)+)(?![\w/@(-])", re.I)
-HINT_AT = re.compile(r"(?i)[\[({<]\s*(?:at|@|arroba|ät)\s*[\])}>]|\s(?:at|arroba|@)\s+[\w-]+\s*(?:\.\w|[\[({<]\s*dot|\sdot\s)")
+HINT_AT = re.compile(r"(?i)[ \t\[({<](?:at|@|arroba|ät)[ \t\])}>]")
 EMAIL = re.compile(r"(?<![\w./@+-])(?:[A-Za-z0-9][\w.+%'-]*)@(?:[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?\.)+([A-Za-z]{2,24})(?![\w@-])(?!\.\w)(?!:[\w~/.-]*[/.]\w)(?!/[\w~])")
 FILE_ENDS = frozenset("c h cc cpp cxx hpp hxx hh js ts py go rs java rb php sh txt md rst html htm xml json yaml yml toml csv log cfg conf ini lock png jpg gif svg o so a obj exe dll git".split())
 REACH = re.compile(r"(?i)(?:write to|mail(?:ed)?(?: to)?|e-?mail(?:s|ed)?:?|contact:?|reach(?:ed)?(?: me| us| them)? (?:at|under|via)|ask|address(?:ed)? (?:is|to)|forwarded by|questions (?:go )?to|rückfragen an|from:?|cc:?|by:?)\s*$")
@@ -76,11 +77,12 @@ ADDRESS = re.compile(
     r"|(?:[一-鿿]{1,6}(?:省|市|区|县))*[一-鿿]{1,6}(?:路|街|大道|巷|弄|胡同)\s?\d{1,5}\s?号(?:\s?\d{1,4}\s?(?:室|楼|栋|单元))*"
     rf")(?:,\s(?:Apt\.?|Flat|Unit|Suite|Apartment|Bldg\.?|Floor|#)\s?\d+\w?)?(?:,?\s(?:\d{{4,6}}\s{CITY}|(?<=,\s){CITY}(?:,?\s(?:[A-Z]{{1,2}}\d[\dA-Z]?\s\d[A-Z]{{2}}|[A-Z]{{2}}\s\d{{5}}|\d{{4,6}}))?(?![\w'’]| {_W})))?",
 )
-MAYBE_ADDRESS = re.compile(rf"\d[a-z]?,?\s(?:[{_U}]|[rabcipqs](?:ue|ve|oul|d|hem|mp|lace|uai|ours|oute|llée|ent|is|er))|[{_U}]{_l}+,?\s(?:n\S{{0,3}}\s?)?\d{{1,4}}[,\s;.a-zA-Z]|[路街道巷弄同]\s?\d|(?:ул|пр|пер|наб|бульвар|площадь)[^\n]{{0,40}}\d|[{_U}]{_l}+,?\s\d{{1,4}}$")
-MANY_DIGITS, SOME_DIGITS = re.compile(r"\d(?:[ ()./-]{0,2}\d){6}"), re.compile(r"\d(?:[ .-]?\d){4}")
+# What is tried before the patterns behind it. Each is a part that every match of those has, so it rejects none of them.
+DIGIT, SOME_DIGITS, MANY_DIGITS = re.compile(r"\d"), re.compile(r"\d(?:[A-Z .-]*+\d){4}"), re.compile(r"\d(?:[ ()./,xDurchwalent-]*+\d){6}")
 MAYBE_LIST = re.compile(rf",\s[{_U}]")
-MAYBE_INITIAL = re.compile(rf"[{_U}]\.[ -]?(?:[{_U}]|[vdaltz])")
-MAYBE_SPOKEN = re.compile(r"(?:[bB][yY]|[cC]{2}|[tT][oO]|tip|ask|hor|rom|act|ame|nks|all)(?: this week)?[: ]+(?:[^\W\d_A-Z]{3,} (?:[^\W\d_A-Z]{2,3} ){0,2}[^\W\d_A-Z]{3,}|[A-Z]{3,} [A-Z]{3,})(?=[,.;:(<\n]| and |$)")
+MAYBE_INITIAL = re.compile(rf"[{_U}]\.[ -]?[{_U}abdeiltvz]")
+MAYBE_FULL = re.compile(rf"(?:{_l}|['’])[ \t\n]+(?:[{_U}]|al-|el-|(?:van|von|de|di|da|do|du|le|la|el|al|bin|ibn|ben|ter|ten|zu|af|av))")
+SPOKEN_WORDS = [f"{w}{c}" for w in "patch patched report reported suggest suggested found fix fixed review reviewed written spotted diagnosed noticed idea hint test tests tested debugged contributed submitted credit credits thanks thx kudos props tip h/t author name oncall on-call assigned contact ask".split() for c in (" this", " by", " to", " from", " go", " is", ":", "-by:")] + ["cc ", "cc: "]
 
 
 # Words in capitals that aren't parts of a person's name.
@@ -107,7 +109,6 @@ SURNAME = rf"(?:al-|el-|O['’]|D['’]|L['’]|Mac|Mc|Fitz|De|Di|Van|Le|La)?{_W
 GIVEN = rf"[{_U}](?:{_l}|['’](?=\w))+(?:-[{_U}]{_l}+)*"
 SEP = r"[ \t]*\n?[ \t]+"
 FULL = re.compile(rf"(?<![\w@/:#.$%-])({GIVEN})((?:{SEP}[{_U}]\.)*(?:{SEP}{PARTICLE})?{SEP})({SURNAME})(?![\w(@/]|[-.]\w)")
-MAYBE_FULL = re.compile(rf"[{_U}][^\W\d_A-Z]+[ \t\n]+(?:[{_U}]\.[ \t\n]+|(?:van|von|de|del|della|dalla|di|da|dos|du|le|la|el|al|bin|ibn|ben|ter|ten|zu|af|av|der|den|los)[ \t\n]+)*(?:al-|el-)?[{_U}]")
 INITIAL = re.compile(rf"(?<![\w@/:#.$%-])((?:[{_U}]\.[ -]?){{1,3}})((?:{PARTICLE}\s)?)({SURNAME})(?![\w(@/]|[-.]\w)")
 SURNAME_FIRST = re.compile(rf"(?<![\w@/.])((?:{PARTICLE}\s)?)({SURNAME}),\s({GIVEN}(?:\s[{_U}]\.)*|[{_U}]\.)(?![\w(@/]|[-.]\w)")
 LIST_PLACE = re.compile(r"(?:^|[\"';|\t\n<(:=]\s*|[-_][Bb][Yy]:\s*)$")
@@ -117,6 +118,21 @@ CJK = re.compile(r"(?:报告人|报告者|作者|联系人|提交人|提交者|
 SPOKEN_BY = re.compile(r"(?i)\b(?:cc:?\s+|(?:patch(?:ed)?|report(?:ed)?|suggest(?:ed)?|found|fix(?:ed)?|review(?:ed)?|written|spotted|diagnosed|noticed|idea|hint|tests?|tested|debugged|contributed|submitted|credit(?:s)?|thanks|thx|kudos|props|hat tip|h/t|author|name|on-?call|assigned|contact|ask)(?:\s(?:this week|by|to|from|go to|goes to)|:|-by:|\sis)+\s+)((?:[^\W\d_]\.\s)?[^\W\d_]{3,}(?:-[^\W\d_]+)?(?:\s[^\W\d_]\.)?\s(?:(?:van der|van|von|de la|de|del|di|al)\s)?[^\W\d_]{3,}(?:-[^\W\d_]+)?)(?=\s*(?:$|[,.;:()<\"\n]|and\s(?:to|by|for|the|others|team)\b|for\s(?:the|a|his|her|their|spotting|reporting|finding)\b))")
 
 
+def may_spell(text: str) -> bool:
+    """Whether seven words of the text are digits, one of them spelled."""
+    words = WORD.findall(text.translate(FOLD).lower())
+    if DIGIT_WORDS.keys().isdisjoint(words):
+        return False
+    spelled = sum(w in DIGIT_WORDS for w in words)
+    return spelled + sum(len(w) == 1 and w.isdecimal() for w in words) >= 7
+
+
+def may_speak(text: str) -> bool:
+    """Whether a word that a name can follow is in the text, with what joins them."""
+    low = " ".join(text.translate(FOLD).lower().split()) + " "
+    return any(w in low for w in SPOKEN_WORDS)
+
+
 class Normal:
     """A text in normal form with, for each character, where its source begins and ends."""
 
@@ -128,8 +144,7 @@ class Normal:
             self._characters(source)
             if MIXED.search(self.text):
                 self.rewrite(re.compile(r"[\w.@+-]+"), self._latin)
-        low = self.text.lower()
-        if sum(low.count(w) for w in DIGIT_WORDS) >= 6 and SPELLED.search(self.text):
+        if may_spell(self.text) and SPELLED.search(self.text):
             self.rewrite(SPELLED, self._digits)
         if HINT_AT.search(self.text):
             self.rewrite(DISGUISED, self._address)
@@ -243,7 +258,7 @@ def finds(norm: Normal, field: str = "message") -> list[tuple[str, int, int]]:
                 if sum(x.isdigit() for x in m.group()) >= 5 and ID_BETWEEN.match(text[c.end() : m.start()]):
                     take("id_number", *m.span())
                     break
-    if any(c in text for c in "0123456789") and MAYBE_ADDRESS.search(text):
+    if DIGIT.search(text):
         for m in ADDRESS.finditer(text):
             take("street_address", *m.span())
     if many:
@@ -289,7 +304,7 @@ def _names(text: str, field: str, take) -> None:
         if field == "author" and re.fullmatch(r"\s*[一-鿿가-힣·]{2,5}\s*", text.split("\x01")[0].strip(" <(，,（") or " "):
             a = len(text) - len(text.lstrip())
             spans.append((a, a + len(text.split("\x01")[0].strip(" <(，,（"))))
-    for m in SPOKEN_BY.finditer(text) if MAYBE_SPOKEN.search(text) else ():
+    for m in SPOKEN_BY.finditer(text) if may_speak(text) else ():
         words = re.findall(r"[^\W\d_]{3,}", m.group(1))
         if len(words) >= 2 and _named(*words):
             spans.append(m.span(1))

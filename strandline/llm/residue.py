@@ -65,8 +65,8 @@ CLASSES = {"error": ERROR, "script": SCRIPT, "filler": FILLER}
 VALUE = r"(?:first ?name|last ?name|full ?name|user ?name|name|vorname|nachname|nombre|nom|user|author|reviewer|assignee|recipient|customer|component|module|project(?: title)?|title|subject|summary|description|body|message|reason|ticket|issue(?: (?:number|id))?|number|link|url|branch(?: name)?|target branch|source branch|version|(?:from|to|old|new) version|dep(?:endency)? name|package|release(?: notes)?|notes|changelog|scope|date|steps to reproduce|expected|actual|compiler|platform|commit(?: (?:message|body|title))?|email|company|team|text|value|placeholder)"
 ENVIRONMENT = r"(?:HOME|PATH|USER|USERNAME|VAR|PWD|SHELL|TMP|TEMP|TMPDIR|LANG|APPDATA|USERPROFILE|PREFIX|DESTDIR|CC|CXX|CFLAGS|CXXFLAGS|LDFLAGS|LD_LIBRARY_PATH|SRCDIR|BUILDDIR|PYTHONPATH|JAVA_HOME|NAME)"
 HOLDERS = re.compile(
-    r"\{\{[^{}\n]{0,60}\}\}|\{%[^%\n]{1,60}%\}|<%[=#-]?[^%\n]{1,120}%>|[$#]\{[A-Za-z_][\w. -]{0,40}\}|%[A-Za-z][A-Za-z_]{1,40}%|%\([a-z_]{1,40}\)s|(?<!\w)__[A-Z][A-Z_]{1,40}__(?!\w)|@@[A-Za-z_]{2,40}@@"
-    r"|(?<![\w.@])@[a-z_]{2,40}@(?![\w.])|\[\[[A-Za-z_ ]{2,40}\]\]|\[(?:your|insert|enter|add|describe|explain|write|fill|provide|list|replace|please|put|type|give|state|summari[sz]e|ihr|hier|votre|décrire|décrivez|describa|su|escriba) [^\]\n]{1,80}\]|<(?:insert|your|enter|add|describe|explain|write|fill|provide|list|replace|please|put|type|give|state) [^>\n]{1,80}>|\[[a-z_ ]{2,40}\](?!\()|<[a-z][a-z_ -]{1,40}>|\$[A-Z][A-Z]*_[A-Z_]+\b|\bX{4}\b.*\bY{4}\b|\{\d\}[^\n]{0,60}\{\d\}",
+    r"\{\{[^{}\n]*\}\}|\{%[^%\n]+%\}|<%[=#-]?[^%\n]+%>|[$#]\{[A-Za-z_][\w. -]{0,40}\}|%[A-Za-z][A-Za-z_]{1,40}%|%\([a-z_]{1,40}\)s|(?<!\w)__[A-Z][A-Z_]{1,40}__(?!\w)|@@[A-Za-z_]{2,40}@@"
+    r"|(?<![\w.@])@[a-z_]{2,40}@(?![\w.])|\[\[[A-Za-z_ ]{2,40}\]\]|\[(?:your|insert|enter|add|describe|explain|write|fill|provide|list|replace|please|put|type|give|state|summari[sz]e|ihr|hier|votre|décrire|décrivez|describa|su|escriba) [^\]\n]+\]|<(?:insert|your|enter|add|describe|explain|write|fill|provide|list|replace|please|put|type|give|state) [^>\n]+>|\[[a-z_ ]{2,40}\](?!\()|<[a-z][a-z_ -]{1,40}>|\$[A-Z][A-Z]*_[A-Z_]+\b|\bX{4}\b.*\bY{4}\b|\{\d\}[^\n]{0,60}\{\d\}",
     re.I,
 )
 SPOKEN = re.compile(
@@ -75,6 +75,7 @@ SPOKEN = re.compile(
 )
 TAG = re.compile(r"<!doctype[^>]*>|</?(?:html|head|body|title|h[1-6]|p|hr|br|center|div|span|noscript|meta|script|style|pre|a|b|i|ul|li|strong|em)\b[^>]{0,200}>", re.I)
 IDS = re.compile(r"\b(?:[\w-]+\.)+(?:example|test|invalid|com|org|net|io|dev)\b|\b[a-z]+/\d[\w.]*|\bhttp/\d\.\d|\b(?=[a-z-]*\d)[0-9a-z-]{2,}\b|\b\d+\b", re.I)
+MAYBE_ID = re.compile(r"[\d.]")
 CODE_NAME = re.compile(r"\b[a-z0-9]+_[a-z0-9_]+\b|\b[a-z]+[A-Z]\w+\b|\b[\w-]+/[\w./-]+\.(?:c|h|cc|cpp|js|py|go|rs|java)\b")
 MARK = re.compile(r"[{%<@\[$]|__[A-Z]|XXXX")
 HINT = re.compile(r"<!--.*?-->", re.S)
@@ -157,8 +158,9 @@ def kind_of(auto: ahocorasick.Automaton, message: str | None, coverage: float =
     markup = text[:1] in "{<" or "</" in text
     found = hits(auto, low)
     form = "##" in text or "- [ ]" in text or "<!--" in text
-    if len(low) > 200 and not markup and not form and sum(size for _, size, _ in found) < 0.4 * coverage * len(low):
-        return None  # ids and numbers can't be so much of a text that the phrases reach the share
+    said = sum(size for _, size, _ in found)
+    if not form and "<" not in low and said < coverage * sum(sum(map(str.isalpha, w)) for w in low.split() if not MAYBE_ID.search(w)):
+        return None  # the letters outside of ids, hosts and tags are at least those
     masks = covered(found, len(low))
     hidden = bytearray(len(low))
     for m in IDS.finditer(low):

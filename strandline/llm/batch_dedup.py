@@ -241,8 +241,9 @@ class History:
     """The accepted changes of all earlier batches: a reference index, the texts and their segment index.
 
     ``ingest`` links a batch with what is stored and returns (seq, first) of the batch's rows, first being the row that
-    told the change first; then the batch's new entries are appended. Rows arrive in order of seq, so stored firsts
-    never change; a row that joins two stored changes repeats the smaller one. History is met by equi-joins of the
+    told the change first; then the batch's new entries are appended. Stored entries keep their firsts; where a row joins
+    stored changes, the larger firsts are appended as aliases of the smallest, and firsts that later batches look up are
+    resolved through these. Rows that earlier batches returned are not returned again. History is met by equi-joins of the
     batch's references and probes with the indexes; stored texts are read for the candidates' nodes only, none is cut
     into segments again.
     """
@@ -278,12 +279,19 @@ class History:
             named = own.where("type = 'commit'").join(self._read("shas"), ["lib", "ref_key"]).select("seq", F.col("first").alias("old"))
             near = checkpointed(self._candidates(texts))
             stored = near.where("equal").select(F.col("seq").alias("node")).distinct()
-            hits = by_ref.unionByName(sha).unionByName(named).unionByName(near.select("seq", "old")).groupBy("seq").agg(F.min("old").alias("old"))
-            lowest = out.join(hits, "seq").groupBy("first").agg(F.min("old").alias("old"))
-            out = out.join(lowest, "first", "left").select("seq", F.least("first", F.coalesce("old", "first")).alias("first"))
+            hits = by_ref.unionByName(sha).unionByName(named).unionByName(near.select("seq", "old")).distinct()
+            out = checkpointed(out)
+            links = checkpointed(out.join(hits, "seq").select(F.col("first").alias("a"), F.col("old").alias("b")).distinct())
+            top = checkpointed(components(links.unionByName(self._read("aliases"))).withColumnRenamed("first", "top"))
+            out = out.join(top, out["first"] == top["node"], "left").select("seq", F.coalesce("top", "first").alias("first"))
+            joined = links.select(F.col("b").alias("node")).distinct().join(top, "node").where("node <> top").select(F.col("node").alias("a"), F.col("top").alias("b"))
+            joined = checkpointed(joined.join(self._read("aliases"), ["a", "b"], "left_anti"))
+        else:
+            joined = out.select(F.col("seq").alias("a"), F.col("first").alias("b")).limit(0)
         out = checkpointed(out)
         new = texts if stored is None else texts.join(stored, "node", "left_anti")
         new = checkpointed(new.join(out.withColumnRenamed("seq", "node"), "node").select("node", "scope", "text", "first"))
+        self._append("aliases", joined)
         self._append("refs", own.join(out, "seq").groupBy("lib", "type", "ref_key").agg(F.min("first").alias("first")))
         self._append("shas", r.where("sha_key is not null").join(out, "seq").select("lib", F.col("sha_key").alias("ref_key"), "first"))
         self._append("texts", new)

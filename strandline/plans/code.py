@@ -102,15 +102,19 @@ select v.id, v.target, case when v.target is null then 'no_affected_functions' w
 def reachability_decisions(spark: SparkSession, d: str) -> DataFrame:
     """Whether the function that a vulnerability's summary names can be reached from an entry point of its library.
 
-    One join decides all vulnerabilities: the first entry point by name that reaches the function, in any snapshot.
+    One join decides all vulnerabilities: the first entry point by name that reaches the function, in any snapshot. Where
+    none does, the shortest path from a function named main decides, of at most 10 steps; the SQL lacks this strategy.
     """
     v = table(spark, d, "upstream_vulns").where("id is not null").groupBy("id").agg(F.min("library_id").alias("library_id"), F.min("summary").alias("summary"))
     v = v.select("id", "library_id", F.nullif(F.regexp_extract("summary", r"(?:before|in|when) ([A-Za-z_]\w*[A-Z_]\w*)", 1), F.lit("")).alias("target"))
     snapshots = table(spark, d, "function_records").where("library_id is not null and snapshot_id is not null").select("library_id", F.col("snapshot_id").alias("graph")).distinct()
     reached = _reached(spark, d).join(snapshots, "graph").groupBy("library_id", F.col("vertex").alias("target")).agg(F.min(F.struct("entry", "depth")).alias("hit"))
-    got = v.join(reached, ["library_id", "target"], "left").join(snapshots.select("library_id").distinct().withColumn("known", F.lit(True)), "library_id", "left")
-    strategy = F.when(F.col("target").isNull(), "no_affected_functions").when(F.col("known").isNull(), "library_snapshot_not_found").when(F.col("hit").isNotNull(), "entry_reaches").otherwise("exhausted")
-    return got.select("id", "target", strategy.alias("strategy"), F.col("hit.entry").alias("entry"), F.col("hit.depth").alias("depth"))
+    mains = table(spark, d, "function_records").where("name = 'main' and snapshot_id is not null").select(F.col("snapshot_id").alias("graph"), F.col("name").alias("vertex"))
+    paths = graph.reach(_edges(spark, d), mains, 10).where("depth > 0").join(snapshots, "graph").groupBy("library_id", F.col("vertex").alias("target")).agg(F.min("depth").alias("length"))
+    got = v.join(reached, ["library_id", "target"], "left").join(paths, ["library_id", "target"], "left").join(snapshots.select("library_id").distinct().withColumn("known", F.lit(True)), "library_id", "left")
+    strategy = F.when(F.col("target").isNull(), "no_affected_functions").when(F.col("known").isNull(), "library_snapshot_not_found").when(F.col("hit").isNotNull(), "entry_reaches").when(F.col("length").isNotNull(), "shortest_path").otherwise("exhausted")
+    entry = F.coalesce("hit.entry", F.when(F.col("length").isNotNull(), "main"))
+    return got.select("id", "target", strategy.alias("strategy"), entry.alias("entry"), F.coalesce("hit.depth", "length").alias("depth"))
 
 
 @query(f"""with recursive {_EDGES}, {_ENTRIES}, f as (select distinct snapshot_id as graph, name, file_path from function_records where trim(file_path) <> '' and snapshot_id is not null),

@@ -22,3 +22,11 @@ def test_a_flaw_far_from_its_entry_point_is_reached(spark, tmp_path):
     d = _write(spark, tmp_path, list(zip(chain, chain[1:])), [(n, n == "z_entry") for n in chain])
     spark.createDataFrame([("u", "lib", "Overflow in f_9")], "id string, library_id string, summary string").write.parquet(f"{d}/upstream_vulns.parquet")
     assert tuple(e.queries()["reachability_decisions"](spark, d).first()) == ("u", "f_9", "entry_reaches", "z_entry", 9)
+
+
+def test_a_flaw_that_only_main_reaches(spark, tmp_path):
+    chain = ["main", *(f"f_{i}" for i in range(1, 12))]
+    d = _write(spark, tmp_path, list(zip(chain, chain[1:])), [*((n, False) for n in chain), ("a_entry", True)])
+    spark.createDataFrame([("near", "lib", "Overflow in f_10"), ("far", "lib", "Overflow in f_11")], "id string, library_id string, summary string").write.parquet(f"{d}/upstream_vulns.parquet")
+    got = {tuple(r) for r in e.queries()["reachability_decisions"](spark, d).collect()}
+    assert got == {("near", "f_10", "shortest_path", "main", 10), ("far", "f_11", "exhausted", None, None)}

@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from functools import cache
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -27,13 +28,20 @@ def local_session(cores: int | str = "*", partitions: int = 8, memory: str = "6g
     return b.config("spark.sql.shuffle.partitions", str(partitions)).config("spark.driver.memory", memory).getOrCreate()
 
 
+@cache
+def _own_dir() -> str:
+    return tempfile.mkdtemp(prefix="spark-strandline-", dir="/tmp")
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a temporary one only where that is unset (tests)."""
+    """The folder named by spark.checkpoint.dir. Where that is unset a local session gets a temporary one of its own; a
+    cluster must name one that all its machines share."""
     at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        at = tempfile.mkdtemp(prefix="spark-strandline-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", at)
-    return at
+    if at:
+        return at
+    if not spark.sparkContext.master.startswith("local["):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    return _own_dir()
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
@@ -54,3 +62,19 @@ def share_library(spark: SparkSession) -> None:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new path for a written intermediate table in the shared folder."""
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def _path(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    fs, at = _path(spark, path)
+    return fs.exists(at)
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Removes an intermediate table that nothing reads any more."""
+    fs, at = _path(spark, path)
+    fs.delete(at, True)

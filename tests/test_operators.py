@@ -173,7 +173,7 @@ def test_paths_against_brute_force(spark):
 def test_text_functions(spark):
     df = spark.createDataFrame([("git@h.example:a/b.git", "fix(x)!: y (#12)", "Closes #7", "@@ -1 +1 @@ int foo(int a)\n+x\n@@ -9 +9 @@ struct bar\n@@ -9 +9 @@ foo(x)")], "u string, t string, m string, p string")
     got = df.select(text.repo_path("u"), text.repo_name("u"), text.title_prefix("t"), text.merge_number("t"), text.issue_number("t", "m"), text.hunk_functions("p"), text.html_escaped(F.lit("<a & \"b\">")), text.parsed_time(F.lit("no"))).first()
-    assert tuple(got) == ("a/b", "b", "fix", 12, 7, ["foo"], "&lt;a &amp; &quot;b&quot;&gt;", None)
+    assert tuple(got) == ("a/b", "b", "fix", 12, 7, ["foo", "bar"], "&lt;a &amp; &quot;b&quot;&gt;", None)
     assert spark.range(1).select(F.lit("AxB.c").rlike(text.glob_pattern("a?b.*")), F.lit("zAxB.c").rlike(text.glob_pattern("a?b.*"))).first()[:] == (True, False)
 
 

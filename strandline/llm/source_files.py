@@ -1,25 +1,30 @@
 """Problem 6: generated, minified, vendored source files and data in the shape of code.
 
-Every function record gives a few counts (lines of data, longest line, tool marks in comments, a named project) and the
-winnowed fingerprints of its token stream: comments dropped, white space ignored, numbers and strings replaced; of each
-``WINDOW`` neighbouring hashes of ``GRAM`` tokens the smallest is kept, so any copied run of
-``GRAM + WINDOW - 1`` tokens leaves a common fingerprint. A fingerprint recurs when other libraries than the file's own
-hold it; libraries of one owner count once where a library table is given. Files whose fingerprints largely recur are
-copies; those of a single other library need a sign of where they came from (a vendor folder, a foreign project's
-banner). What later snapshots of a library keep never counts, as only distinct (fingerprint, library) pairs do.
-
-Nothing is grouped by library or repository: fingerprints are deduplicated per (fingerprint, library) and counted per
-fingerprint, with partial aggregation, so the commonest fingerprint is as many rows as libraries hold it.
+Every distinct content is described once by a few counts (characters of data, packed lines, tool marks in the comments above
+the code, a named project) and the winnowed fingerprints of its token stream: comments dropped, white space ignored, numbers
+and strings replaced; of each ``WINDOW`` neighbouring hashes of ``GRAM`` tokens the smallest is kept, so any copied run of
+``GRAM + WINDOW - 1`` tokens leaves a common fingerprint. Runs with few names (tables of numbers) say nothing of where they
+come from and leave none. A fingerprint recurs when several libraries hold it. Files whose fingerprints largely recur in
+more than ``UNRELATED`` owners' libraries are copies; a sign of where they came from (a vendor folder, a foreign project's
+banner) lowers the share that must recur, but is never enough: a copy that no other library holds is not found. What later
+snapshots of a library keep never counts, as only distinct (fingerprint, library) pairs do.
+
+Nothing is grouped by library or repository. Fingerprints are told apart by the least and greatest library that holds them,
+with partial aggregation; only those that recur go on. Those in at least ``HOT_ROWS`` contents, at most ``MAX_HOT``
+of them, are looked up by broadcast, all others by shuffle.
 
 Defined cases: a null or blank file_path is no file; null or empty content adds nothing, a file of only such records is
-hand-written; repeated rows of a function count once; a null library_id is a library of its own; very long lines and
-contents are read whole; an empty table gives no rows. Further columns are ignored.
+hand-written; repeated rows of a function count once; a null library_id is a library of its own; contents of fewer than
+``GRAM`` tokens have no fingerprints and are never copies; very long lines and contents are read whole; an empty table gives
+no rows. Further columns are ignored.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -27,11 +32,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandline.session import scratch_path
+from strandline.session import checkpointed, scratch_path
 
-GRAM, WINDOW = 32, 8
-#: Share of a file's fingerprints that must recur, and in how many other libraries at least without another sign.
-COPIED_SHARE, UNRELATED = 0.6, 2
+GRAM, WINDOW, NAMES = 24, 16, 5
+#: Share of a file's fingerprints that must recur without and with a sign of where it came from; without one, how many
+#: must (fewer are an idiom), and by how many owners most of them must be held at least.
+COPIED_SHARE, SIGNED_SHARE, LEAST_SHARED, UNRELATED = 0.7, 0.05, 4, 2
+#: Contents in which a fingerprint is hot, and how many hot ones are broadcast at most (the commonest; others shuffle).
+HOT_ROWS, MAX_HOT = 100_000, 1_000
 
 TOKEN = re.compile(r"[A-Za-z_]\w*|\d[\w.]*|[^\w\s]")
 COMMENT = re.compile(r"/\*.*?\*/|//[^\n]*|(?m:^[ \t]*#(?!\s*(?:include|define|if|ifdef|ifndef|else|endif|elif|line|pragma|undef|error)\b)[^\n]*)", re.S)
@@ -40,8 +48,10 @@ COMMENT_TEXT = re.compile(r"/\*(.*?)\*/|(?:^|[ \t;{}])(?://+|#+)([^\n]*)|<!--(.*
 
 # What tools write above their output.
 TOOL = re.compile(
-    r"@generated\b|<auto-?generated\b|\bdo not (?:edit|modify|change|make (?:any )?(?:changes|edits))\b|changes (?:here |to this file )?(?:will|may) be (?:lost|overwritten|discarded)"
-    r"|^\W*(?:this (?:file|code|source|module|wrapper|parser|scanner|header|table) (?:is|was|has been) )?(?:\w+ )?(?:code|file|source|module|wrapper|parser|scanner|header|table|bindings?|stubs?)?\s*(?:was |is )?(?:automatically |auto-?|machine[- ])?(?:generated|created|produced|written|made|built|emitted|compiled) (?:automatically )?(?:by|from|with|using) (?:an? |the )?[\w.+-]+(?: [\w.-]+)? ?(?:tool|compiler|generator|script|v?\d+\.\d+)"
+    r"@generated\b|<auto-?generated\b|\bdo not (?:edit|modify|change|make (?:any )?(?:changes|edits))\b(?:,? (?:it|here|this file|this|manually|by hand|directly))*\W*(?:$|[.;!*])"
+    r"|changes (?:here |to this file )?(?:will|may) be (?:lost|overwritten|discarded)"
+    r"|^\W*(?:this (?:file|code|source|module|wrapper|parser|scanner|header|table) (?:is|was|has been) )?(?:\w+ )?(?:code|file|source|module|wrapper|parser|scanner|header|table|bindings?|stubs?)?\s*(?:was |is )?(?:automatically |auto-?|machine[- ])?generated (?:automatically )?(?:by|from|with|using) (?:an? |the )?[\w.+-]+(?: [\w.-]+)? ?(?:tool|compiler|generator|script|v?\d+\.\d+)"
+    r"|^\W*this (?:file|code|source|module|wrapper|parser|scanner|header|table) (?:is|was|has been) (?:automatically |auto-?|machine[- ])?(?:created|produced|written|made|built|emitted|compiled) (?:automatically )?(?:by|from|with|using) (?:an? |the )?[\w.+-]+(?: [\w.-]+)? ?(?:tool|compiler|generator|script|v?\d+\.\d+)"
     r"|^\W*an? [\w ]{1,40}(?:scanner|parser|lexer|wrapper|binding|table|stub)s? (?:made|generated|created|produced|built) by \w+"
     r"|^\W*(?:auto|machine)[- ]?generated (?:by|from|file|code)|^\W*this (?:file|code|source|module) (?:is|was|has been) (?:automatically|auto-?|machine-?) ?\w+"
     r"|edit the (?:definition|schema|grammar|template|source|input) instead|ne pas (?:modifier|éditer)|ce fichier (?:est|a été) (?:produit|généré|créé)"
@@ -57,115 +67,134 @@ DATA = re.compile(
     re.M,
 )
 PROJECT = re.compile(
-    r"this file is part of (?:the )?([\w.+-]+)|(?:imported|copied|taken|vendored|borrowed|adapted) (?:verbatim )?from (?:the )?([\w.+-]+) v?\d"
+    r"this file is part of (?:the )?([\w.+-]+)|(?:imported|copied|taken|vendored|borrowed|adapted) (?:verbatim )?from (?:the )?(?!(?:rfc|posix|iso|iec|ieee|ansi|ecma|itu|nist|fips|din)\b)([\w.+-]+) v?\d"
     r"|^\W*([\w.+-]+) v?\d+\.\d+[\w.]* *(?:\||-|,)? *\(c\)|copyright (?:\(c\)|©)? *(?:\d{4}[-, \d]*)?(?:by )?(?:the )?([\w.+-]+) (?:authors|contributors|project|developers|team)",
     re.I | re.M,
 )
 VENDOR_DIR = r"(?i)(^|/)(third[-_]?party|3rd[-_]?party|vendor|vendored|extern|external|externals|deps|contrib|subprojects|node_modules|bower_components|submodules|bundled)/"
 
-FEATURES = "chars bigint, code_chars bigint, data_chars bigint, lines bigint, packed_chars bigint, short_names bigint, names bigint, tool boolean, shape bigint, same_lines bigint, project string, prints array<bigint>"
+FEATURES = "chars bigint, data_chars bigint, lines bigint, packed_chars bigint, short_names bigint, names bigint, tool boolean, shape bigint, same_lines bigint, project string, prints array<bigint>"
+COUNTS = ("chars", "data_chars", "lines", "packed_chars", "short_names", "names", "shape", "same_lines")
+HEAD = re.compile(r"(?:\s*(?:/\*.*?\*/|//[^\n]*|<!--.*?-->|#(?!\s*(?:include|define|if|ifdef|ifndef|else|endif|elif|line|pragma|undef|error)\b)[^\n]*))+", re.S)
+NUMBERED, MASKED = re.compile(r"[\w']*\d[\w']*|\"[^\"\n]*\""), re.compile(r"[;{},=]")
+
 
+@lru_cache(1 << 18)
+def _token_id(token: str) -> int:
+    return xxhash.xxh3_64_intdigest(token)
 
-def fingerprints(text: str) -> list[int]:
-    """Winnowed hashes of the token stream of a text."""
-    bare = STRING.sub('"', COMMENT.sub(" ", text))
-    toks = ["0" if t[0].isdigit() else t for t in TOKEN.findall(bare)]
-    if len(toks) < GRAM:
+
+def fingerprints(tokens: list[str]) -> list[int]:
+    """Winnowed hashes of the runs of GRAM tokens with at least NAMES different names between them."""
+    n = len(tokens) - GRAM + 1
+    if n <= 0:
         return []
-    ids = np.fromiter((xxhash.xxh3_64_intdigest(t) for t in toks), np.uint64, len(toks))
+    ids = np.fromiter(map(_token_id, tokens), np.uint64, len(tokens))
     with np.errstate(over="ignore"):
-        h, n = np.zeros(len(ids) - GRAM + 1, np.uint64), len(ids) - GRAM + 1
+        h = np.zeros(n, np.uint64)
         for i in range(GRAM):
             h = h * np.uint64(0x9E3779B97F4A7C15) + (ids[i : i + n] ^ (ids[i : i + n] >> np.uint64(29)))
         h ^= h >> np.uint64(32)
+    at = np.arange(n)
     if n > WINDOW:
-        h = np.lib.stride_tricks.sliding_window_view(h, WINDOW).min(axis=1)
-    return np.unique(h).view(np.int64).tolist()
+        w = np.lib.stride_tricks.sliding_window_view(h, WINDOW)
+        at = np.unique(w.argmin(axis=1) + np.arange(len(w)))
+    kept = {int(h[i]) for i in at if len({t for t in tokens[i : i + GRAM] if len(t) > 1 and (t[0].isalpha() or t[0] == "_")}) >= NAMES}
+    return [x - (1 << 64) if x >> 63 else x for x in sorted(kept)]
+
+
+def tokens_of(bare: str) -> list[str]:
+    """The tokens of a text without comments; numbers are all the same."""
+    return ["0" if t[0].isdigit() else t for t in TOKEN.findall(bare)]
 
 
 def describe(text: str) -> tuple:
-    """The counts of one record, in the order of FEATURES."""
+    """The counts of one content, in the order of FEATURES."""
     lines = [x for x in text.split("\n") if x.strip()]
-    comments = ["".join(x) for x in COMMENT_TEXT.findall(re.sub(r'"(?:\\.|[^"\\\n])*"', '"', text))]
-    outside = "\n".join(comments)
-    bare = STRING.sub('"', COMMENT.sub(" ", text))
-    names = re.findall(r"[A-Za-z_]\w*", bare)
-    named = next((next(filter(None, m.groups())) for m in [PROJECT.search(outside)] if m), None)
-    masked: dict[str, int] = {}
-    for x in lines:
-        k = re.sub(r"[\w']*\d[\w']*|\"[^\"]*\"", "0", x.strip())
-        if len(k) > 8:
-            masked[k] = masked.get(k, 0) + 1
+    head = HEAD.match(text)
+    tokens = tokens_of(STRING.sub('"', COMMENT.sub(" ", text)))
+    names = [t for t in tokens if t[0].isalpha() or t[0] == "_"]
+    above = "\n".join("".join(x) for x in COMMENT_TEXT.findall(head.group())) if head else ""
+    named = PROJECT.search(above) if above else None
+    masked = Counter(map(str.strip, NUMBERED.sub("0", text).split("\n"))) if len(lines) >= 6 else {}
     data = sum(m.end() - m.start() for m in DATA.finditer(text))
-    packed = sum(len(x) for x in lines if len(x) > 160 and len(re.findall(r"[;{},=]", x)) * 12 > len(x) and x.count(" ") * 8 < len(x))
+    packed = sum(len(x) for x in lines if len(x) > 160 and len(MASKED.findall(x)) * 12 > len(x) and x.count(" ") * 8 < len(x))
     return (
-        len(text), len(bare.strip()), data, len(lines), packed, sum(len(n) <= 2 for n in names), len(names),
-        bool(TOOL.search(outside)), len(SHAPE.findall(text)), sum(n for n in masked.values() if n >= 6), named, fingerprints(text),
+        len(text), data, len(lines), packed, sum(len(n) <= 2 for n in names), len(names),
+        bool(above and TOOL.search(above)), len(SHAPE.findall(text)), sum(n for k, n in masked.items() if n >= 6 and len(k) > 8), named and next(filter(None, named.groups())), fingerprints(tokens),
     )
 
 
-def records(functions: DataFrame) -> DataFrame:
-    """(snapshot_id, file_path, function_id, library_id) with the counts of each record with a path, rows once."""
+def described(records: DataFrame) -> DataFrame:
+    """(c, *FEATURES) of the distinct contents of records (c, content)."""
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         cols = [c.split()[0] for c in FEATURES.split(", ")]
         for p in parts:
-            d = pd.DataFrame([describe(t) for t in p["content"]], columns=cols)
-            yield pd.concat([p[["snapshot_id", "file_path", "function_id", "library_id"]].reset_index(drop=True), d], axis=1)
+            yield pd.concat([p[["c"]].reset_index(drop=True), pd.DataFrame([describe(t) for t in p["content"]], columns=cols)], axis=1)
+
+    return records.select("c", "content").where("content <> ''").groupBy("c").agg(F.first("content").alias("content")).mapInPandas(run, f"c binary, {FEATURES}")
+
+
+def owners_of(libraries: DataFrame | None) -> DataFrame | None:
+    """(library_id, owner, name): the owner is the first part of the repository's path, where it has one."""
+    if libraries is None:
+        return None
+    owner = F.regexp_extract(F.lower("repo_url"), r"^[a-z+]*:?/*[^/:]+[/:]([^/]+)/", 1)
+    return libraries.select(F.col("id").alias("library_id"), F.when(owner != "", owner).alias("owner"), F.lower("name").alias("name")).dropDuplicates(["library_id"])
 
-    held = functions.where("trim(file_path) <> ''").select("snapshot_id", "file_path", "function_id", F.coalesce("library_id", F.lit("")).alias("library_id"), F.coalesce("content", F.lit("")).alias("content"))
-    return held.mapInPandas(run, f"snapshot_id string, file_path string, function_id bigint, library_id string, {FEATURES}").dropDuplicates(["snapshot_id", "file_path", "function_id"])
 
+def recurrence(contents: DataFrame, held: DataFrame, owners: DataFrame | None, hot_rows: int = HOT_ROWS, max_hot: int = MAX_HOT) -> DataFrame:
+    """(c, shared, wide): how many of a content's fingerprints several libraries hold, and more than UNRELATED owners.
 
-def recurrence(recs: DataFrame, libraries: DataFrame | None) -> DataFrame:
-    """(snapshot_id, file_path, prints, shared, elsewhere): the file's fingerprints, how many of them other owners'
-    libraries hold, and in how many libraries the middle one of those is found."""
-    prints = recs.select("snapshot_id", "file_path", "library_id", F.explode(F.array_distinct("prints")).alias("p"))
-    held = prints.select("p", "library_id").distinct()
-    if libraries is not None:
-        owner = libraries.select(F.col("id").alias("library_id"), F.regexp_extract(F.lower("repo_url"), r"^[a-z+]*:?/*[^/:]+[/:]([^/]+)/", 1).alias("owner"), F.lower("name").alias("name")).dropDuplicates(["library_id"])
-        held = held.join(owner.select("library_id", "owner"), "library_id", "left").withColumn("owner", F.when(F.col("owner") != "", F.col("owner")).otherwise(F.col("library_id")))
-        counts = held.groupBy("p").agg(F.countDistinct("library_id").alias("libs"), F.countDistinct("owner").alias("owners")).where("libs > 1")
-    else:
-        counts = held.groupBy("p").agg(F.count("*").alias("libs")).where("libs > 1").withColumn("owners", F.col("libs"))
-    per = prints.join(counts, "p", "left").groupBy("snapshot_id", "file_path")
-    return per.agg(F.count("*").alias("prints"), F.count("libs").alias("shared"), F.expr("percentile_approx(libs, 0.5)").alias("elsewhere"), F.expr("percentile_approx(owners, 0.5)").alias("owners"))
+    contents has (c, prints), held the (c, library_id) that hold a content, each once.
+    """
+    spread = held.groupBy("c").agg(F.min("library_id").alias("lo"), F.max("library_id").alias("hi"))
+    prints = contents.select("c", F.explode("prints").alias("p"))
+    ends = contents.join(spread, "c").select(F.explode("prints").alias("p"), "lo", "hi").groupBy("p").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.count("*").alias("n"))
+    recurring = checkpointed(ends.where("lo <> hi").select("p", "n"))
+    hot = recurring.where(F.col("n") >= hot_rows).orderBy(F.desc("n"), "p").limit(max_hot).select("p")
+    hot = [r["p"] for r in hot.collect()]  # at most max_hot numbers
+    known = prints.join(recurring.select("p"), "p", "left_semi") if not hot else prints.where(F.col("p").isin(hot)).unionByName(prints.where(~F.col("p").isin(hot)).join(recurring.select("p"), "p", "left_semi"))
+    known = checkpointed(known)
+    of = held if owners is None else held.join(owners.select("library_id", "owner"), "library_id", "left").select("c", F.coalesce("owner", "library_id").alias("library_id")).distinct()
+    wide = known.join(of, "c").groupBy("p", "library_id").agg(F.lit(1).alias("one")).groupBy("p").agg(F.count("*").alias("owners")).where(F.col("owners") > UNRELATED).select("p")
+    hits = known.withColumn("hit", F.lit(0)).unionByName(known.join(wide, "p", "left_semi").withColumn("hit", F.lit(1)))
+    return hits.groupBy("c").agg(F.count_if(F.col("hit") == 0).alias("shared"), F.sum("hit").alias("wide"))
 
 
 def judged_files(functions: DataFrame, libraries: DataFrame | None = None) -> DataFrame:
     """(snapshot_id, file_path, kind): kind is generated, minified, data, vendored or null for hand-written files."""
     spark = functions.sparkSession
-    at = scratch_path(spark, "source-records")
-    records(functions).write.parquet(at)
-    recs = spark.read.parquet(at)
-    files = recs.groupBy("snapshot_id", "file_path").agg(
-        F.min("library_id").alias("library_id"), F.max("project").alias("project"), F.max("tool").alias("tool"),
-        *(F.sum(c).alias(c) for c in ("chars", "code_chars", "data_chars", "lines", "packed_chars", "short_names", "names", "shape", "same_lines")),
+    content = F.coalesce("content", F.lit(""))
+    records = functions.where("trim(file_path) <> ''").select("snapshot_id", "file_path", "function_id", F.coalesce("library_id", F.lit("")).alias("library_id"), F.coalesce("start_line", F.lit(0)).alias("line"), F.unhex(F.md5(content)).alias("c"), content.alias("content"))
+    at = scratch_path(spark, "contents")
+    described(records).write.parquet(at)
+    contents = spark.read.parquet(at)
+    keys = ["snapshot_id", "file_path", "function_id"]
+    rows = checkpointed(records.groupBy(*keys).agg(F.min(F.struct("line", "c", "library_id")).alias("r")).select(*keys, "r.*"))
+    owners = owners_of(libraries)
+    found = recurrence(contents, rows.select("c", "library_id").distinct(), owners)
+    facts = contents.withColumn("prints", F.size("prints")).join(found, "c", "left").fillna(0, ["shared", "wide"])
+    first = F.struct("line", "function_id")
+    files = rows.join(facts, "c", "left").groupBy("snapshot_id", "file_path").agg(
+        F.min("library_id").alias("library_id"), F.min_by("project", first).alias("project"), F.coalesce(F.min_by("tool", first), F.lit(False)).alias("tool"), *(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in (*COUNTS, "prints", "shared", "wide")),
     )
-    files = files.join(recurrence(recs, libraries), ["snapshot_id", "file_path"], "left")
-    if libraries is not None:
-        files = files.join(libraries.select(F.col("id").alias("library_id"), F.lower("name").alias("name")).dropDuplicates(["library_id"]), "library_id", "left")
-    else:
-        files = files.withColumn("name", F.lit(None).cast("string"))
+    files = files.withColumn("name", F.lit(None).cast("string")) if owners is None else files.join(owners.select("library_id", "name"), "library_id", "left")
     bare = lambda c: F.regexp_replace(F.lower(c), r"^lib|[^a-z0-9]|\.(c|h|js)$", "")
-    foreign = F.coalesce(F.col("project").isNotNull() & (bare(F.col("project")) != F.coalesce(bare(F.col("name")), F.lit(""))), F.lit(False))
-    shared = F.coalesce(F.col("shared") / F.col("prints"), F.lit(0.0))
-    folder = F.col("file_path").rlike(VENDOR_DIR)
-    home = F.regexp_extract("file_path", VENDOR_DIR + r"([^/]+)/", 3)
-    elsewhere = folder & (home != "") & ~bare(F.regexp_replace(home, r"-v?\d.*$", "")).isin("src", "lib", "include") & (bare(F.regexp_replace(home, r"-v?\d.*$", "")) != F.coalesce(bare(F.col("name")), F.lit("")))
+    own = F.coalesce(bare(F.col("name")), F.lit(""))
+    home = bare(F.regexp_replace(F.regexp_extract("file_path", VENDOR_DIR + r"([^/]+)/", 3), r"-v?\d.*$", ""))
+    folder = F.col("file_path").rlike(VENDOR_DIR) & (home != own)
+    foreign = F.coalesce(bare(F.col("project")) != own, F.lit(False))
+    share = F.coalesce(F.col("shared") / F.nullif(F.col("prints"), F.lit(0)), F.lit(0.0))
+    vendored = ((share >= COPIED_SHARE) & (F.col("shared") >= LEAST_SHARED) & (F.col("wide") * 2 >= F.col("shared"))) | ((share >= SIGNED_SHARE) & (folder | foreign))
     minified = ((F.col("packed_chars") > 0.5 * F.col("chars")) & (F.col("short_names") > 0.4 * F.col("names"))) | (F.col("packed_chars") > 0.8 * F.col("chars"))
     generated = F.col("tool") | (F.col("shape") >= 2) | ((F.col("same_lines") > 0.6 * F.col("lines")) & (F.col("lines") > 30))
-    vendored = (
-        ((shared >= COPIED_SHARE) & ((F.col("owners") > UNRELATED) | folder | foreign))
-        | (foreign & ((shared >= 0.2) | folder | F.col("project").isNotNull()))
-        | (folder & (shared >= 0.3))
-        | elsewhere
-    )
     kind = (
         F.when((F.col("data_chars") > 0.5 * F.col("chars")) & (F.col("data_chars") > 200), "data")
         .when(minified, "minified").when(generated, "generated").when(vendored, "vendored")
     )
-    return files.select("snapshot_id", "file_path", "library_id", kind.alias("kind"), "project", "prints", "shared", "elsewhere", "owners", "chars", "same_lines", "lines")
+    return files.select("snapshot_id", "file_path", "library_id", kind.alias("kind"), "project", "prints", "shared", "wide", "chars", "same_lines", "lines")
 
 
 def not_hand_written(functions: DataFrame, libraries: DataFrame | None = None) -> DataFrame:

@@ -186,7 +186,7 @@ def test_probes_meet_longer_and_shorter_texts():
 
 
 # ---- problem 6 ----
-FUNCTIONS = "snapshot_id string, file_path string, function_id bigint, library_id string, content string, kind string, prints int"
+FUNCTIONS = "snapshot_id string, file_path string, function_id bigint, library_id string, content string, kind string, prints int, start_line int"
 
 
 def _body(seed, n=14):
@@ -201,7 +201,7 @@ def test_files_nobody_wrote(spark):
     def add(lib, path, text):
         nonlocal n
         n += 1
-        rows.append((f"s{lib}", path, n, f"l{lib}", text, "x", 1))
+        rows.append((f"s{lib}", path, n, f"l{lib}", text, "x", 1, 1))
 
     for lib in range(5):
         add(lib, "src/own.c", _body(100 + lib))
@@ -213,24 +213,43 @@ def test_files_nobody_wrote(spark):
     add(0, "res/logo.c", "const char d[] = {\n" + "\n".join("    " + ", ".join("0x%02x" % (i * j % 256) for j in range(12)) + "," for i in range(1, 40)) + "\n};")
     add(0, "src/table.c", "static const int t[] = { 1, 2, 3 }; /* sizes */\n" + _body(4))
     add(0, "third_party/foozip/foozip.c", "/* This file is part of foozip. */\n" + _body(5))
+    add(0, "third_party/foozip/more.c", "/* This file is part of foozip. */\n" + _body(7, 4) + _body(8))
+    add(0, "src/rfc.c", "/* The table is adapted from RFC 1951 and taken from POSIX 2008. */\n" + _body(10))
+    add(0, "src/lock.c", "/* Do not modify while the lock is held, the list is written by a script. */\n" + _body(11))
+    add(0, "src/said.c", _body(12) + "\n/* Generated by foogen 1.2. DO NOT EDIT. */\n" + _body(13))
+    for lib in range(5):
+        add(lib, f"src/limits{lib}.c", "static const struct { int k, max; } tab[] = {\n" + "".join(f"    {{ {lib + i}, {97 * i} }}, /* w{lib}{i} */\n" for i in range(9)) + "};")
     add(0, " ", _body(6))
     add(0, None, _body(6))
     add(0, "src/empty.c", None)
     rows += rows[:3]  # delivered twice
     df = spark.createDataFrame(rows, FUNCTIONS)
     got = {(r["snapshot_id"], r["file_path"]): r["kind"] for r in source_files.judged_files(df).collect()}
-    assert len(got) == 5 * 2 + 8
+    assert len(got) == 5 * 3 + 12
     flagged = {k: v for k, v in got.items() if v}
-    assert flagged == {(f"s{i}", "src/copied.c"): "vendored" for i in range(5)} | {("s0", "src/gen.c"): "generated", ("s0", "src/gen_de.c"): "generated", ("s0", "www/a.min.js"): "minified", ("s0", "res/logo.c"): "data", ("s0", "third_party/foozip/foozip.c"): "vendored"}
+    # of the two with a foreign banner only the one that holds code of other libraries, too
+    assert flagged == {(f"s{i}", "src/copied.c"): "vendored" for i in range(5)} | {("s0", "src/gen.c"): "generated", ("s0", "src/gen_de.c"): "generated", ("s0", "www/a.min.js"): "minified", ("s0", "res/logo.c"): "data", ("s0", "third_party/foozip/more.c"): "vendored"}
     assert source_files.judged_files(df.limit(0)).count() == 0
 
 
+def test_hot_fingerprints_give_the_same_counts(spark):
+    contents = spark.createDataFrame([(bytes([i]), [1, 2] if i % 2 else [1, 3 + i]) for i in range(40)], "c binary, prints array<bigint>")
+    held = spark.createDataFrame([(bytes([i]), f"l{i % 4}") for i in range(40)], "c binary, library_id string")
+    want = [(i, 1 + i % 2, 1) for i in range(40)]  # 1 is held by four libraries, 2 by two, the others by one each
+    for hot in (1, 10, 1000):
+        assert sorted((r["c"][0], r["shared"], r["wide"]) for r in source_files.recurrence(contents, held, None, hot).collect()) == want
+
+
+def _prints(text):
+    return set(source_files.describe(text)[-1])
+
+
 def test_winnowing_finds_a_copied_run_and_ignores_layout():
     a, run = _body(1, 30), _body(9, 12)
-    prints = set(source_files.fingerprints(run))
-    assert prints and len(prints & set(source_files.fingerprints(a + "\n" + run))) >= len(prints) - 2
-    assert set(source_files.fingerprints(run)) == set(source_files.fingerprints(run.replace("    ", "\t").replace("{", "{ /* x */")))
-    assert not prints & set(source_files.fingerprints(a))
+    prints = _prints(run)
+    assert prints and len(prints & _prints(a + "\n" + run)) >= len(prints) - 2
+    assert prints == _prints(run.replace("    ", "\t").replace("{", "{ /* x */"))
+    assert not prints & _prints(a) and not _prints("int a[] = { " + "1, " * 300 + "};")
 
 
 # ---- problem 7 ----

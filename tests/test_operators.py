@@ -70,9 +70,9 @@ def test_late_events_against_brute_force(spark):
     df = spark.createDataFrame(data, "id string, key string, event_time timestamp_ntz, arrived timestamp_ntz")
     late = {i for i, _, at, came in data if came > T(at.year, at.month, at.day) + dt.timedelta(days=4)}
     assert "edge" not in late and late
-    for every in (1, 7, 1000):
-        assert {x["id"] for x in late_events.too_late(df, every_days=every).collect()} == late
-        days = late_events.daily(df, every_days=every).collect()
+    for every, batches in ((1, 4), (7, 1), (1000, 2)):
+        assert {x["id"] for x in late_events.too_late(df, every_days=every, batches=batches).collect()} == late
+        days = late_events.daily(df, every_days=every, batches=batches).collect()
         want = defaultdict(int)
         for i, k, at, _ in data:
             want[k, at.date()] += i not in late
@@ -84,6 +84,26 @@ def test_late_events_against_brute_force(spark):
                 assert x["running_total"] == total
 
 
+def test_a_ledger_in_separate_runs_restores_and_replaces(spark, tmp_path):
+    schema = "key string, event_time timestamp_ntz, arrived timestamp_ntz"
+    day = lambda n, h=5: T(2024, 3, 1, h) + dt.timedelta(days=n)
+    runs = [
+        [("a", day(0), day(0, 6)), ("a", day(20), day(20, 6)), ("a", day(40), day(40, 6)), ("b", day(1), day(1, 6))],
+        [("a", day(38), day(41)), ("a", day(0), day(41)), ("a", day(41), day(41, 6))],  # one corrects, one is too late
+        [("b", day(1), day(50)), ("a", day(41), day(42)), (None, day(3), day(3))],
+    ]
+    at, want = str(tmp_path / "ledger"), late_events.daily(spark.createDataFrame([x for r in runs for x in r], schema), batches=1)
+    for i, r in enumerate(runs):
+        late_events.Ledger(spark, at).ingest(spark.createDataFrame(r, schema), i)
+        before = late_events.Ledger(spark, at).days().collect()
+        late_events.Ledger(spark, at).ingest(spark.createDataFrame(r, schema), i)  # once more
+        assert sorted(map(str, before)) == sorted(map(str, late_events.Ledger(spark, at).days().collect()))
+    assert rows(late_events.Ledger(spark, at).days().drop("closed_from")) == rows(want)
+    last = spark.read.parquet(f"{at}/state/batch=2").where("what = 0").collect()
+    ordinal = day(0).toordinal() - dt.date(1970, 1, 1).toordinal()  # day 41 begins a block of its own
+    assert {(x["key"], x["day"] - ordinal) for x in last} == {("a", 41), ("b", 1), ("\0", 3)}
+
+
 def test_arrivals_fall_back_repeat_and_leave_out(spark):
     e = spark.createDataFrame(
         [("1", "l", "commit", "r", None, T(2024, 1, 5)), ("1", "l", "commit", "r", None, T(2024, 1, 4)), ("2", "l", "tag", "v", None, T(2024, 1, 4)), ("3", "l", "tag", "w", T(2024, 1, 1), None), (None, "l", "tag", "w", T(2024, 1, 1), T(2024, 1, 1))],

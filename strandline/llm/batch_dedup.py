@@ -29,7 +29,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.session import checkpointed, discard, exists, scratch_path
+from strandline.session import checkpointed, discard, scratch_path
+from strandline.stored import StoredBatches
 
 #: Words that may differ between two texts of one change.
 TAU = 3
@@ -210,7 +211,7 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     raise RuntimeError(f"components of a diameter beyond 2^{max_rounds}")
 
 
-class History:
+class History(StoredBatches):
     """The accepted changes of all earlier batches in a shared folder, met by each new batch without reading them whole.
 
     Tables, each partitioned by batch and by bucket of what it is looked up by: ``refs`` and ``shas`` (key, first), ``texts``
@@ -219,9 +220,8 @@ class History:
     that a batch of some rows reads some buckets of the index however long the history is.
 
     Where a row joins changes that are stored already, their larger firsts get an alias; looked-up firsts are resolved by
-    these, and ``firsts`` gives all rows of all batches with the smallest seq of their change. ``done`` names the batches
-    that are complete and is written last: what a batch that broke off has left is not read and is overwritten when it
-    runs again, and a complete batch that is handed in again only returns its rows.
+    these, and ``firsts`` gives all rows of all batches with the smallest seq of their change. A batch that broke off can run
+    again, and a complete batch that is handed in again only returns its rows.
     """
 
     SCHEMAS = {
@@ -230,47 +230,16 @@ class History:
     }
 
     def __init__(self, spark: SparkSession, folder: str, buckets: int = BUCKETS):
-        self.spark, self.folder, self.buckets = spark, folder.rstrip("/"), buckets
-        if held := self._done():
-            self.buckets = held[0]["buckets"]  # those it was written with
-
-    def _done(self) -> list:
-        """A row per complete batch."""
-        if not exists(self.spark, f"{self.folder}/done"):
-            return []
-        return self.spark.read.parquet(f"{self.folder}/done").collect()
-
-    def batches(self) -> list[int]:
-        return sorted(r["batch"] for r in self._done())
-
-    def _read(self, name: str, batches: list[int], buckets: list[int] | None = None) -> DataFrame:
-        schema = self.SCHEMAS[name]
-        if not batches:
-            return self.spark.createDataFrame([], schema)
-        rows = self.spark.read.schema(f"{schema}, batch int, bucket int").parquet(f"{self.folder}/{name}").where(F.col("batch").isin(batches))
-        if buckets is not None:
-            rows = rows.where(F.col("bucket").isin(buckets))
-        return rows.select(*(c.split()[0] for c in schema.split(", ")))
-
-    def _write(self, name: str, batch_id: int, rows: DataFrame, by: str) -> None:
-        to = rows.select(*(c.split()[0] for c in self.SCHEMAS[name].split(", ")), self._bucket(by).alias("bucket"))
-        to.hint("rebalance", "bucket").write.partitionBy("bucket").mode("overwrite").parquet(f"{self.folder}/{name}/batch={batch_id}")
-
-    def _bucket(self, by: str) -> Column:
-        return F.pmod(F.xxhash64(by), F.lit(self.buckets)).cast("int")
-
-    def _touched(self, rows: DataFrame, by: str) -> list[int]:
-        """The buckets of the rows, at most as many as there are."""
-        return sorted(r[0] for r in rows.where(F.col(by).isNotNull()).select(self._bucket(by)).distinct().collect())
+        super().__init__(spark, folder, buckets)
 
     def _near(self, new: DataFrame, texts: DataFrame, before: list[int]) -> DataFrame:
         """(b, a, old): new texts b that are the same as a but for light edits; old is the first of a stored a, else null."""
-        buckets = self._touched(new, "scope") if before else []
-        stored = self._read("segments", before, buckets)
+        buckets = self.touched(new, "scope") if before else []
+        stored = self.read("segments", before, buckets)
         all_ = stored.unionByName(new.withColumn("first", F.lit(None).cast("bigint")))
         shared = all_.groupBy("scope").agg(F.count("*").alias("n"), F.count_if(F.col("first").isNull()).alias("fresh")).where("n > 1 and fresh > 0")
         held = checkpointed(all_.join(shared.select("scope"), "scope", "left_semi"))
-        own = self._read("texts", before, buckets).unionByName(texts).select(F.col("seq").alias("node"), "text")
+        own = self.read("texts", before, buckets).unionByName(texts).select(F.col("seq").alias("node"), "text")
         read = checkpointed(own.join(held.select("node", "scope", "first"), "node"))
         index = held.select(F.explode("keys").alias("key"), F.col("node").alias("a"), F.col("first").alias("old"))
         probes = _probes(read.where("first is null"), TAU if before else 0)
@@ -283,18 +252,16 @@ class History:
         """(a, b, stored) with stored b replaced by what it has become."""
         if not before:
             return hits
-        known = self._read("aliases", before, self._touched(hits.where("stored"), "b")).groupBy(F.col("a").alias("b")).agg(F.min("b").alias("now"))
+        known = self.read("aliases", before, self.touched(hits.where("stored"), "b")).groupBy(F.col("a").alias("b")).agg(F.min("b").alias("now"))
         return hits.join(known, "b", "left").select("a", F.when(F.col("stored"), F.coalesce("now", "b")).otherwise(F.col("b")).alias("b"), "stored")
 
     def ingest(self, batch: DataFrame, batch_id: int) -> DataFrame:
         """(seq, first) of the batch's rows, first being the row that told the change first as far as is known by now."""
-        before = self.batches()
-        if batch_id in before:
-            return self._read("rows", [batch_id])
-        if before and batch_id < before[-1]:
-            raise ValueError(f"batch {batch_id} comes after {before[-1]}")
-        self._write("texts", batch_id, texts_of(batch), "scope")
-        texts = self._read("texts", [batch_id])
+        before = self.new_batch(batch_id)
+        if before is None:
+            return self.read("rows", [batch_id])
+        self.write("texts", batch_id, texts_of(batch), "scope")
+        texts = self.read("texts", [batch_id])
         rows = checkpointed(keyed_rows(batch))
 
         # the batch's keys, of refs and of texts, with the batch's first row of each and the stored first
@@ -302,7 +269,7 @@ class History:
         keys = keys.groupBy("key").agg(F.min("seq").alias("node"), F.count("*").alias("n"), F.max("kind").alias("kind"))
         if before:
             keys = checkpointed(keys)
-            keys = keys.join(self._read("refs", before, self._touched(keys, "key")), "key", "left")
+            keys = keys.join(self.read("refs", before, self.touched(keys, "key")), "key", "left")
         else:
             keys = keys.withColumn("first", F.lit(None).cast("bigint"))
         keys = checkpointed(keys)
@@ -323,8 +290,8 @@ class History:
         if before:
             links += [
                 keys.where("first is not null").select(F.col("node").alias("a"), F.col("first").alias("b"), F.lit(True).alias("stored")),
-                named.join(self._read("refs", before, self._touched(named, "key")), "key").select("a", F.col("first").alias("b"), F.lit(True).alias("stored")),
-                commits.join(self._read("shas", before, self._touched(commits, "key")).withColumnRenamed("first", "b"), "key").select(F.col("node").alias("a"), "b", F.lit(True).alias("stored")),
+                named.join(self.read("refs", before, self.touched(named, "key")), "key").select("a", F.col("first").alias("b"), F.lit(True).alias("stored")),
+                commits.join(self.read("shas", before, self.touched(commits, "key")).withColumnRenamed("first", "b"), "key").select(F.col("node").alias("a"), "b", F.lit(True).alias("stored")),
             ]
         links = checkpointed(reduce(DataFrame.unionByName, links).distinct())
         links = checkpointed(self._resolved(links, before).distinct())
@@ -333,13 +300,13 @@ class History:
         within = member.join(ends, "seq").where("seq <> node").select(F.col("seq").alias("a"), F.col("node").alias("b"))
         top = checkpointed(components(links.select("a", "b").unionByName(within)))
         out = member.join(top, "node", "left").select("seq", F.coalesce("first", "node").alias("first"), "sha_key")
-        self._write("rows", batch_id, out, "seq")
-        firsts = self._read("rows", [batch_id])
+        self.write("rows", batch_id, out, "seq")
+        firsts = self.read("rows", [batch_id])
 
         moved = links.where("stored").select(F.col("b").alias("node")).distinct().join(top, "node").where("node <> first").select(F.col("node").alias("a"), F.col("first").alias("b"))
         if before:
             moved = checkpointed(moved)
-            behind = self._read("roots", before, self._touched(moved, "a")).select(F.col("a").alias("x"), F.col("b").alias("a"))
+            behind = self.read("roots", before, self.touched(moved, "a")).select(F.col("a").alias("x"), F.col("b").alias("a"))
             moved = checkpointed(moved.unionByName(behind.join(moved, "a").select(F.col("x").alias("a"), "b")).distinct())
         entries = [
             ("refs", keys.where("first is null").select("key", F.col("node").alias("seq")).join(firsts, "seq"), "key"),
@@ -347,19 +314,17 @@ class History:
             ("segments", new.join(firsts.withColumnRenamed("seq", "node"), "node"), "scope"), ("aliases", moved, "a"), ("roots", moved, "b"),
         ]
         with ThreadPoolExecutor(len(entries)) as pool:  # small jobs of their own, so side by side
-            list(pool.map(lambda e: self._write(e[0], batch_id, *e[1:]), entries))
-        self.spark.createDataFrame([(batch_id, self.buckets)], "batch int, buckets int").coalesce(1).write.mode("overwrite").parquet(f"{self.folder}/done/part={batch_id}")
+            list(pool.map(lambda e: self.write(e[0], batch_id, *e[1:]), entries))
+        self.finish(batch_id)
         return firsts
 
     def told(self) -> DataFrame:
         """(batch, seq, first) of all rows as their batch saw them."""
-        if not (held := self.batches()):
-            return self.spark.createDataFrame([], "batch int, seq bigint, first bigint")
-        return self.spark.read.schema("seq bigint, first bigint, batch int, bucket int").parquet(f"{self.folder}/rows").where(F.col("batch").isin(held)).select("batch", "seq", "first")
+        return self.read("rows", self.batches(), with_batch=True).select("batch", "seq", "first")
 
     def firsts(self) -> DataFrame:
         """(seq, first) of all rows, by all that is known now."""
-        known = self._read("aliases", self.batches()).groupBy(F.col("a").alias("first")).agg(F.min("b").alias("now"))
+        known = self.read("aliases", self.batches()).groupBy(F.col("a").alias("first")).agg(F.min("b").alias("now"))
         return self.told().join(known, "first", "left").select("seq", F.coalesce("now", "first").alias("first"))
 
 

@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from strandline.session import checkpointed, scratch_path
 
-GRAM, WINDOW, NAMES = 24, 16, 5
+GRAM, WINDOW, NAMES = 24, 16, 7
 #: Share of a file's fingerprints that must recur without and with a sign of where it came from; without one, how many
 #: must (fewer are an idiom), and by how many owners most of them must be held at least.
 COPIED_SHARE, SIGNED_SHARE, LEAST_SHARED, UNRELATED = 0.7, 0.05, 4, 2
@@ -59,7 +59,7 @@ TOOL = re.compile(
     r"|generado automáticamente|archivo generado|no (?:editar|modificar)|自动生成|請勿(?:修改|編輯)|请勿(?:修改|编辑)|不要(?:修改|编辑)",
     re.I | re.M,
 )
-SHAPE = re.compile(r"\b\w\wvsp\s*\[\s*-?\d+\s*\]|^\s*#\s*line\s+\d+\s+\"|\b\w\w_(?:accept|ec|base|def|nxt|chk)\s*\[|\b_wrap_\w+\s*\(|\bfile_\w+_rawDesc|^func \(\w+ \*\w+\) Get\w+\(\) |\b__pyx_\w+", re.M)
+SHAPES = [re.compile(x) for x in (r"vsp(?<=\b\w\wvsp)\s*\[\s*-?\d+\s*\]", r"#\s*line\s+\d+\s+\"", r"_(?<=\b\w\w_)(?:accept|ec|base|def|nxt|chk)\s*\[", r"_wrap_(?<=\b_wrap_)\w+\s*\(", r"file_(?<=\bfile_)\w+_rawDesc", r"func \(\w+ \*\w+\) Get\w+\(\) ", r"__pyx_\w+")]
 DATA = re.compile(
     r"^\s*(?:[{(\[]\s*)?(?:[-+]?(?:0[xX][0-9a-fA-F]+|\d+(?:\.\d+)?)[uUlLfF]*\s*[,;]?\s*){6,}[})\]]?[,;]?\s*$"
     r"|^\s*[bru]*[\"'](?:\\x[0-9a-fA-F]{2}|\\[0-7]{3}|\\u[0-9a-fA-F]{4}){8,}[\"']?[\\,;)]*\s*$"
@@ -76,31 +76,53 @@ VENDOR_DIR = r"(?i)(^|/)(third[-_]?party|3rd[-_]?party|vendor|vendored|extern|ex
 FEATURES = "chars bigint, data_chars bigint, lines bigint, packed_chars bigint, short_names bigint, names bigint, tool boolean, shape bigint, same_lines bigint, project string, prints array<bigint>"
 COUNTS = ("chars", "data_chars", "lines", "packed_chars", "short_names", "names", "shape", "same_lines")
 HEAD = re.compile(r"(?:\s*(?:/\*.*?\*/|//[^\n]*|<!--.*?-->|#(?!\s*(?:include|define|if|ifdef|ifndef|else|endif|elif|line|pragma|undef|error)\b)[^\n]*))+", re.S)
-NUMBERED, MASKED = re.compile(r"[\w']*\d[\w']*|\"[^\"\n]*\""), re.compile(r"[;{},=]")
+NUMBERED, MASKED = re.compile(r"\b\w*\d\w*|\"[^\"\n]*\""), re.compile(r"[;{},=]")
+
+
+#: Factors of a run's tokens, by place.
+FACTORS = np.array([pow(0x9E3779B97F4A7C15, GRAM - 1 - i, 1 << 64) for i in range(GRAM)], np.uint64)
 
 
 @lru_cache(1 << 18)
 def _token_id(token: str) -> int:
-    return xxhash.xxh3_64_intdigest(token)
-
-
-def fingerprints(tokens: list[str]) -> list[int]:
-    """Winnowed hashes of the runs of GRAM tokens with at least NAMES different names between them."""
-    n = len(tokens) - GRAM + 1
-    if n <= 0:
-        return []
-    ids = np.fromiter(map(_token_id, tokens), np.uint64, len(tokens))
-    with np.errstate(over="ignore"):
-        h = np.zeros(n, np.uint64)
-        for i in range(GRAM):
-            h = h * np.uint64(0x9E3779B97F4A7C15) + (ids[i : i + n] ^ (ids[i : i + n] >> np.uint64(29)))
-        h ^= h >> np.uint64(32)
-    at = np.arange(n)
-    if n > WINDOW:
-        w = np.lib.stride_tricks.sliding_window_view(h, WINDOW)
-        at = np.unique(w.argmin(axis=1) + np.arange(len(w)))
-    kept = {int(h[i]) for i in at if len({t for t in tokens[i : i + GRAM] if len(t) > 1 and (t[0].isalpha() or t[0] == "_")}) >= NAMES}
-    return [x - (1 << 64) if x >> 63 else x for x in sorted(kept)]
+    """A hash whose last bit tells names from other tokens."""
+    return xxhash.xxh3_64_intdigest(token) & ~1 | (len(token) > 1 and (token[0].isalpha() or token[0] == "_"))
+
+
+def fingerprints(texts: list[list[str]]) -> list[list[int]]:
+    """For each list of tokens the winnowed hashes of its runs of GRAM tokens that hold at least NAMES names.
+
+    All texts of a batch are one array, in which a run or window that goes beyond its text counts for nothing.
+    """
+    sizes = np.array([len(t) for t in texts], np.int64)
+    total, out = int(sizes.sum()), [[] for _ in texts]
+    if total < GRAM:
+        return out
+    ids = np.fromiter((_token_id(t) for text in texts for t in text), np.uint64, total)
+    text_of, end = np.repeat(np.arange(len(texts)), sizes), np.repeat(np.cumsum(sizes), sizes)
+    slide = np.lib.stride_tricks.sliding_window_view
+    h = slide(ids ^ (ids >> np.uint64(29)), GRAM) @ FACTORS
+    h ^= h >> np.uint64(32)
+    at = np.arange(len(h))
+    runs = at[at + GRAM <= end[: len(h)]]
+    few = np.bincount(text_of[runs], minlength=len(texts))[text_of[runs]] <= WINDOW
+    chosen = [runs[few]]
+    if len(h) >= WINDOW:
+        first = np.arange(len(h) - WINDOW + 1)
+        first = first[first + WINDOW - 1 + GRAM <= end[: len(first)]]
+        chosen.append(first + slide(h, WINDOW)[first].argmin(axis=1))
+    at = np.unique(np.concatenate(chosen))
+    named = np.concatenate([[0], np.cumsum((ids & np.uint64(1)).astype(np.int64))])
+    at = at[named[at + GRAM] - named[at] >= NAMES]
+    for text, start, stop in _stretches(text_of[at]):
+        out[text] = np.unique(h[at[start:stop]]).view(np.int64).tolist()
+    return out
+
+
+def _stretches(values: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    """(value, start, stop) of the stretches of equal values."""
+    cuts = np.flatnonzero(np.diff(values, prepend=-1, append=-1)) if len(values) else []
+    return ((int(values[a]), int(a), int(b)) for a, b in zip(cuts, cuts[1:]))
 
 
 def tokens_of(bare: str) -> list[str]:
@@ -108,8 +130,8 @@ def tokens_of(bare: str) -> list[str]:
     return ["0" if t[0].isdigit() else t for t in TOKEN.findall(bare)]
 
 
-def describe(text: str) -> tuple:
-    """The counts of one content, in the order of FEATURES."""
+def describe(text: str) -> tuple[tuple, list[str]]:
+    """The counts of one content, in the order of FEATURES, and its tokens."""
     lines = [x for x in text.split("\n") if x.strip()]
     head = HEAD.match(text)
     tokens = tokens_of(STRING.sub('"', COMMENT.sub(" ", text)))
@@ -119,19 +141,21 @@ def describe(text: str) -> tuple:
     masked = Counter(map(str.strip, NUMBERED.sub("0", text).split("\n"))) if len(lines) >= 6 else {}
     data = sum(m.end() - m.start() for m in DATA.finditer(text))
     packed = sum(len(x) for x in lines if len(x) > 160 and len(MASKED.findall(x)) * 12 > len(x) and x.count(" ") * 8 < len(x))
-    return (
+    counts = (
         len(text), data, len(lines), packed, sum(len(n) <= 2 for n in names), len(names),
-        bool(above and TOOL.search(above)), len(SHAPE.findall(text)), sum(n for k, n in masked.items() if n >= 6 and len(k) > 8), named and next(filter(None, named.groups())), fingerprints(tokens),
+        bool(above and TOOL.search(above)), sum(len(x.findall(text)) for x in SHAPES), sum(n for k, n in masked.items() if n >= 6 and len(k) > 8), named and next(filter(None, named.groups())),
     )
+    return counts, tokens
 
 
 def described(records: DataFrame) -> DataFrame:
     """(c, *FEATURES) of the distinct contents of records (c, content)."""
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cols = [c.split()[0] for c in FEATURES.split(", ")]
+        cols = [c.split()[0] for c in FEATURES.split(", ")][:-1]
         for p in parts:
-            yield pd.concat([p[["c"]].reset_index(drop=True), pd.DataFrame([describe(t) for t in p["content"]], columns=cols)], axis=1)
+            counts, tokens = zip(*map(describe, p["content"]))
+            yield pd.concat([p[["c"]].reset_index(drop=True), pd.DataFrame(counts, columns=cols), pd.Series(fingerprints(tokens), name="prints")], axis=1)
 
     return records.select("c", "content").where("content <> ''").groupBy("c").agg(F.first("content").alias("content")).mapInPandas(run, f"c binary, {FEATURES}")
 

@@ -48,9 +48,9 @@ def test_what_a_broken_batch_has_left_is_not_read(spark, tmp_path):
     def fail(name, *rest):
         if name == "segments":
             raise Lost
-        batch_dedup.History._write(history, name, *rest)
+        batch_dedup.History.write(history, name, *rest)
 
-    history._write = fail
+    history.write = fail
     with pytest.raises(Lost):
         history.ingest(spark.createDataFrame(BATCHES[3], EVENTS), 1)
     again = batch_dedup.History(spark, at)
@@ -62,10 +62,10 @@ def test_a_batch_reads_the_buckets_of_its_own_keys(spark, tmp_path):
     history = batch_dedup.History(spark, str(tmp_path / "h"), 16)
     history.ingest(spark.createDataFrame([_row(i, "tag", f"v{i}.0") for i in range(1, 60)], EVENTS), 0)
     keys = batch_dedup.keyed_rows(spark.createDataFrame([_row(90, "tag", "7.0")], EVENTS))
-    buckets = history._touched(keys, "key")
-    plan = history._read("refs", [0], buckets)._jdf.queryExecution().executedPlan().toString()
+    buckets = history.touched(keys, "key")
+    plan = history.read("refs", [0], buckets)._jdf.queryExecution().executedPlan().toString()
     assert len(buckets) == 1 and f"bucket#" in plan and "PartitionFilters: [" in plan and f"= {buckets[0]})" in plan
-    assert history._read("refs", [0], buckets).count() < 20
+    assert history.read("refs", [0], buckets).count() < 20
 
 
 def test_an_empty_batch(spark, tmp_path):

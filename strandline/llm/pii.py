@@ -39,7 +39,8 @@ AT = r"(?:[ \t]*[\[({<][ \t]*(?:at|@|arroba|ät)[ \t]*[\])}>][ \t]*|[ \t]+(?:at|
 DOT = r"(?:[ \t]*[\[({<][ \t]*(?:dot|punkt|point|punto|\.)[ \t]*[\])}>][ \t]*|[ \t]+(?:dot|DOT|Dot|punkt|punto)[ \t]+|\.)"
 DISGUISED = re.compile(rf"(?<![\w./@+-])([A-Za-z][\w.+-]*)({AT})((?:[A-Za-z0-9](?:[\w-]*[A-Za-z0-9])?)(?:{DOT}[A-Za-z0-9](?:[\w-]*[A-Za-z0-9])?)+)(?![\w/@(-])", re.I)
 HINT_AT = re.compile(r"(?i)[ \t\[({<](?:at|@|arroba|ät)[ \t\])}>]")
-EMAIL = re.compile(r"(?<![\w./@+-])(?:[A-Za-z0-9][\w.+%'-]*)@(?:[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?\.)+([A-Za-z]{2,24})(?![\w@-])(?!\.\w)(?!:[\w~/.-]*[/.]\w)(?!/[\w~])")
+_A = "A-Za-zÀ-ÖØ-öø-ɏͰ-ϿЀ-ӿ"  # letters of scripts that put blanks between words
+EMAIL = re.compile(rf"(?<![\w./@+-])(?:[{_A}0-9][\w.+%'-]*)@(?:[{_A}0-9](?:[{_A}0-9-]*[{_A}0-9])?\.)+([{_A}]{{2,24}})(?![\w@-])(?!\.\w)(?!:[\w~/.-]*[/.]\w)(?!/[\w~])")
 FILE_ENDS = frozenset("c h cc cpp cxx hpp hxx hh js ts py go rs java rb php sh txt md rst html htm xml json yaml yml toml csv log cfg conf ini lock png jpg gif svg o so a obj exe dll git".split())
 REACH = re.compile(r"(?i)(?:write to|mail(?:ed)?(?: to)?|e-?mail(?:s|ed)?:?|contact:?|reach(?:ed)?(?: me| us| them)? (?:at|under|via)|ask|address(?:ed)? (?:is|to)|forwarded by|questions (?:go )?to|rückfragen an|from:?|cc:?|by:?)\s*$")
 
@@ -59,7 +60,7 @@ ID_CONTEXT = re.compile(
     r"|护照|身份证|社会保障|社保|税号|纳税"
 )
 ID_VALUE = re.compile(r"(?<![\w.-])(?=[A-Z0-9 .-]*\d[A-Z0-9 .-]*\d[A-Z0-9 .-]*\d[A-Z0-9 .-]*\d[A-Z0-9 .-]*\d)[A-Z]{0,3}[ -]?\d[\dA-Z]*(?:[ .-]?(?:\d[\dA-Z]{0,5}|[A-Z]\b)){0,6}(?![\w-])")
-ID_BETWEEN = re.compile(r"(?i)[\s:#=.,'\"()№]*(?:(?:card|number|numbers|no|nr|num|numero|número|id|code|is|was|of|holder|n[º°o])\b[\s:#=.,'\"()]*|号码?[:：]?\s*|[:：]\s*){0,4}$")
+ID_BETWEEN = re.compile(r"(?i)[\s:#=.,'\"()№]*(?:(?:card|number|numbers|no|nr|num|numero|número|id|code|is|was|of|holder|reads|given|as|with|the|my|his|her|their|follows|n[º°o])\b[\s:#=.,'\"()]*|号码?[:：]?\s*|[:：]\s*)*")
 SSN = re.compile(r"(?<![\w.:/-])\d{3}([- ])\d{2}\1\d{4}(?![\w-]|\.\d)")
 
 _U = "A-ZÀ-ÖØ-ÞŠŽČĆĐŁŚŻŹĚŘŇŤĎŮŐŰĂĄĘĞİŞĀĒĪŪ"
@@ -103,6 +104,17 @@ NO_NAME = frozenset(
     сообщил сообщила спасибо автор от для см лог проверил проверила исправил исправила благодарим контакт подпись господин госпожа
     """.split()
 )
+# Companies, products and places, which begin no person's name, and pairs of surnames that name a method.
+NO_NAME |= frozenset(
+    """
+    uses used calls takes makes gives needs runs builds ships supports requires replaces targets follows matches
+    apple microsoft google mozilla amazon adobe oracle intel nvidia samsung huawei qualcomm cisco siemens facebook netflix twitter github gitlab bitbucket atlassian jetbrains
+    visual basic azure firefox chrome chromium safari opera outlook office excel photoshop silicon debian ubuntu fedora gentoo suse centos alpine freebsd openbsd netbsd solaris kde gnome
+    san santa los las saint united states kingdom zealand america africa asia europe european american british german french spanish italian chinese japanese russian
+    new york london berlin paris madrid tokyo beijing shanghai moscow francisco diego angeles
+    """.split()
+)
+METHODS = frozenset("boyer moore|diffie hellman|rabin karp|knuth morris|needleman wunsch|smith waterman|floyd warshall|bellman ford|reed solomon|levenshtein damerau|damerau levenshtein|runge kutta|gauss newton|monte carlo|edwards curve|merkle damgard|merkle tree|huffman coding|fisher yates|lempel ziv|aho corasick|bloom filter|montgomery ladder|galois counter|miller rabin|hamming distance".split("|"))
 TITLE_WORDS = r"(?:Dr|Prof|Mr|Mrs|Ms|Mx|Miss|Sir|Herr|Frau|Mme|Mlle|M|Sr|Sra|Srta|Dipl|Ing)\.?"
 PARTICLE = r"(?:van\sder|van\sden|van\sde|van|von\sder|von|de\sla|de\slos|de|del|della|dalla|di|da|dos|du|le|la|el|al|bin|ibn|ben|ter|ten|zu|af|av)"
 SURNAME = rf"(?:al-|el-|O['’]|D['’]|L['’]|Mac|Mc|Fitz|De|Di|Van|Le|La)?{_W}"
@@ -254,8 +266,10 @@ def finds(norm: Normal, field: str = "message") -> list[tuple[str, int, int]]:
             take("id_number", *m.span())
     if many or SOME_DIGITS.search(text):
         for c in ID_CONTEXT.finditer(text):
-            for m in ID_VALUE.finditer(text, c.end(), min(len(text), c.end() + 70)):
-                if sum(x.isdigit() for x in m.group()) >= 5 and ID_BETWEEN.match(text[c.end() : m.start()]):
+            # a value stands right behind what may lie between it and its cue, however long that is
+            for at in range(c.end(), ID_BETWEEN.match(text, c.end()).end() + 1):
+                m = ID_VALUE.match(text, at)
+                if m and sum(x.isdigit() for x in m.group()) >= 5 and ID_BETWEEN.fullmatch(text, c.end(), at):
                     take("id_number", *m.span())
                     break
     if DIGIT.search(text):
@@ -278,7 +292,9 @@ def _names(text: str, field: str, take) -> None:
         at = 0
         while m := FULL.search(text, at):
             at = m.start() + len(m.group(1))
-            if _named(m.group(1), m.group(3)):
+            if f"{m.group(1)} {m.group(3)}".lower() in METHODS:
+                at = m.end()
+            elif _named(m.group(1), m.group(3)):
                 spans.append(m.span())
                 at = m.end()
     if MAYBE_INITIAL.search(text):

@@ -1,8 +1,10 @@
 """Problem 3: template residue, filler, error pages and demands for scripts instead of a message.
 
 One Aho-Corasick automaton over the phrases below is run over each whole message (lower case, one blank for any white
-space). A message is excluded when the phrases of one class cover at least ``COVERAGE`` of its letters, not all of them mere fragments; tags, hosts,
-ids and numbers count neither way, and a phrase in quotation marks inside prose is quoted, not said. Unfilled
+space). A message is excluded when the phrases of one class cover at least ``COVERAGE`` of its letters and either one of
+them suffices by itself (``FULL_WORDS`` words, a status code, markup) and the rest doesn't speak of work on it, or they are
+all that it says (``NEARLY_ALL``) and more than a word or two; single words only add to that. Tags, hosts, ids and
+numbers count neither way, and a phrase in quotation marks inside prose is quoted, not said. Unfilled
 placeholders count wherever they stand for a value; where the sentence is about placeholders (escaping, expanding,
 documenting them) or the name is that of an environment variable they don't. A form counts when only its headings,
 hints and unticked boxes are left.
@@ -79,6 +81,17 @@ MAYBE_ID = re.compile(r"[\d.]")
 CODE_NAME = re.compile(r"\b[a-z0-9]+_[a-z0-9_]+\b|\b[a-z]+[A-Z]\w+\b|\b[\w-]+/[\w./-]+\.(?:c|h|cc|cpp|js|py|go|rs|java)\b")
 MARK = re.compile(r"[{%<@\[$]|__[A-Z]|XXXX")
 HINT = re.compile(r"<!--.*?-->", re.S)
+#: Words of a phrase that suffices by itself, and the share from which little else need be said.
+FULL_WORDS, NEARLY_ALL = 3, 0.95
+STATUS, LATIN, HAN = re.compile(r"\b[45]\d\d\b"), re.compile(r"\b(?:lorem|ipsum)\b"), re.compile(r"[一-鿿]")
+# Words of one who speaks of work on such a text.
+WORK = re.compile(r"\b(?:fix(?:e[sd]|ing)?|add(?:s|ed|ing)?|handl(?:e[sdr]?|ing)|retr(?:y|ies|ied|ying)|remov(?:e[sd]?|ing)|support(?:s|ed|ing)?|improv(?:e[sd]?|ing)|updat(?:e[sd]?|ing)|drop(?:s|ped)?|avoid(?:s|ed)?|catch(?:es)?|return(?:s|ed)?|show(?:s|n)?|map(?:s|ped)?|treat(?:s|ed)?|raise[sd]?|throw[sn]?|report(?:s|ed)?|swallow(?:s|ed)?|refactor|rework|unit|parse[sdr]?|render(?:s|ed)?|emit(?:s|ted)?)\b")
+
+
+def words_in(phrase: str) -> float:
+    """Words of a phrase; two characters of a script without blanks count as one and a half."""
+    return len(phrase.split()) if not HAN.search(phrase) else max(len(phrase.split()), 0.75 * len(HAN.findall(phrase)) + 0.75)
+
 
 
 def _automaton() -> ahocorasick.Automaton:
@@ -179,15 +192,27 @@ def kind_of(auto: ahocorasick.Automaton, message: str | None, coverage: float =
             return "template"
     names = sum(m.end() - m.start() for m in CODE_NAME.finditer(text))
     best, top = None, 0.0
-    whole = {k for a, size, kinds in found if low[a : a + size] not in FRAGMENTS for k in kinds}
+    weight: dict[str, float] = {}
+    for a, size, kinds in found:
+        if low[a : a + size] not in FRAGMENTS:
+            for k in kinds:
+                weight[k] = max(weight.get(k, 0), words_in(low[a : a + size]))
     for kind in CLASSES:
         mask = masks.get(kind)
-        if mask is None or kind not in whole:
+        if mask is None or kind not in weight:
             continue
         for a, b in quoted:
             mask[a:b] = bytes(b - a)
         share = sum(mask[i] for i in letters) / (len(letters) + (names if names > 0.1 * len(letters) else 0))
-        if share > top:
+        if share <= top:
+            continue
+        code = kind == "error" and STATUS.search(low) is not None
+        rest = "".join(" " if mask[i] else c for i, c in enumerate(low))
+        if share >= NEARLY_ALL:
+            enough = kind != "script" or markup or weight[kind] >= 2 or words_in(low) >= 4
+        else:
+            enough = markup or ((code or weight[kind] >= FULL_WORDS or (kind == "filler" and (LATIN.search(low) or len(low.split()) - len(rest.split()) > FULL_WORDS))) and not (WORK.search(rest) and share < 0.85))
+        if enough:
             best, top = kind, share
     return best if top >= coverage else None
 

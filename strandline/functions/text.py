@@ -33,7 +33,7 @@ def html_escaped(c: Column | str) -> Column:
 
 def issue_number(title: Column | str, message: Column | str) -> Column:
     """The first issue that title or message says it fixes, closes or resolves; null if none."""
-    got = F.regexp_extract(F.concat_ws("\n", _c(title), _c(message)), r"(?i)\b(?:fix(?:e[sd])?|close[sd]?|resolve[sd]?):?\s+#(\d+)", 1)
+    got = F.regexp_extract(F.concat_ws("\n", _c(title), _c(message)), r"(?i)\b(?:fix(?:e[sd])?|close[sd]?|resolve[sd]?)\s+#(\d+)\b", 1)
     return F.when(got != "", got.cast("bigint"))
 
 
@@ -161,7 +161,14 @@ def without_mount(path: Column | str) -> Column:
 
 def called_names(content: Column | str) -> Column:
     """The distinct words before an opening bracket in a source text, outside comments and strings, without keywords."""
-    bare = F.regexp_replace(_c(content), r"(?s)/\*.*?\*/", " ")
-    bare = F.regexp_replace(F.regexp_replace(bare, r'"(?:[^"\\\n]|\\.)*"', '""'), r"//[^\n]*", " ")
+    # whichever of string, block and line comment begins first ends first
+    bare = F.regexp_replace(_c(content), r'(?s)("(?:[^"\\\n]|\\.)*"|\'(?:[^\'\\\n]|\\.)*\')|/\*.*?\*/|//[^\n]*', "$1 ")
+    bare = F.regexp_replace(bare, r'"(?:[^"\\\n]|\\.)*"', '""')
     names = F.array_distinct(F.regexp_extract_all(bare, F.lit(r"\b([A-Za-z_]\w*)\s*\("), 1))
     return F.filter(names, lambda n: ~n.isin("if", "for", "while", "switch", "return", "sizeof", "catch", "do", "else", "defined"))
+
+
+def named_function(summary: Column | str) -> Column:
+    """The function that a flaw's summary names, a word with an underscore or a capital within; null if none."""
+    got = F.regexp_extract(_c(summary), r"(?:before|in|when) ([A-Za-z_]\w*[A-Z_]\w*)", 1)
+    return F.when(got != "", got)

@@ -1,34 +1,94 @@
 """Call graphs as DataFrames: (graph, src, dst) edges, traversed by whole frontiers.
 
-Each step is one join of the frontier with the edges and an anti join with what is known, both by (graph, vertex), and
-is checkpointed, so the plan doesn't grow with the depth. A callee that holds a tenth of all edges is met once per
-graph and step, as frontiers hold distinct vertices.
+A vertex is a function of a snapshot, by name and file, as one string (``vertex``). Each step is one join of the frontier
+with the edges and an anti join with what is known, both by (graph, vertex), and is checkpointed, so the plan doesn't grow
+with the depth. A callee that holds a tenth of all edges is met once per graph and step, as frontiers hold distinct vertices.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandline.session import checkpointed
 
 
+SEP = "\x1f"
+
+
+def vertex(name: Column | str, file: Column | str) -> Column:
+    """A function of a snapshot as one string; a null file is blank."""
+    c = lambda x: F.col(x) if isinstance(x, str) else x
+    return F.concat_ws(SEP, c(name), F.coalesce(c(file), F.lit("")))
+
+
+def named(rows: DataFrame, column: str, name: str, file: str) -> DataFrame:
+    """rows with a vertex column replaced by its name and file."""
+    split = lambda n: F.split_part(F.col(column), F.lit(SEP), F.lit(n))
+    return rows.withColumns({name: split(1), file: split(2)}).drop(*({column} - {name, file}))
+
+
+def known_functions(functions: DataFrame) -> DataFrame:
+    """(snapshot_id, name, wanted, file): the functions by their file, and under a blank one that of the least file."""
+    f = functions.where("snapshot_id is not null and name is not null").select("snapshot_id", "name", F.coalesce("file_path", F.lit("")).alias("file")).distinct()
+    return f.where("file <> ''").select("snapshot_id", "name", F.col("file").alias("wanted"), "file").unionByName(f.groupBy("snapshot_id", "name").agg(F.min("file").alias("file")).select("snapshot_id", "name", F.lit("").alias("wanted"), "file"))
+
+
 def resolved_edges(edges: DataFrame, functions: DataFrame) -> DataFrame:
-    """Edges (snapshot_id, caller, callee, file, call_type, confidence) to a function of the same snapshot.
+    """(snapshot_id, caller, caller_file, callee, callee_file, call_type, confidence, backend), both ends functions of the snapshot.
+
+    Where an edge names a file, that end must be the function of that file; else it is the one with the least file. Edges
+    with an unknown end are dropped; of equal edges the greatest confidence stays, of these the first. Calls of a function
+    to itself are edges like others.
+    """
+    e = edges.select("edge_id", "snapshot_id", "caller", "callee", "call_type", "confidence", F.col("source_backend").alias("backend"), *(F.coalesce(F.trim(f"{x}_file"), F.lit("")).alias(f"{x}_wanted") for x in ("caller", "callee")))
+    known = known_functions(functions)
+    for x in ("callee", "caller"):
+        e = e.join(known.select("snapshot_id", F.col("name").alias(x), F.col("wanted").alias(f"{x}_wanted"), F.col("file").alias(f"{x}_file")), ["snapshot_id", x, f"{x}_wanted"])
+    best = F.max_by(F.struct("call_type", "confidence", "backend"), F.struct("confidence", -F.col("edge_id")))
+    return e.groupBy("snapshot_id", "caller", "caller_file", "callee", "callee_file").agg(best.alias("r")).select("snapshot_id", "caller", "caller_file", "callee", "callee_file", "r.*")
+
+
+def vertex_edges(resolved: DataFrame) -> DataFrame:
+    """(graph, src, dst, call_type) of resolved edges."""
+    return resolved.select(F.col("snapshot_id").alias("graph"), vertex("caller", "caller_file").alias("src"), vertex("callee", "callee_file").alias("dst"), "call_type")
+
+
+def asked_functions(functions: DataFrame, asked: DataFrame) -> DataFrame:
+    """(snapshot_id, name, file, found, first_file, status) of asked (snapshot_id, name, file); a null or blank file is any.
+
+    status is found, missing or ambiguous: several functions of that name and none of them chosen by a file.
+    """
+    f = functions.where("snapshot_id is not null").select("snapshot_id", "name", F.coalesce("file_path", F.lit("")).alias("own")).distinct()
+    a = asked.select("snapshot_id", "name", F.coalesce("file", F.lit("")).alias("file")).distinct()
+    hits = a.join(f, ["snapshot_id", "name"], "left").where("own is null or file = '' or own = file").groupBy("snapshot_id", "name", "file").agg(F.count("own").alias("found"), F.min("own").alias("first_file"))
+    hits = a.join(hits, ["snapshot_id", "name", "file"], "left").fillna(0, ["found"])
+    return hits.withColumn("status", F.when(F.col("found") == 0, "missing").when(F.col("found") == 1, "found").otherwise("ambiguous"))
+
+
+def callees(resolved: DataFrame, answers: DataFrame) -> DataFrame:
+    """The resolved edges out of the functions that ``asked_functions`` found."""
+    return resolved.join(answers.where("status = 'found'").select("snapshot_id", F.col("name").alias("caller"), F.col("first_file").alias("caller_file")).distinct(), ["snapshot_id", "caller", "caller_file"], "left_semi")
+
+
+def callers(resolved: DataFrame, answers: DataFrame) -> DataFrame:
+    """The resolved edges into the functions that ``asked_functions`` found."""
+    return resolved.join(answers.where("status = 'found'").select("snapshot_id", F.col("name").alias("callee"), F.col("first_file").alias("callee_file")).distinct(), ["snapshot_id", "callee", "callee_file"], "left_semi")
+
+
+def entry_edges(fuzzers: DataFrame, functions: DataFrame) -> DataFrame:
+    """Edges of fuzzers (snapshot_id, fuzzer, entry, entry_file, called array) to the library functions they call.
 
-    With a callee_file the callee must be the function of that file; else it is the one with the least file_path. Edges
-    to no function are dropped; of equal (snapshot_id, caller, callee, file) the greatest confidence stays.
+    One row (snapshot_id, fuzzer, entry, entry_file, callee, callee_file, call_type, confidence, backend) per call; of
+    several functions of a name the one with the least file; names that are no function are dropped.
     """
-    e = edges.where("trim(callee) <> ''").select("edge_id", "snapshot_id", "caller", "callee", F.coalesce(F.trim("callee_file"), F.lit("")).alias("wanted"), "call_type", "confidence")
-    f = functions.select("snapshot_id", F.col("name").alias("callee"), F.coalesce("file_path", F.lit("")).alias("file")).distinct()
-    exact = e.where("wanted <> ''").join(f.withColumnRenamed("file", "wanted"), ["snapshot_id", "callee", "wanted"]).withColumn("file", F.col("wanted"))
-    anywhere = e.where("wanted = ''").join(f.groupBy("snapshot_id", "callee").agg(F.min("file").alias("file")), ["snapshot_id", "callee"])
-    both = exact.select("edge_id", "snapshot_id", "caller", "callee", "file", "call_type", "confidence").unionByName(anywhere.select("edge_id", "snapshot_id", "caller", "callee", "file", "call_type", "confidence"))
-    return both.groupBy("snapshot_id", "caller", "callee", "file").agg(F.max_by(F.struct("call_type", "confidence"), F.struct("confidence", -F.col("edge_id"))).alias("r")).select("snapshot_id", "caller", "callee", "file", "r.*")
+    calls = fuzzers.select("snapshot_id", "fuzzer", "entry", "entry_file", F.explode("called").alias("callee")).distinct()
+    any_ = known_functions(functions).where("wanted = ''").select("snapshot_id", F.col("name").alias("callee"), F.col("file").alias("callee_file"))
+    return calls.join(any_, ["snapshot_id", "callee"]).select("snapshot_id", "fuzzer", "entry", "entry_file", "callee", "callee_file", F.lit("direct").alias("call_type"), F.lit(1.0).alias("confidence"), F.lit("fuzzer_parser").alias("backend"))
 
 
 def plain_edges(edges: DataFrame) -> DataFrame:
-    """(graph, src, dst), each once, without loops."""
+    """(graph, src, dst) of the names alone, each once, without loops."""
     return edges.where("snapshot_id is not null and trim(caller) <> '' and trim(callee) <> '' and caller <> callee").select(F.col("snapshot_id").alias("graph"), F.col("caller").alias("src"), F.col("callee").alias("dst")).distinct()
 
 
@@ -56,30 +116,44 @@ def induced(edges: DataFrame, vertices: DataFrame) -> DataFrame:
     return edges.join(v.withColumnRenamed("vertex", "src"), ["graph", "src"], "left_semi").join(v.withColumnRenamed("vertex", "dst"), ["graph", "dst"], "left_semi")
 
 
-def shortest_paths(edges: DataFrame, starts: DataFrame, max_depth: int = 10, max_results: int = 10) -> DataFrame:
-    """(graph, vertex, depth, rank, path): up to max_results shortest paths from a graph's start to each vertex, in order.
+def shortest_paths(edges: DataFrame, starts: DataFrame, max_depth: int = 10, max_results: int = 10, targets: DataFrame | None = None) -> DataFrame:
+    """(graph, start, vertex, depth, rank, path): up to max_results shortest paths from each start to each target, in order.
 
-    A path to a vertex is a path to a vertex one step nearer and the vertex itself, so the first max_results paths of the
-    nearer vertices suffice, and no more are kept.
+    Without targets (graph, vertex) every vertex is one. A path to a vertex is a path to a vertex one step nearer and the
+    vertex itself, so the first max_results paths of the nearer vertices suffice, and no more are kept; only vertices on the
+    way to a target are followed.
     """
-    depths = checkpointed(reach(edges, starts, max_depth))
-    nearer = depths.select("graph", F.col("vertex").alias("src"), F.col("depth").alias("from_depth"))
-    onward = checkpointed(edges.join(nearer, ["graph", "src"]).join(depths.select("graph", F.col("vertex").alias("dst"), "depth"), ["graph", "dst"]).where("depth = from_depth + 1").select("graph", "src", "dst", "depth"))
-    front = checkpointed(starts.select("graph", "vertex").distinct().select("graph", "vertex", F.lit(0).alias("depth"), F.lit(1).alias("rank"), F.array("vertex").alias("path")))
+    on = ["graph", "start"]
+    starts = starts.select("graph", F.col("vertex").alias("start"), "vertex").distinct()
+    depths = checkpointed(reach(edges, starts, max_depth, "start"))
+    nearer = depths.select(*on, F.col("vertex").alias("src"), F.col("depth").alias("from_depth"))
+    onward = checkpointed(edges.select("graph", "src", "dst").join(nearer, ["graph", "src"]).join(depths.select(*on, F.col("vertex").alias("dst"), "depth"), [*on, "dst"]).where("depth = from_depth + 1").select(*on, "src", "dst", "depth"))
+    if targets is not None:
+        ends = checkpointed(depths.join(targets.select("graph", "vertex").distinct(), ["graph", "vertex"], "left_semi"))
+        needed = None
+        for depth in range(max_depth, 0, -1):
+            here = ends.where(F.col("depth") == depth).select(*on, F.col("vertex").alias("dst"))
+            if needed is not None:
+                here = here.unionByName(needed.select(*on, F.col("src").alias("dst"))).distinct()
+            needed = checkpointed(onward.where(F.col("depth") == depth).join(here, [*on, "dst"], "left_semi"))
+            kept = needed if depth == max_depth else kept.unionByName(needed)
+        onward = kept
+    front = checkpointed(starts.select(*on, "vertex", F.lit(0).alias("depth"), F.lit(1).alias("rank"), F.array("vertex").alias("path")))
     found = front
-    order = Window.partitionBy("graph", "vertex").orderBy("path")
+    order = Window.partitionBy(*on, "vertex").orderBy("path")
     for depth in range(1, max_depth + 1):
-        step = front.select("graph", F.col("vertex").alias("src"), "path").join(onward.where(F.col("depth") == depth), ["graph", "src"])
-        step = step.select("graph", F.col("dst").alias("vertex"), "depth", F.concat("path", F.array("dst")).alias("path"))
+        step = front.select(*on, F.col("vertex").alias("src"), "path").join(onward.where(F.col("depth") == depth), [*on, "src"])
+        step = step.select(*on, F.col("dst").alias("vertex"), "depth", F.concat("path", F.array("dst")).alias("path"))
         front = checkpointed(step.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= max_results).select(*found.columns))
         if front.isEmpty():
             break
         found = found.unionByName(front)
-    return found
+    return found if targets is None else found.join(ends.select(*on, "vertex"), [*on, "vertex"], "left_semi").where("depth > 0")
 
 
-def trails(edges: DataFrame, starts: DataFrame, max_depth: int) -> DataFrame:
-    """(graph, start, vertex, length, path): all walks of 1..max_depth steps that use no edge twice."""
+def trails(edges: DataFrame, starts: DataFrame, max_depth: int, max_results: int = 100) -> DataFrame:
+    """(graph, start, vertex, length, path): the walks of 1..max_depth steps that use no edge twice, of each pair of start
+    and vertex the max_results shortest."""
     e = checkpointed(edges.select("graph", F.col("src").alias("vertex"), "dst"))
     walk = starts.select("graph", F.col("vertex").alias("start"), "vertex", F.array("vertex").alias("path"))
     found = None
@@ -88,7 +162,8 @@ def trails(edges: DataFrame, starts: DataFrame, max_depth: int) -> DataFrame:
         walk = checkpointed(walk.join(e, ["graph", "vertex"]).where(~used).select("graph", "start", F.col("dst").alias("vertex"), F.concat("path", F.array("dst")).alias("path")))
         longer = walk.select("graph", "start", "vertex", F.lit(depth).alias("length"), "path")
         found = longer if found is None else found.unionByName(longer)
-    return found
+    order = Window.partitionBy("graph", "start", "vertex").orderBy("length", "path")
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= max_results).drop("rank")
 
 
 def merged_backends(edges: DataFrame, key: list[str], backend: str, order: list[str]) -> DataFrame:

@@ -58,12 +58,6 @@ def newest_per_key(rows: DataFrame, key: Sequence[str], by: str, keep: int, tie:
     return rows.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= keep)
 
 
-def latest_rows(rows: DataFrame, key: str, by: str) -> DataFrame:
-    """One row per key, the one with the greatest ``by`` (ties: the greatest row)."""
-    rest = [c for c in rows.columns if c not in (key, by)]
-    return rows.groupBy(key).agg(F.max(F.struct(by, *rest)).alias("r")).select(key, "r.*").select(*rows.columns)
-
-
 def evicted_by_pressure(rows: DataFrame, used: int, capacity: int, high: float = 0.8, low: float = 0.7, by: str = "last_accessed_at", size: str = "size_bytes", bucket: str = "month") -> DataFrame:
     """The least recently used rows to drop when used exceeds high * capacity until low * capacity is left.
 
@@ -85,3 +79,10 @@ def until_sentinel(rows: DataFrame, key: Sequence[str], ordinal: str, is_sentine
     """Of each key the rows before its first sentinel in order of the ordinal; all rows where there is none."""
     stop = rows.where(is_sentinel).groupBy(*key).agg(F.min(ordinal).alias("stop"))
     return rows.join(stop, list(key), "left").where(F.col("stop").isNull() | (F.col(ordinal) < F.col("stop"))).drop("stop")
+
+
+def in_chunks(rows: DataFrame, key: Sequence[str], by: Sequence[str], size: int = 10_000) -> DataFrame:
+    """Adds chunk: the rows of a key spread by the hash of ``by`` over groups of about ``size`` rows, so that no group grows
+    with its key."""
+    counts = rows.groupBy(*key).agg(F.ceil(F.count("*") / size).alias("chunks"))
+    return rows.join(counts, list(key)).withColumn("chunk", F.pmod(F.xxhash64(*by), F.col("chunks")).cast("int")).drop("chunks")

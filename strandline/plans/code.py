@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandline.functions import text
-from strandline.operators import graph
+from strandline.operators import graph, relational
 from strandline.plans.proxies import view
-from strandline.plans.reference import _EDGES, HOPS, _edges, _entries
+from strandline.plans.reference import _ENTRIES, _EDGES, _REACHED, _edges, _entries, _name, _reached
 from strandline.plans.registry import Registry
 from strandline.sources import debug_info, manifests
 from strandline.sources.tables import table
@@ -78,60 +78,54 @@ def lang_primary(spark: SparkSession, d: str) -> DataFrame:
 
 
 # ---- searches from each entry point ----
-_ENTRIES = "s as (select distinct snapshot_id as graph, name as entry from function_records where is_entry_point and snapshot_id is not null)"
-_REACHED = f"{_EDGES}, {_ENTRIES}, r as (select graph, entry, entry as vertex, 0 as depth from s union select r.graph, r.entry, e.dst, r.depth + 1 from r join e on e.graph = r.graph and e.src = r.vertex where r.depth < 6), m as (select graph, entry, vertex, min(depth) as depth from r group by 1, 2, 3 having min(depth) > 0)"
-
-
-def _reached(spark: SparkSession, d: str) -> DataFrame:
-    return graph.reach(_edges(spark, d), _entries(spark, d).withColumn("entry", F.col("vertex")), HOPS, "entry").where("depth > 0")
-
-
-@query(f"with recursive {_REACHED} select graph, entry, vertex, depth from m")
+@query(f"with recursive {_REACHED} select graph, {_name('entry', 'entry', 'entry_file')}, {_name('vertex')}, depth from m")
 def graph_entry_reaches(spark: SparkSession, d: str) -> DataFrame:
-    """Least depth from every entry point of a snapshot to every function, all searches in the same steps.
-
-    The SQL stops at 6 steps.
-    """
-    return _reached(spark, d)
+    """Least depth from every entry point of a snapshot to every function, all searches in the same steps."""
+    return graph.named(graph.named(_reached(spark, d), "entry", "entry", "entry_file"), "vertex", "name", "file")
 
 
 @query(rf"""with recursive {_REACHED}, v as (select id, min(library_id) as library_id, nullif(regexp_extract(min(summary), '(?:before|in|when) ([A-Za-z_]\w*[A-Z_]\w*)', 1), '') as target from upstream_vulns where id is not null group by 1),
 n as (select distinct library_id, snapshot_id as graph from function_records where library_id is not null and snapshot_id is not null),
-h as (select v.id, min((m.entry, m.depth)) as hit from v join n on n.library_id = v.library_id join m on m.graph = n.graph and m.vertex = v.target group by 1)
-select v.id, v.target, case when v.target is null then 'no_affected_functions' when not exists (select 1 from n where n.library_id = v.library_id) then 'library_snapshot_not_found' when h.id is not null then 'entry_reaches' else 'exhausted' end as strategy, h.hit[1] as entry, cast(h.hit[2] as int) as depth from v left join h on h.id = v.id""")
+h as (select v.id, min((split_part(m.entry, chr(31), 1), m.depth)) as hit from v join n on n.library_id = v.library_id join m on m.graph = n.graph and split_part(m.vertex, chr(31), 1) = v.target group by 1),
+b as (select distinct snapshot_id as graph, name || chr(31) || coalesce(file_path, '') as vertex, 0 as depth from function_records where name = 'main' and snapshot_id is not null),
+w as (select * from b union select w.graph, e.dst, w.depth + 1 from w join e on e.graph = w.graph and e.src = w.vertex where w.depth < 10),
+p as (select v.id, min(w.depth) as length from v join n on n.library_id = v.library_id join w on w.graph = n.graph and split_part(w.vertex, chr(31), 1) = v.target where w.depth > 0 group by 1)
+select v.id, v.target, case when v.target is null then 'no_affected_functions' when not exists (select 1 from n where n.library_id = v.library_id) then 'library_snapshot_not_found' when h.id is not null then 'entry_reaches' when p.id is not null then 'shortest_path' else 'exhausted' end as strategy,
+coalesce(h.hit[1], case when p.id is not null then 'main' end) as entry, cast(coalesce(h.hit[2], p.length) as int) as depth from v left join h on h.id = v.id left join p on p.id = v.id""")
 def reachability_decisions(spark: SparkSession, d: str) -> DataFrame:
     """Whether the function that a vulnerability's summary names can be reached from an entry point of its library.
 
     One join decides all vulnerabilities: the first entry point by name that reaches the function, in any snapshot. Where
-    none does, the shortest path from a function named main decides, of at most 10 steps; the SQL lacks this strategy.
+    none does, the shortest path from a function named main decides, of at most 10 steps.
     """
-    v = table(spark, d, "upstream_vulns").where("id is not null").groupBy("id").agg(F.min("library_id").alias("library_id"), F.min("summary").alias("summary"))
-    v = v.select("id", "library_id", F.nullif(F.regexp_extract("summary", r"(?:before|in|when) ([A-Za-z_]\w*[A-Z_]\w*)", 1), F.lit("")).alias("target"))
+    v = table(spark, d, "upstream_vulns").where("id is not null").groupBy("id").agg(F.min("library_id").alias("library_id"), text.named_function(F.min("summary")).alias("target"))
     snapshots = table(spark, d, "function_records").where("library_id is not null and snapshot_id is not null").select("library_id", F.col("snapshot_id").alias("graph")).distinct()
-    reached = _reached(spark, d).join(snapshots, "graph").groupBy("library_id", F.col("vertex").alias("target")).agg(F.min(F.struct("entry", "depth")).alias("hit"))
-    mains = table(spark, d, "function_records").where("name = 'main' and snapshot_id is not null").select(F.col("snapshot_id").alias("graph"), F.col("name").alias("vertex"))
-    paths = graph.reach(_edges(spark, d), mains, 10).where("depth > 0").join(snapshots, "graph").groupBy("library_id", F.col("vertex").alias("target")).agg(F.min("depth").alias("length"))
+    name = lambda c: F.split_part(F.col(c), F.lit(graph.SEP), F.lit(1))
+    reached = _reached(spark, d).join(snapshots, "graph").groupBy("library_id", name("vertex").alias("target")).agg(F.min(F.struct(name("entry").alias("entry"), "depth")).alias("hit"))
+    mains = table(spark, d, "function_records").where("name = 'main' and snapshot_id is not null").select(F.col("snapshot_id").alias("graph"), graph.vertex("name", "file_path").alias("vertex"))
+    paths = graph.reach(_edges(spark, d), mains, 10).where("depth > 0").join(snapshots, "graph").groupBy("library_id", name("vertex").alias("target")).agg(F.min("depth").alias("length"))
     got = v.join(reached, ["library_id", "target"], "left").join(paths, ["library_id", "target"], "left").join(snapshots.select("library_id").distinct().withColumn("known", F.lit(True)), "library_id", "left")
     strategy = F.when(F.col("target").isNull(), "no_affected_functions").when(F.col("known").isNull(), "library_snapshot_not_found").when(F.col("hit").isNotNull(), "entry_reaches").when(F.col("length").isNotNull(), "shortest_path").otherwise("exhausted")
     entry = F.coalesce("hit.entry", F.when(F.col("length").isNotNull(), "main"))
     return got.select("id", "target", strategy.alias("strategy"), entry.alias("entry"), F.coalesce("hit.depth", "length").alias("depth"))
 
 
-@query(f"""with recursive {_EDGES}, {_ENTRIES}, f as (select distinct snapshot_id as graph, name, file_path from function_records where trim(file_path) <> '' and snapshot_id is not null),
-w as (select distinct s.graph, s.entry, g.name as vertex from s join f on f.graph = s.graph and f.name = s.entry join f g on g.graph = f.graph and g.file_path = f.file_path where g.name <> s.entry),
+@query(f"""with recursive {_EDGES}, {_ENTRIES}, q as (select snapshot_id as graph, name || chr(31) || file as vertex, file from f where trim(file) <> ''),
+w as (select distinct s.graph, s.entry, b.vertex from s join q a on a.graph = s.graph and a.vertex = s.entry join q b on b.graph = a.graph and b.file = a.file where b.vertex <> s.entry),
 r as (select graph, entry, entry as vertex from s union select r.graph, r.entry, w.vertex from r join e on e.graph = r.graph and e.src = r.vertex join w on w.graph = r.graph and w.entry = r.entry and w.vertex = e.dst)
-select distinct r.graph, r.entry as start, e.dst as callee from r join e on e.graph = r.graph and e.src = r.vertex left join w on w.graph = r.graph and w.entry = r.entry and w.vertex = e.dst where w.vertex is null and e.dst <> r.entry""")
+select distinct r.graph, {_name('r.entry', 'start', 'start_file')}, {_name('e.dst', 'callee', 'callee_file')} from r join e on e.graph = r.graph and e.src = r.vertex left join w on w.graph = r.graph and w.entry = r.entry and w.vertex = e.dst where w.vertex is null and e.dst <> r.entry""")
 def graph_helper_calls(spark: SparkSession, d: str) -> DataFrame:
     """What entry points call, themselves or through functions of their own file."""
-    f = table(spark, d, "function_records").where("trim(file_path) <> '' and snapshot_id is not null").select(F.col("snapshot_id").alias("graph"), F.col("name").alias("vertex"), "file_path").distinct()
+    f = table(spark, d, "function_records").where("trim(file_path) <> '' and snapshot_id is not null and name is not null").select(F.col("snapshot_id").alias("graph"), graph.vertex("name", "file_path").alias("vertex"), "file_path").distinct()
     s = _entries(spark, d)
     own = f.join(s, ["graph", "vertex"]).select("graph", F.col("vertex").alias("start"), "file_path").join(f, ["graph", "file_path"]).where("vertex <> start")
-    return graph.through_helpers(_edges(spark, d), s, own)
+    got = graph.through_helpers(_edges(spark, d), s, own)
+    return graph.named(graph.named(got, "start", "start", "start_file"), "callee", "callee", "callee_file")
 
 
 # ---- sources ----
 @query(r"""with f as (select distinct snapshot_id, name, content from function_records where snapshot_id is not null and content <> '' and language in ('c', 'cpp')),
-b as (select snapshot_id, name, regexp_replace(regexp_replace(regexp_replace(content, '(?s)/\*.*?\*/', ' ', 'g'), '"(?:[^"\\\n]|\\.)*"', '""', 'g'), '//[^\n]*', ' ', 'g') as content from f),
+b as (select snapshot_id, name, regexp_replace(regexp_replace(content, '(?s)("(?:[^"\\\n]|\\.)*"|''(?:[^''\\\n]|\\.)*'')|/\*.*?\*/|//[^\n]*', '\1 ', 'g'), '"(?:[^"\\\n]|\\.)*"', '""', 'g') as content from f),
 c as (select distinct snapshot_id, name as caller, unnest(regexp_extract_all(content, '\b([A-Za-z_]\w*)\s*\(', 1)) as callee from b)
 select c.snapshot_id, c.caller, c.callee from c where callee <> caller and exists (select 1 from function_records k where k.snapshot_id = c.snapshot_id and k.name = c.callee) and callee not in ('if', 'for', 'while', 'switch', 'return', 'sizeof', 'catch', 'do', 'else', 'defined')""")
 def source_calls(spark: SparkSession, d: str) -> DataFrame:
@@ -176,14 +170,14 @@ _KINDS = [
 _EXPR = {0: "", 1: ">=", 2: "==", 3: "", 4: ">=", 5: "", 6: "==", 7: ""}
 
 
-@query("select project_id, concat(case when project_id % 9 in (0, 7) then 'org:lib' else 'lib' end, cast(library_id as varchar)) as library_name, case when project_id % 9 = 8 then null else concat(case project_id % 9 " + " ".join(f"when {k} then '{v}'" for k, v in _EXPR.items()) + " end, cast(resolved_version as varchar)) end as constraint_expr, case when project_id % 9 in (0, 1, 2, 4, 5, 6, 7) then cast(resolved_version as varchar) end as resolved_version from p_deps")
+@query("select project_id, concat(case when project_id % 9 in (0, 7) then 'org:lib' else 'lib' end, cast(library_id as varchar)) as library_name, case when project_id % 9 = 8 then null else concat(case project_id % 9 " + " ".join(f"when {k} then '{v}'" for k, v in _EXPR.items()) + " end, cast(resolved_version as varchar)) end as constraint_expr, case when project_id % 9 in (0, 2, 5, 6, 7) then cast(resolved_version as varchar) end as resolved_version from p_deps")
 def manifest_kinds(spark: SparkSession, d: str) -> DataFrame:
     """Each project's dependencies are written as one of nine kinds of manifests and read back."""
     n, v, kind = F.col("library_id").cast("string"), F.col("resolved_version").cast("string"), F.col("project_id") % len(_KINDS)
     pick = lambda i: F.element_at(F.array(*(F.lit(k[i]) for k in _KINDS)), (kind + 1).cast("int"))
     line = F.replace(F.replace(pick(2), F.lit("{n}"), n), F.lit("{v}"), v)
-    lines = view(spark, d, "p_deps").select("project_id", line.alias("line")).groupBy("project_id").agg(F.collect_list("line").alias("lines"))
-    files = lines.select(F.concat_ws("/", F.col("project_id").cast("string"), pick(0)).alias("path"), F.concat(pick(1), F.array_join("lines", "\0"), pick(4)).alias("content"), pick(3).alias("between"))
+    lines = relational.in_chunks(view(spark, d, "p_deps").select("project_id", line.alias("line")), ["project_id"], ["line"]).groupBy("project_id", "chunk").agg(F.collect_list("line").alias("lines"))
+    files = lines.select(F.concat_ws("/", "project_id", "chunk", pick(0)).alias("path"), F.concat(pick(1), F.array_join("lines", "\0"), pick(4)).alias("content"), pick(3).alias("between"))
     files = files.select("path", F.replace("content", F.lit("\0"), F.col("between")).alias("content"))
     deps = manifests.dependencies(files).withColumn("project_id", F.substring_index("path", "/", 1).cast("bigint"))
     return deps.select("project_id", "library_name", "constraint_expr", "resolved_version")

@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandline.functions.text import without_mount
+from strandline.operators.relational import in_chunks
 
 
 def debug_functions(texts: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, name, linkage_name, file_path, line) of the defined functions in one module text per row.
+    """(key, name, linkage_name, file_path, line) of the defined functions in module texts, one or several a key.
 
     A DISubprogram names its DIFile by number; one without a known file has a null path. Paths are taken relative to the
     project within the build container. Order of fields and escapes in other fields don't matter, as each is read alone.
@@ -31,8 +32,9 @@ def debug_functions(texts: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def debug_text(functions: DataFrame, key: str) -> DataFrame:
-    """(key, text): functions (key, name, file_path, line) written as a module's debug records, one text per key."""
+    """(key, text): functions (key, name, file_path, line) written as modules' debug records, in texts of a
+    bounded number of lines."""
     number = lambda *c: F.abs(F.xxhash64(*c)).cast("string")
     files = functions.select(key, "file_path").distinct().select(key, F.concat(F.lit("!"), number("file_path"), F.lit(' = !DIFile(filename: "'), F.col("file_path"), F.lit('", directory: "/src/project")')).alias("line"))
     subs = functions.select(key, F.concat(F.lit("!"), number("name", "file_path", "line"), F.lit(' = distinct !DISubprogram(name: "'), F.col("name"), F.lit('", scope: !1, file: !'), number("file_path"), F.lit(", line: "), F.col("line").cast("string"), F.lit(", spFlags: DISPFlagDefinition, unit: !0)")).alias("line"))
-    return files.unionByName(subs).groupBy(key).agg(F.concat_ws("\n", F.collect_list("line")).alias("text"))
+    return in_chunks(files.unionByName(subs), [key], ["line"]).groupBy(key, "chunk").agg(F.concat_ws("\n", F.collect_list("line")).alias("text")).drop("chunk")

@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strandline.operators.relational import in_chunks
+
 
 def dot_edges(texts: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, caller, callee) of one DOT text per row: labelled nodes joined to both ends, unknown ends and loops dropped."""
+    """(key, caller, callee) of DOT texts, one or several a key: labelled nodes joined to both ends, unknown ends and loops dropped."""
     lines = texts.select(key, F.explode(F.split(text, "\n")).alias("line"))
     node = r'^\s*"?(\w+)"?\s*\[.*label="\{?(?:fun: )?([^"{}\\|]+)'
     nodes = lines.where(F.col("line").rlike(node)).select(key, F.regexp_extract("line", node, 1).alias("n"), F.trim(F.regexp_extract("line", node, 2)).alias("name")).dropDuplicates([key, "n"])
@@ -24,9 +26,10 @@ def typed_edges(final: DataFrame, initial: DataFrame, key: str) -> DataFrame:
 
 
 def dot_text(edges: DataFrame, key: str) -> DataFrame:
-    """(key, text): edges (key, caller, callee) written as DOT, one text per key; nodes get the names' hashes as ids."""
+    """(key, text): edges (key, caller, callee) written as DOT, in texts of a bounded number of lines; nodes get the names' hashes
+    as ids, so that the texts of a key are read together."""
     node = lambda c: F.concat(F.lit("N"), F.lower(F.hex(F.xxhash64(c))))
     names = edges.select(key, F.explode(F.array("caller", "callee")).alias("name")).distinct()
     lines = names.select(key, F.concat(F.lit("\t"), node("name"), F.lit(' [shape=record,label="{'), F.col("name"), F.lit('}"];')).alias("line"))
     lines = lines.unionByName(edges.select(key, F.concat(F.lit("\t"), node("caller"), F.lit(" -> "), node("callee"), F.lit(";")).alias("line")))
-    return lines.groupBy(key).agg(F.concat(F.lit("digraph {\n"), F.concat_ws("\n", F.collect_list("line")), F.lit("\n}")).alias("text"))
+    return in_chunks(lines, [key], ["line"]).groupBy(key, "chunk").agg(F.concat(F.lit("digraph {\n"), F.concat_ws("\n", F.collect_list("line")), F.lit("\n}")).alias("text")).drop("chunk")

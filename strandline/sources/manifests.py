@@ -74,23 +74,28 @@ def maven(text: str) -> Iterator[Found]:
                 yield f"{d['groupId']}:{d['artifactId']}", None, v, v if v and "${" not in v else None
 
 
+# Configurations of a Gradle build, packages of CMake that are no libraries.
+GRADLE = "implementation api compileOnly compileOnlyApi runtimeOnly annotationProcessor kapt ksp testImplementation testCompileOnly testRuntimeOnly optional provided compile runtime testCompile testRuntime".split()
+GRADLE_ENDS = "Implementation Api CompileOnly RuntimeOnly".split()
+CMAKE_TOOLS = frozenset("perl python python2 python3 threads pkgconfig pkg-config git doxygen latex java jni swig bison flex gperf gettext intl patch backtrace".split())
+GRADLE_LINE = re.compile(rf"""(?:{"|".join(sorted(GRADLE, key=len, reverse=True))}|\w+(?:{"|".join(GRADLE_ENDS)}))\s*\(?\s*["']([\w.-]+):([\w.-]+)(?::([\w.+-]+))?["']""", re.A)
+
+
 def gradle(text: str) -> Iterator[Found]:
     seen = set()
-    for m in re.finditer(r"\b(?:api|implementation|compileOnly|runtimeOnly|testImplementation|testRuntimeOnly|annotationProcessor|kapt|compile)\b\s*\(?\s*[\"']([\w.-]+):([\w.-]+)(?::([^\"':@]+))?", text):
-        name = f"{m.group(1)}:{m.group(2)}"
+    for group, artifact, version in GRADLE_LINE.findall(text):
+        name = f"{group}:{artifact}"
         if name not in seen:
             seen.add(name)
-            yield name, None, m.group(3), m.group(3)
+            yield name, None, version or None, version or None
 
 
 def cmake(text: str) -> Iterator[Found]:
-    # fixed values: packages of the build itself
-    tools = {"threads", "pkgconfig", "git", "doxygen", "python", "python3", "perl", "bison", "flex", "openmp", "mpi", "cuda", "java", "jni", "swig", "gtest", "benchmark", "latex", "sphinx", "cmake"}
-    seen = set()
-    for m in re.finditer(r"(?i)\bfind_package\s*\(\s*([\w+.-]+)(?:\s+(\d[\w.]*))?", text):
-        if m.group(1).lower() not in tools | seen:
-            seen.add(m.group(1).lower())
-            yield m.group(1), None, m.group(2) and f">={m.group(2)}", m.group(2)
+    seen = set(CMAKE_TOOLS)
+    for name, least in re.findall(r"(?i)find_package\s*\(\s*(\w[\w+-]*)(?:\s+(\d[\w.+-]*))?", text, re.A):
+        if name.lower() not in seen:
+            seen.add(name.lower())
+            yield name, None, f">={least}" if least else None, None
 
 
 def conan(text: str) -> Iterator[Found]:
@@ -104,10 +109,10 @@ def conan(text: str) -> Iterator[Found]:
 
 def vcpkg(text: str) -> Iterator[Found]:
     for d in json.loads(text).get("dependencies", []):
-        d = {"name": d} if isinstance(d, str) else d
+        d = {"name": d} if isinstance(d, str) else d if isinstance(d, dict) else {}
         v = d.get("version>=") or d.get("version")
         if d.get("name"):
-            yield d["name"], None, v and f">={v}", v
+            yield d["name"], None, v and f">={v}", None
 
 
 def foundry(text: str) -> Iterator[Found]:

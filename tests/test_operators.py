@@ -203,10 +203,10 @@ MANIFESTS = {
     "go.mod": ("module m\nrequire (\n github.com/a/b/v2 v1.2.3\n x.io/y v0.1 // indirect\n)\nrequire gitlab.com/c/d v1\n", [("github.com/a/b/v2", "1.2.3"), ("gitlab.com/c/d", "1")]),
     "x/Cargo.toml": ('[dependencies]\na = "1"\nb = {version = "2", git = "u"}\n', [("a", None), ("b", None)]),
     "pom.xml": ("<project xmlns='u'><properties><v>3</v></properties><dependencies><dependency><groupId>g</groupId><artifactId>a</artifactId><version>${v}</version></dependency></dependencies></project>", [("g:a", "3")]),
-    "build.gradle.kts": ('implementation("g:a:1.0")\ntestImplementation("g:a:2.0")\n', [("g:a", "1.0")]),
-    "CMakeLists.txt": ("find_package(ZLIB 1.2)\nFIND_PACKAGE(Threads)\nfind_package(zlib)\n", [("ZLIB", "1.2")]),
+    "build.gradle.kts": ('implementation("g:a:1.0")\ntestImplementation("g:a:2.0")\nksp "g:k:3"\ndebugImplementation(\'g:d\')\nclasspath "g:x:1"\n', [("g:a", "1.0"), ("g:k", "3"), ("g:d", None)]),
+    "CMakeLists.txt": ("find_package(ZLIB 1.2)\nFIND_PACKAGE(Threads)\nfind_package(zlib)\nfind_package(GTest)\nfind_package(Gettext)\n", [("ZLIB", None), ("GTest", None)]),
     "conanfile.txt": ("[requires]\nfmt/9.1@u/c\n[options]\nx/1\n", [("fmt", "9.1")]),
-    "vcpkg.json": ('{"dependencies": ["a", {"name": "b", "version>=": "2"}]}', [("a", None), ("b", "2")]),
+    "vcpkg.json": ('{"dependencies": ["a", {"name": "b", "version>=": "2"}]}', [("a", None), ("b", None)]),
     "foundry.toml": ('[dependencies]\na = "1"\n', [("a", "1")]),
     "gitmodules": ('[submodule "x"]\n\tpath = x\n\turl = https://h/o/name.git\n', [("name", None)]),
     "bad/Cargo.toml": ("[[", []),

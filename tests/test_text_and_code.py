@@ -51,6 +51,7 @@ def test_hunks_modules_mounts_and_calls(spark):
     assert one(spark, "github.com/a/b/v2", text.module_repo) == "https://github.com/a/b" and one(spark, "example.org/a/b", text.module_repo) is None
     assert one(spark, "/src/curl/lib/url.c", text.without_mount) == "lib/url.c" and one(spark, "lib/url.c", text.without_mount) == "lib/url.c"
     assert one(spark, 'f(x); /* g(1) */ if (h (2)) puts("k(3)"); // m(4)\nf(5);', text.called_names) == ["f", "h", "puts"]
+    assert one(spark, 'a("/*"); b(); c("*/"); // "d(\nq("//"); e()', text.called_names) == ["a", "b", "c", "q", "e"]
 
 
 def test_debug_records_in_any_order(spark):

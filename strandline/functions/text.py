@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -172,3 +173,55 @@ def named_function(summary: Column | str) -> Column:
     """The function that a flaw's summary names, a word with an underscore or a capital within; null if none."""
     got = F.regexp_extract(_c(summary), r"(?:before|in|when) ([A-Za-z_]\w*[A-Z_]\w*)", 1)
     return F.when(got != "", got)
+
+
+def moved(registered: Column | str, found: Column | str) -> Column:
+    """"redirects" where the address that answers is another than the registered one, whatever its case, a last slash and
+    .git; else "same"; null where none answers."""
+    bare = lambda c: F.lower(F.regexp_replace(F.regexp_replace(F.trim(_c(c)), r"/+$", ""), r"\.git$", ""))
+    return F.when(bare(found) != bare(registered), "redirects").when(_c(found).isNotNull(), "same")
+
+
+def reply_findings(reply: Column | str) -> Column:
+    """array<struct(vuln_type, severity, summary)> of a scorer's reply: its JSON array, else its one object; null for none.
+
+    Kinds and severities are folded to their names, unknown ones to "other" and "unknown".
+    """
+    kind = "struct<vuln_type:string,severity:string,summary:string>"
+    many = F.from_json(F.regexp_extract(_c(reply), r"(?s)\[\s*\{.*\}\s*\]", 0), f"array<{kind}>")
+    one = F.from_json(F.regexp_extract(_c(reply), r"(?s)\{.*\}", 0), kind)
+    known = lambda x: x.isNotNull() & F.coalesce(x["vuln_type"], x["severity"], x["summary"]).isNotNull()
+    found = F.filter(F.coalesce(many, F.array(one)), known)
+    named = F.transform(found, lambda x: F.struct(folded(x["vuln_type"], VULN_TYPES, "other").alias("vuln_type"), folded(x["severity"], SEVERITIES, "unknown").alias("severity"), x["summary"].alias("summary")))
+    return F.when(F.size(named) > 0, named)
+
+
+_PARTS = re.compile(r'"(?:\\.|[^"\\\n])*"|\'(?:\\.|[^\'\\\n])*\'|//[^\n]*|/\*.*?(?:\*/|\Z)|[{}\n]', re.S)
+
+
+def lines_to_end(source: str, most: int = 2000) -> int:
+    """The line, from 1, in which the braces of a function's source close; 1 where they don't within ``most`` lines."""
+    line, depth, opened = 1, 0, False
+    for m in _PARTS.finditer(source):
+        part = m.group()
+        if part == "{":
+            depth, opened = depth + 1, True
+        elif part == "}":
+            depth -= 1
+            if opened and not depth:
+                return line
+        else:
+            line += part.count("\n")
+            if line > most:
+                break
+    return 1
+
+
+def body_lines(content: Column | str) -> Column:
+    """``lines_to_end`` of each source; null for null."""
+
+    @F.pandas_udf("int")
+    def ends(sources: pd.Series) -> pd.Series:
+        return sources.map(lines_to_end, na_action="ignore").astype("Int32")
+
+    return ends(_c(content))

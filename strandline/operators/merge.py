@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -49,12 +49,6 @@ def last_write_wins(rows: DataFrame, key: Sequence[str], ordinal: str, sticky: S
     return rows.groupBy(*key).agg(F.max_by(F.struct(*rest), ordinal).alias("r"), *(F.bool_or(c).alias(c) for c in sticky)).select(*key, "r.*", *sticky).select(*rows.columns)
 
 
-def best_edges(edges: DataFrame, key: Sequence[str], score: str, ordinal: str) -> DataFrame:
-    """One edge per key: the greatest score, at equal scores the first by ordinal."""
-    rest = [c for c in edges.columns if c not in key]
-    return edges.groupBy(*key).agg(F.max_by(F.struct(*rest), F.struct(F.col(score), -F.col(ordinal))).alias("r")).select(*key, "r.*").select(*edges.columns)
-
-
 def upsert_by_name(old: DataFrame, delta: DataFrame, name: str, same: str) -> tuple[DataFrame, DataFrame]:
     """(rows to append, conflicts): new names are appended; a known name whose ``same`` column differs is a conflict.
 
@@ -89,3 +83,18 @@ def first_of_sources(parts: Sequence[DataFrame], key: str) -> DataFrame:
         one = p.select(key, *rest).withColumn("part", F.lit(i))
         rows = one if rows is None else rows.unionByName(one)
     return rows.groupBy(key).agg(F.min(F.struct("part", *rest)).alias("r")).select(key, *(F.col(f"r.{c}") for c in rest), F.col("r.part").alias("part"))
+
+
+def union_of_parts(parts: Mapping[str, Callable[[], DataFrame]]) -> tuple[DataFrame | None, dict[str, str]]:
+    """(the rows of all parts with their part, what failed): a part that can't be made adds an error and no rows.
+
+    The parts' rows are a bag; all have the same columns. Without a single part that can be made the rows are None.
+    """
+    rows, errors = None, {}
+    for name, make in parts.items():
+        try:
+            one = make().withColumn("part", F.lit(name))
+            rows = one if rows is None else rows.unionByName(one)
+        except Exception as e:  # whatever keeps one part away must not keep away the others
+            errors[name] = str(e)
+    return rows, errors

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 PAGE_MIN, PAGE_MAX, PAGE_DEFAULT = 1, 100, 20
+# Words by which a statement writes.
+WRITES = re.compile(r"\b(?:insert|update|delete|merge|create|drop|alter|truncate|replace|load|cache|uncache|set|reset|refresh|grant|revoke|call|overwrite)\b", re.I)
 
 
 def keyset_page(rows: DataFrame, size: int | None = None, after: tuple | None = None, by: Sequence[str] = ("created_at", "id")) -> DataFrame:
@@ -86,3 +89,24 @@ def in_chunks(rows: DataFrame, key: Sequence[str], by: Sequence[str], size: int
     with its key."""
     counts = rows.groupBy(*key).agg(F.ceil(F.count("*") / size).alias("chunks"))
     return rows.join(counts, list(key)).withColumn("chunk", F.pmod(F.xxhash64(*by), F.col("chunks")).cast("int")).drop("chunks")
+
+
+def page_meta(rows: DataFrame, page: int, size: int) -> DataFrame:
+    """(total, total_pages, has_more) of an offset page, counted from 0."""
+    pages = F.ceil(F.count("*") / F.lit(size)).cast("bigint")
+    return rows.agg(F.count("*").alias("total"), pages.alias("total_pages")).withColumn("has_more", F.lit(page) < F.col("total_pages") - 1)
+
+
+def looked_back(rows: DataFrame, key: Sequence[str], at: str, tie: str, days: int, most: int) -> DataFrame:
+    """The rows of each key within the days before its newest one, at most the ``most`` newest: a first look at a long past."""
+    newest = rows.groupBy(*key).agg(F.max(at).alias("newest"))
+    near = rows.join(newest, list(key)).where(F.col(at) >= F.col("newest") - F.expr(f"interval {days} days")).drop("newest")
+    order = Window.partitionBy(*key).orderBy(F.col(at).desc(), F.col(tie).desc())
+    return near.withColumn("place", F.row_number().over(order)).where(F.col("place") <= most).drop("place")
+
+
+def read_only(spark: SparkSession, sql: str, args: dict | None = None, **tables: DataFrame) -> DataFrame:
+    """The answer to a question in SQL over named DataFrames; one with a word that writes is refused, in any case and place."""
+    if found := WRITES.search(sql):
+        raise ValueError(f"only questions are allowed, not {found.group().upper()}")
+    return spark.sql(sql, args, **tables) if args else spark.sql(sql, **tables)

@@ -217,7 +217,7 @@ def stream_insert_ignore(spark: SparkSession, d: str) -> DataFrame:
     known = ["library_id", "type", "ref"]
     accept = ingest.insert_ignore_into(spark, f"{at}/table", known, "seq")
     ingest.run_available(spark, rows.schema, f"{d.rstrip('/')}/collected_events.parque[t]", f"{at}/state", lambda batch, i: accept(batch.select(*known, "seq").dropna(subset=known), i))
-    return spark.read.parquet(f"{at}/table").select(*known)
+    return spark.read.parquet(f"{at}/table/rows").select(*known)
 
 
 def queries() -> dict:

@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from strandline.operators.merge import insert_ignore
+from strandline.stored import StoredBatches
 
 
 def run_available(spark: SparkSession, schema, source: str, checkpoint: str, on_batch: Callable[[DataFrame, int], None], files_per_batch: int = 1) -> None:
@@ -16,27 +18,28 @@ def run_available(spark: SparkSession, schema, source: str, checkpoint: str, on_
     query.awaitTermination()
 
 
-def insert_ignore_into(spark: SparkSession, target: str, key: Sequence[str], ordinal: str) -> Callable[[DataFrame, int], None]:
-    """A batch function that appends the first row of each new key to a parquet table, partitioned by batch.
+def insert_ignore_into(spark: SparkSession, target: str, key: Sequence[str], ordinal: str, buckets: int = 8) -> Callable[[DataFrame, int], None]:
+    """A batch function that appends the first row of each new key to ``target/rows``, in buckets of the key.
 
-    A batch that is run again after a failure overwrites its own partition and doesn't count itself as known.
+    A micro-batch is met with the buckets that its own keys fall in, not with all that was ever accepted. A batch that is run
+    again after a failure overwrites its own rows and doesn't count itself as known; a complete one changes nothing.
     """
 
     def on_batch(batch: DataFrame, batch_id: int) -> None:
-        try:
-            old = spark.read.parquet(target).where(f"batch_id < {batch_id}")
-        except Exception as e:  # the table doesn't exist before the first batch
-            if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
-                raise
-            old = batch.limit(0)
-        insert_ignore(old, batch, key, ordinal).write.mode("overwrite").parquet(f"{target}/batch_id={batch_id}")
+        table = StoredBatches(spark, target, buckets)
+        table.SCHEMAS = {"rows": ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in batch.schema)}
+        before = table.new_batch(batch_id)
+        if before is None:
+            return
+        hashed = lambda df: df.withColumn("key_hash", F.xxhash64(*key))
+        old = table.read("rows", before, table.touched(hashed(batch), "key_hash") if before else None)
+        table.write("rows", batch_id, hashed(insert_ignore(old, batch, key, ordinal)), "key_hash")
+        table.finish(batch_id)
 
     return on_batch
 
 
 def watermarked_counts(spark: SparkSession, schema, source: str, event_time: str, key: str, lateness: str = "4 days") -> DataFrame:
     """A streaming DataFrame of counts per key and day of event time; later rows than the watermark allows are left out."""
-    from pyspark.sql import functions as F
-
     rows = spark.readStream.schema(schema).parquet(source).withWatermark(event_time, lateness)
     return rows.groupBy(key, F.window(event_time, "1 day").alias("day")).count()

@@ -33,11 +33,13 @@ from pyspark.sql import functions as F
 
 from strandline.session import scratch_path
 
-BUCKETS, MAX_LABELS, ROUNDS = 1 << 16, 20_000, 4
+BUCKETS, MAX_LABELS = 1 << 16, 20_000
+#: Rounds at most, and the mean change of the words' slopes at which they are done.
+ROUNDS, DONE = 12, 0.02
 #: Weight of a word's evidence (words of one sentence aren't independent), of the prior, and of a word's own slope.
 TEMPER, PRIOR_SD, SMOOTH = 0.25, 1.0, 8.0
 LANGS = ("en", "de", "es", "fr", "zh", "other")
-GRID = np.linspace(-4, 4, 161)
+GRID = np.linspace(-8, 8, 161)
 
 WORD = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*")
 CODE = re.compile(r"<[^>\n]{1,200}>|https?://\S+|\S*[_/\\]\S*|\b\w*\d\w*\b|^[ \t]*[$#>].*$|^.*[;{}][ \t]*$", re.M)
@@ -133,7 +135,11 @@ def levels(documents: DataFrame, labels: DataFrame, rounds: int = ROUNDS, max_la
         score = np.array([slope[i, w].sum() for i, w in zip(k, p["words"])])
         n = np.array([len(w) for w in p["words"]])
         gain = TEMPER * (score[:, None] * GRID - n[:, None] * norm[k]) - (GRID - m[:, None]) ** 2 / (2 * PRIOR_SD**2)
-        return GRID[gain.argmax(axis=1)]
+        # the top of the parabola through the best point of the grid and its neighbours
+        best, rows = gain.argmax(axis=1).clip(1, len(GRID) - 2), np.arange(len(gain))
+        left, mid, right = gain[rows, best - 1], gain[rows, best], gain[rows, best + 1]
+        bend = left - 2 * mid + right
+        return GRID[best] + (GRID[1] - GRID[0]) * np.clip(np.where(bend < 0, (left - right) / np.where(bend < 0, 2 * bend, 1), 0), -1, 1)
 
     def sums(model):
         def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -152,7 +158,7 @@ def levels(documents: DataFrame, labels: DataFrame, rounds: int = ROUNDS, max_la
 
         return run
 
-    held, model = docs.where("n_words > 0"), None
+    held, model, before = docs.where("n_words > 0"), None, np.zeros((len(LANGS), BUCKETS))
     for _ in range(rounds):
         added = held.select("doc_id", "lang_", "words", *names).mapInPandas(sums(model), "k int, w int, s0 double, s1 double, s2 double").groupBy("k", "w").agg(F.sum("s0"), F.sum("s1"), F.sum("s2"))
         got = added.toPandas().to_numpy()  # at most one row per language and bucket
@@ -165,18 +171,26 @@ def levels(documents: DataFrame, labels: DataFrame, rounds: int = ROUNDS, max_la
                 continue
             var = max(m2 / n - (m1 / n) ** 2, 1e-3)
             b = (rows[:, 3] / rows[:, 2] - m1 / n) / var * rows[:, 2] / (rows[:, 2] + SMOOTH)
-            b = np.clip(b, -3, 3)
             slope[k, rows[:, 1].astype(int)] = b
-            norm[k] = np.log((rows[:, 2] / n) @ np.exp(np.outer(b, GRID)))
+            power = np.outer(b, GRID)
+            top = power.max(axis=0)
+            norm[k] = np.log((rows[:, 2] / n) @ np.exp(power - top)) + top
         model = sc.broadcast((slope, norm))
+        weights = got[got[:, 1] >= 0]
+        at = weights[:, 0].astype(int), weights[:, 1].astype(int)
+        change, before = np.sqrt(np.average((slope[at] - before[at]) ** 2, weights=weights[:, 2])) if len(weights) else 0.0, slope
+        if change < DONE:
+            break
 
     def final(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in parts:
             yield pd.DataFrame({"doc_id": p["doc_id"], "source": p["source"], "lang": p["lang"], "n_words": p["n_words"], "t": estimate(p, model), "m": prior(p)})
 
-    raw = held.select("doc_id", "source", "lang", "n_words", "lang_", "words", *names).mapInPandas(final, "doc_id bigint, source string, lang string, n_words int, t double, m double")
+    levelled = lambda df: df.select("doc_id", "source", "lang", "n_words", "lang_", "words", *names).mapInPandas(final, "doc_id bigint, source string, lang string, n_words int, t double, m double")
+    raw = levelled(held)
     if len(known):
-        fit = raw.join(F.broadcast(spark.createDataFrame(known[["doc_id", "grade"]])), "doc_id").select("t", "m", "grade").toPandas()  # at most max_labels rows
+        grades = F.broadcast(spark.createDataFrame(known[["doc_id", "grade"]]))  # at most max_labels rows
+        fit = levelled(held.join(grades.select("doc_id"), "doc_id", "left_semi")).join(grades, "doc_id").select("t", "m", "grade").toPandas()
         w = _ridge(_design(fit[["t", "m"]].to_numpy()), fit["grade"].to_numpy())
     else:
         w = np.array([0.0, 1.0, 0.0])

@@ -37,7 +37,7 @@ TAU = 3
 #: Messages need more characters than this to be compared as texts.
 MIN_CHARS = 100
 #: Buckets of the stored tables (hundreds for a long history), and batches in which a table of many runs is taken up.
-BUCKETS, BATCHES = 8, 4
+BUCKETS, BATCHES = 8, 2
 #: What a key stands for: a ref, the ref of a commit, a text.
 OTHER, COMMIT, TEXT = 0, 1, 2
 

@@ -116,28 +116,22 @@ def induced(edges: DataFrame, vertices: DataFrame) -> DataFrame:
     return edges.join(v.withColumnRenamed("vertex", "src"), ["graph", "src"], "left_semi").join(v.withColumnRenamed("vertex", "dst"), ["graph", "dst"], "left_semi")
 
 
-def shortest_paths(edges: DataFrame, starts: DataFrame, max_depth: int = 10, max_results: int = 10, targets: DataFrame | None = None) -> DataFrame:
-    """(graph, start, vertex, depth, rank, path): up to max_results shortest paths from each start to each target, in order.
+def reversed_edges(edges: DataFrame) -> DataFrame:
+    """(graph, src, dst) against the calls, for a search from what is called."""
+    return edges.select("graph", F.col("dst").alias("src"), F.col("src").alias("dst"))
 
-    Without targets (graph, vertex) every vertex is one. A path to a vertex is a path to a vertex one step nearer and the
-    vertex itself, so the first max_results paths of the nearer vertices suffice, and no more are kept; only vertices on the
-    way to a target are followed.
+
+def shortest_paths(edges: DataFrame, starts: DataFrame, max_depth: int = 10, max_results: int = 10) -> DataFrame:
+    """(graph, start, vertex, depth, rank, path): up to max_results shortest paths from each start to each vertex, in order.
+
+    A path to a vertex is a path to a vertex one step nearer and the vertex itself, so the first max_results paths of the
+    nearer vertices suffice, and no more are kept. ``paths_to`` is the way to chosen vertices.
     """
     on = ["graph", "start"]
     starts = starts.select("graph", F.col("vertex").alias("start"), "vertex").distinct()
     depths = checkpointed(reach(edges, starts, max_depth, "start"))
     nearer = depths.select(*on, F.col("vertex").alias("src"), F.col("depth").alias("from_depth"))
     onward = checkpointed(edges.select("graph", "src", "dst").join(nearer, ["graph", "src"]).join(depths.select(*on, F.col("vertex").alias("dst"), "depth"), [*on, "dst"]).where("depth = from_depth + 1").select(*on, "src", "dst", "depth"))
-    if targets is not None:
-        ends = checkpointed(depths.join(targets.select("graph", "vertex").distinct(), ["graph", "vertex"], "left_semi"))
-        needed = None
-        for depth in range(max_depth, 0, -1):
-            here = ends.where(F.col("depth") == depth).select(*on, F.col("vertex").alias("dst"))
-            if needed is not None:
-                here = here.unionByName(needed.select(*on, F.col("src").alias("dst"))).distinct()
-            needed = checkpointed(onward.where(F.col("depth") == depth).join(here, [*on, "dst"], "left_semi"))
-            kept = needed if depth == max_depth else kept.unionByName(needed)
-        onward = kept
     front = checkpointed(starts.select(*on, "vertex", F.lit(0).alias("depth"), F.lit(1).alias("rank"), F.array("vertex").alias("path")))
     found = front
     order = Window.partitionBy(*on, "vertex").orderBy("path")
@@ -148,7 +142,32 @@ def shortest_paths(edges: DataFrame, starts: DataFrame, max_depth: int = 10, max
         if front.isEmpty():
             break
         found = found.unionByName(front)
-    return found if targets is None else found.join(ends.select(*on, "vertex"), [*on, "vertex"], "left_semi").where("depth > 0")
+    return found
+
+
+def paths_to(edges: DataFrame, starts: DataFrame, targets: DataFrame, max_depth: int = 10, max_results: int = 10) -> DataFrame:
+    """The rows of ``shortest_paths`` of one step and more to the targets (graph, vertex) alone.
+
+    One search against the calls tells how far each function is from each target; from the starts on, every step that
+    comes one nearer is on a shortest path, so nothing that leads elsewhere is followed.
+    """
+    at, on = ["graph", "aim"], ["graph", "start", "aim"]
+    aims = targets.select("graph", F.col("vertex").alias("aim"), "vertex").distinct()
+    left = checkpointed(reach(reversed_edges(edges), aims, max_depth, "aim").withColumnRenamed("depth", "left"))
+    src = left.select(*at, F.col("vertex").alias("src"), F.col("left").alias("from_left"))
+    onward = edges.select("graph", "src", "dst").join(src, ["graph", "src"]).join(left.select(*at, F.col("vertex").alias("dst"), "left"), [*at, "dst"])
+    onward = checkpointed(onward.where("left = from_left - 1").select(*at, F.col("src").alias("vertex"), "dst"))
+    first = starts.select("graph", F.col("vertex").alias("start"), "vertex").distinct().join(left.where("left > 0"), ["graph", "vertex"])
+    front = checkpointed(first.select(*on, "vertex", F.col("left").alias("depth"), F.lit(1).alias("rank"), F.array("vertex").alias("path")))
+    found = front.limit(0)
+    order = Window.partitionBy(*on, "vertex").orderBy("path")
+    for _ in range(max_depth):
+        step = front.join(onward, [*at, "vertex"]).select(*on, F.col("dst").alias("vertex"), "depth", F.concat("path", F.array("dst")).alias("path"))
+        front = checkpointed(step.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= max_results).select(*found.columns))
+        if front.isEmpty():
+            break
+        found = found.unionByName(front.where("vertex = aim"))
+    return found.select("graph", "start", "vertex", "depth", "rank", "path")
 
 
 def trails(edges: DataFrame, starts: DataFrame, max_depth: int, max_results: int = 100) -> DataFrame:

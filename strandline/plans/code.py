@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from strandline.functions import text
 from strandline.operators import graph, relational
 from strandline.plans.proxies import view
-from strandline.plans.reference import _ENTRIES, _EDGES, _REACHED, _edges, _entries, _name, _reached
+from strandline.plans.reference import _ENTRIES, _EDGES, _REACHED, HOPS, _edges, _entries, _name, _reached
 from strandline.plans.registry import Registry
+from strandline.session import checkpointed
 from strandline.sources import debug_info, manifests
 from strandline.sources.tables import table
 
@@ -95,16 +96,22 @@ coalesce(h.hit[1], case when p.id is not null then 'main' end) as entry, cast(co
 def reachability_decisions(spark: SparkSession, d: str) -> DataFrame:
     """Whether the function that a vulnerability's summary names can be reached from an entry point of its library.
 
-    One join decides all vulnerabilities: the first entry point by name that reaches the function, in any snapshot. Where
-    none does, the shortest path from a function named main decides, of at most 10 steps.
+    One search against the calls, from all named functions, decides all vulnerabilities: the first entry point by name that
+    reaches the function, in any snapshot. Where none does, the shortest path from a function named main decides, of at
+    most 10 steps.
     """
     v = table(spark, d, "upstream_vulns").where("id is not null").groupBy("id").agg(F.min("library_id").alias("library_id"), text.named_function(F.min("summary")).alias("target"))
-    snapshots = table(spark, d, "function_records").where("library_id is not null and snapshot_id is not null").select("library_id", F.col("snapshot_id").alias("graph")).distinct()
-    name = lambda c: F.split_part(F.col(c), F.lit(graph.SEP), F.lit(1))
-    reached = _reached(spark, d).join(snapshots, "graph").groupBy("library_id", name("vertex").alias("target")).agg(F.min(F.struct(name("entry").alias("entry"), "depth")).alias("hit"))
-    mains = table(spark, d, "function_records").where("name = 'main' and snapshot_id is not null").select(F.col("snapshot_id").alias("graph"), graph.vertex("name", "file_path").alias("vertex"))
-    paths = graph.reach(_edges(spark, d), mains, 10).where("depth > 0").join(snapshots, "graph").groupBy("library_id", name("vertex").alias("target")).agg(F.min("depth").alias("length"))
-    got = v.join(reached, ["library_id", "target"], "left").join(paths, ["library_id", "target"], "left").join(snapshots.select("library_id").distinct().withColumn("known", F.lit(True)), "library_id", "left")
+    f = table(spark, d, "function_records").where("snapshot_id is not null and name is not null").select("library_id", F.col("snapshot_id").alias("graph"), "name", graph.vertex("name", "file_path").alias("vertex"), "is_entry_point").distinct()
+    snapshots = f.where("library_id is not null").select("library_id", "graph").distinct()
+    aims = v.where("target is not null").select("library_id", "target").distinct().join(snapshots, "library_id").join(f.select("graph", F.col("name").alias("target"), F.col("vertex").alias("aim")).distinct(), ["graph", "target"])
+    aims = checkpointed(aims)
+    back = graph.reach(graph.reversed_edges(_edges(spark, d)), aims.select("graph", "aim", F.col("aim").alias("vertex")), HOPS, "aim").where("depth > 0")
+    ends = f.where("is_entry_point or name = 'main'").groupBy("graph", "vertex", "name").agg(F.coalesce(F.bool_or("is_entry_point"), F.lit(False)).alias("starts"))
+    ways = back.join(ends, ["graph", "vertex"]).join(aims, ["graph", "aim"])
+    hit = F.min(F.when(F.col("starts"), F.struct(F.col("name").alias("entry"), "depth")))
+    length = F.min(F.when((F.col("name") == "main") & (F.col("depth") <= 10), F.col("depth")))
+    ways = ways.groupBy("library_id", "target").agg(hit.alias("hit"), length.alias("length"))
+    got = v.join(ways, ["library_id", "target"], "left").join(snapshots.select("library_id").distinct().withColumn("known", F.lit(True)), "library_id", "left")
     strategy = F.when(F.col("target").isNull(), "no_affected_functions").when(F.col("known").isNull(), "library_snapshot_not_found").when(F.col("hit").isNotNull(), "entry_reaches").when(F.col("length").isNotNull(), "shortest_path").otherwise("exhausted")
     entry = F.coalesce("hit.entry", F.when(F.col("length").isNotNull(), "main"))
     return got.select("id", "target", strategy.alias("strategy"), entry.alias("entry"), F.coalesce("hit.depth", "length").alias("depth"))

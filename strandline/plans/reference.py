@@ -327,7 +327,7 @@ def graph_shortest_paths(spark: SparkSession, d: str) -> DataFrame:
     snapshots = table(spark, d, "function_records").where("library_id is not null and snapshot_id is not null and name is not null").select("library_id", F.col("snapshot_id").alias("graph"), "name", "file_path").distinct()
     named = table(spark, d, "upstream_vulns").select("library_id", text.named_function("summary").alias("name")).where("name is not null").distinct()
     targets = snapshots.join(named, ["library_id", "name"]).select("graph", graph.vertex("name", "file_path").alias("vertex"))
-    got = graph.shortest_paths(_edges(spark, d), _entries(spark, d), 10, 10, targets)
+    got = graph.paths_to(checkpointed(_edges(spark, d)), _entries(spark, d), targets)
     return got.withColumn("path", F.array_join(F.transform("path", lambda v: F.split_part(v, F.lit(graph.SEP), F.lit(1))), ">"))
 
 

@@ -182,6 +182,41 @@ def moved(registered: Column | str, found: Column | str) -> Column:
     return F.when(bare(found) != bare(registered), "redirects").when(_c(found).isNotNull(), "same")
 
 
+# A package's links that name its sources, in order of preference.
+SOURCE_LINKS = ("source", "source code", "repository", "github", "code", "homepage")
+
+
+def _on_forge(url: Column) -> Column:
+    return F.coalesce(url.rlike(r"^(?:https?://|git@)(?:www\.)?github\.com[/:][^/\s]+/[^/\s]+"), F.lit(False))
+
+
+def linked_repo(links: Column | str, home: Column | str) -> Column:
+    """The repository among a package's links (map of label to URL): by the labels in SOURCE_LINKS in their order and
+    whatever their case, else the first of any label, else its home page; null where none leads to a repository."""
+    found = F.filter(F.map_entries(_c(links)), lambda e: _on_forge(e["value"]))
+    ranked = F.transform(found, lambda e, i: F.struct(F.coalesce(F.nullif(F.array_position(F.lit(list(SOURCE_LINKS)), F.lower(e["key"])), F.lit(0)), F.lit(99)).alias("place"), i.alias("i"), e["value"].alias("url")))
+    return F.coalesce(F.array_min(ranked)["url"], F.when(_on_forge(_c(home)), _c(home)))
+
+
+def pom_repo(pom: Column | str) -> Column:
+    """The repository that a POM names: the address of its scm, its connections without their prefix, its own address; null
+    where none leads to a repository, and for texts without a project."""
+    bare = F.regexp_replace(_c(pom), r"(?s)<!--.*?-->|<(dependencies|dependencyManagement|build|licenses|developers|organization|parent)\b[^>]*>.*?</\1>", "")
+    scm = F.regexp_extract(bare, r"(?s)<scm\b[^>]*>(.*?)</scm>", 1)
+    own = F.regexp_replace(bare, r"(?s)<scm\b[^>]*>.*?</scm>", "")
+    tag = lambda text, name: F.trim(F.regexp_extract(text, rf"(?s)<{name}>(.*?)</{name}>", 1))
+    plain = lambda c: F.regexp_replace(F.regexp_replace(c, "^scm:(?:git|svn):", ""), r"^git://github\.com/", "https://github.com/")
+    ways = [tag(scm, "url"), plain(tag(scm, "connection")), plain(tag(scm, "developerConnection")), tag(own, "url")]
+    return F.when(bare.contains("<project"), F.coalesce(*(F.when(_on_forge(w), w) for w in ways)))
+
+
+def line_slice(content: Column | str, first: Column | str, last: Column | str) -> Column:
+    """The lines first to last, from 1, of a text; null where the text has no line first or any of them is null."""
+    lines = F.split(_c(content), "\n")
+    inside = (_c(first) >= 1) & (_c(first) <= F.size(lines)) & (_c(last) >= _c(first))
+    return F.when(inside, F.array_join(F.slice(lines, F.greatest(_c(first), F.lit(1)), F.greatest(_c(last) - _c(first) + 1, F.lit(0))), "\n"))
+
+
 def reply_findings(reply: Column | str) -> Column:
     """array<struct(vuln_type, severity, summary)> of a scorer's reply: its JSON array, else its one object; null for none.
 

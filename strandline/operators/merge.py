@@ -26,6 +26,18 @@ def upsert(old: DataFrame, delta: DataFrame, key: Sequence[str], changes: Mappin
     return o.join(n, list(key), "full").select(*key, *(value(c).alias(c) for c in rest)).select(*old.columns)
 
 
+def patched(old: DataFrame, patches: DataFrame, key: Sequence[str], clearable: Sequence[str] = ()) -> DataFrame:
+    """Old rows with the fields that a patch names in its array column ``fields`` set to the patch's values.
+
+    A field that isn't named stays, whatever the patch holds for it. A null that is named empties the columns in clearable
+    and leaves others as they are. Patches hold a key once; one without an old row, or with null fields, changes nothing.
+    """
+    columns = [c for c in patches.columns if c not in key and c != "fields"]
+    joined = old.join(patches.select(*key, F.col("fields").alias("_fields"), F.struct(*columns).alias("_to")), list(key), "left")
+    named = lambda c: F.array_contains("_fields", c) & (F.lit(c in clearable) | F.col(f"_to.{c}").isNotNull())
+    return joined.withColumns({c: F.when(named(c), F.col(f"_to.{c}")).otherwise(F.col(c)) for c in columns}).select(*old.columns)
+
+
 def keep_value(column: str, value: str) -> Column:
     """For ``upsert``: the new value, but a given old value stays."""
     return F.when(F.col(f"o.{column}") == value, F.lit(value)).when(F.col("n").isNotNull(), F.col(f"n.{column}")).otherwise(F.col(f"o.{column}"))

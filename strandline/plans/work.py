@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strandline.functions import text
-from strandline.operators import merge, relational
+from strandline.operators import graph, merge, relational
 from strandline.plans.code import BACKENDS
 from strandline.plans.records import _rule_sql
 from strandline.plans.registry import Registry
+from strandline.sources import debug_info, dot
 from strandline.sources.tables import table
 
 query = Registry()
@@ -140,6 +141,78 @@ def libraries_asked(spark: SparkSession, d: str) -> DataFrame:
     return relational.read_only(spark, "select ecosystem, collect_status, count(*) as libraries from {libraries} where name is not null group by 1, 2", libraries=table(spark, d, "libraries"))
 
 
+@query("""select snapshot_id, name, start_line, md5(array_to_string(list_slice(string_split(content, chr(10)), 1, end_line - start_line + 1), chr(10))) as source
+from (select distinct snapshot_id, file_path, name, start_line, end_line, content from function_records where content <> '' and snapshot_id is not null and end_line >= start_line)""")
+def source_slices(spark: SparkSession, d: str) -> DataFrame:
+    """The lines that each record claims for its function, cut from its text."""
+    f = table(spark, d, "function_records").where("content <> '' and snapshot_id is not null and end_line >= start_line")
+    f = f.select("snapshot_id", "file_path", "name", "start_line", "end_line", "content").distinct()
+    return f.select("snapshot_id", "name", "start_line", F.md5(text.line_slice("content", F.lit(1), F.col("end_line") - F.col("start_line") + 1)).alias("source"))
+
+
+@query("""with f as (select distinct snapshot_id, name, file_path, start_line, function_id from function_records where snapshot_id is not null and trim(file_path) <> '' and name <> ''),
+u as (select snapshot_id, name, file_path, start_line, function_id from f union all select snapshot_id, concat('_Z', cast(length(name) as varchar), name, 'v'), file_path, start_line, function_id from f),
+l as (select * from (select *, row_number() over (partition by snapshot_id, name order by function_id desc, file_path desc, start_line desc nulls last) as rn from u) where rn = 1),
+a as (select distinct snapshot_id, callee as name from call_edges where snapshot_id is not null and callee <> '' union select distinct snapshot_id, concat('_Z', cast(length(caller) as varchar), caller, 'v') from call_edges where snapshot_id is not null and caller <> '')
+select a.snapshot_id, a.name, l.file_path, l.start_line, l.name is null as is_external from a left join l on l.snapshot_id = a.snapshot_id and l.name = a.name""")
+def functions_debugged(spark: SparkSession, d: str) -> DataFrame:
+    """Called functions by their names in the source and callers by those in the module, with the last debug record of each."""
+    f = table(spark, d, "function_records").where("snapshot_id is not null and trim(file_path) <> '' and name <> ''").select("snapshot_id", "name", "file_path", "start_line", "function_id").distinct()
+    mangled = lambda c: F.concat(F.lit("_Z"), F.length(c).cast("string"), F.col(c), F.lit("v"))
+    metas = f.select("snapshot_id", mangled("name").alias("ir_name"), F.col("name").alias("original_name"), "file_path", "start_line", F.struct("function_id", "file_path", "start_line").alias("ordinal"))
+    e = table(spark, d, "call_edges").where("snapshot_id is not null")
+    asked = e.where("callee <> ''").select("snapshot_id", F.col("callee").alias("name")).unionByName(e.where("caller <> ''").select("snapshot_id", mangled("caller").alias("name"))).distinct()
+    return debug_info.with_debug(asked, metas, "snapshot_id", "ordinal")
+
+
+@query("with x as (select snapshot_id, caller, callee from call_edges where snapshot_id is not null and trim(caller) <> '' and trim(callee) <> '' and caller <> callee) select snapshot_id, caller as name from x union select snapshot_id, callee from x")
+def dot_function_names(spark: SparkSession, d: str) -> DataFrame:
+    """Each snapshot's graph is written as DOT and the names of its functions are read back."""
+    e = graph.plain_edges(table(spark, d, "call_edges")).select(F.col("graph").alias("snapshot_id"), F.col("src").alias("caller"), F.col("dst").alias("callee"))
+    return dot.dot_names(dot.dot_text(e, "snapshot_id"), "snapshot_id", "text")
+
+
+# ---- lists and patches ----
+@query("select id, name, ecosystem, repo_url from libraries order by name, id")
+def libraries_in_order(spark: SparkSession, d: str) -> DataFrame:
+    """All libraries in order of name."""
+    return table(spark, d, "libraries").select("id", "name", "ecosystem", "repo_url").orderBy("name", "id")
+
+
+@query("select snapshot_id, name, string_agg(distinct file_path, ',' order by file_path) as files, count(distinct file_path) as file_count from function_records where is_entry_point and snapshot_id is not null and name is not null and trim(file_path) <> '' group by 1, 2")
+def fuzzers_listed(spark: SparkSession, d: str) -> DataFrame:
+    """The entry points of each snapshot, standing for fuzzers, with their files, in order of name."""
+    f = table(spark, d, "function_records").where("is_entry_point and snapshot_id is not null and name is not null and trim(file_path) <> ''").select("snapshot_id", "name", "file_path").distinct()
+    got = f.groupBy("snapshot_id", "name").agg(F.array_sort(F.collect_list("file_path")).alias("files"))  # the files of one name in one snapshot
+    return got.select("snapshot_id", "name", F.array_join("files", ",").alias("files"), F.size("files").cast("bigint").alias("file_count")).orderBy("snapshot_id", "name")
+
+
+@query("""with s as (select distinct library_id, snapshot_id from function_records where library_id is not null and snapshot_id is not null and source_backend = 'svf'),
+r as (select library_id, max(started_at) as last_accessed from collect_results group by 1)
+select s.snapshot_id, s.library_id, r.last_accessed from s left join r on r.library_id = s.library_id order by r.last_accessed desc nulls last, s.snapshot_id""")
+def snapshots_listed(spark: SparkSession, d: str) -> DataFrame:
+    """Snapshots of one backend, those of the libraries that were visited last first."""
+    s = table(spark, d, "function_records").where("library_id is not null and snapshot_id is not null and source_backend = 'svf'").select("library_id", "snapshot_id").distinct()
+    r = table(spark, d, "collect_results").groupBy("library_id").agg(F.max("started_at").alias("last_accessed"))
+    return s.join(r, "library_id", "left").select("snapshot_id", "library_id", "last_accessed").orderBy(F.desc_nulls_last("last_accessed"), "snapshot_id")
+
+
+@query("""with c as (select project_id, version_used, is_affected, row_number() over (partition by project_id order by created_at desc, id desc, coalesce(version_used, '') desc, coalesce(is_affected, false) desc) as rn from client_impacts where project_id is not null and id is not null and created_at is not null),
+o as (select distinct id, organization, default_branch, current_version from projects where id is not null)
+select o.id, case when c.is_affected then null else o.organization end as organization, o.default_branch, coalesce(c.version_used, o.current_version) as current_version from o left join c on c.project_id = o.id and c.rn = 1""")
+def projects_patched(spark: SparkSession, d: str) -> DataFrame:
+    """Projects after a patch of each from its newest impact: the version, and for affected ones the organization is emptied
+    and the branch, which can't be emptied, stays."""
+    c = table(spark, d, "client_impacts").where("project_id is not null and id is not null and created_at is not null")
+    order = F.struct("created_at", "id", F.coalesce("version_used", F.lit("")), F.coalesce("is_affected", F.lit(False)))
+    c = c.groupBy(F.col("project_id").alias("id")).agg(F.max_by(F.struct("version_used", "is_affected"), order).alias("r")).select("id", "r.*")
+    none = F.lit(None).cast("string")
+    fields = F.when(F.col("is_affected"), F.array(*map(F.lit, ("current_version", "organization", "default_branch")))).otherwise(F.array(F.lit("current_version")))
+    patches = c.select("id", F.col("version_used").alias("current_version"), none.alias("organization"), none.alias("default_branch"), fields.alias("fields"))
+    old = table(spark, d, "projects").where("id is not null").select("id", "organization", "default_branch", "current_version").distinct()
+    return merge.patched(old, patches, ["id"], ["organization"])
+
+
 def queries() -> dict:
     return dict(query.queries)
 

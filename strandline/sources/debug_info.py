@@ -31,6 +31,20 @@ def debug_functions(texts: DataFrame, key: str, text: str) -> DataFrame:
     return subs.where("name <> ''").join(files, [key, "file"], "left").select(key, "name", "linkage_name", "file_path", "line")
 
 
+def with_debug(functions: DataFrame, metas: DataFrame, key: str, ordinal: str) -> DataFrame:
+    """functions (key, name) with what the debug records (key, ir_name, original_name, ordinal, ...) say of them.
+
+    A record stands under its name in the module and, where that is another, under its name in the source; of several
+    under one name the last by ordinal holds. A function without a record is external: all its other columns are null.
+    Null and blank names are none.
+    """
+    rest = [c for c in metas.columns if c not in (key, "ir_name", "original_name", ordinal)]
+    names = F.array_distinct(F.array("ir_name", "original_name"))
+    under = metas.select(key, F.explode(names).alias("name"), ordinal, *rest).where("name <> ''")
+    last = under.groupBy(key, "name").agg(F.max_by(F.struct(*rest), ordinal).alias("m"))
+    return functions.join(last, [key, "name"], "left").select(*functions.columns, *(F.col(f"m.{c}").alias(c) for c in rest), F.col("m").isNull().alias("is_external"))
+
+
 def debug_text(functions: DataFrame, key: str) -> DataFrame:
     """(key, text): functions (key, name, file_path, line) written as modules' debug records, in texts of a
     bounded number of lines."""

@@ -7,18 +7,25 @@ from pyspark.sql import functions as F
 
 from strandline.operators.relational import in_chunks
 
+NODE = r'^\s*"?(\w+)"?\s*\[.*label="\{?(?:fun: )?([^"{}\\|]+)'
+
 
 def dot_edges(texts: DataFrame, key: str, text: str) -> DataFrame:
     """(key, caller, callee) of DOT texts, one or several a key: labelled nodes joined to both ends, unknown ends and loops dropped."""
     lines = texts.select(key, F.explode(F.split(text, "\n")).alias("line"))
-    node = r'^\s*"?(\w+)"?\s*\[.*label="\{?(?:fun: )?([^"{}\\|]+)'
-    nodes = lines.where(F.col("line").rlike(node)).select(key, F.regexp_extract("line", node, 1).alias("n"), F.trim(F.regexp_extract("line", node, 2)).alias("name")).dropDuplicates([key, "n"])
+    nodes = lines.where(F.col("line").rlike(NODE)).select(key, F.regexp_extract("line", NODE, 1).alias("n"), F.trim(F.regexp_extract("line", NODE, 2)).alias("name")).dropDuplicates([key, "n"])
     edge = r'^\s*"?(\w+)"?(?::\w+)?\s*->\s*"?(\w+)"?'
     edges = lines.where(F.col("line").rlike(edge)).select(key, F.regexp_extract("line", edge, 1).alias("a"), F.regexp_extract("line", edge, 2).alias("b"))
     named = edges.join(nodes.select(key, F.col("n").alias("a"), F.col("name").alias("caller")), [key, "a"]).join(nodes.select(key, F.col("n").alias("b"), F.col("name").alias("callee")), [key, "b"])
     return named.where("caller <> callee").select(key, "caller", "callee").distinct()
 
 
+def dot_names(texts: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, name): the distinct labels of the nodes in DOT texts, also of nodes without an edge."""
+    lines = texts.select(key, F.explode(F.split(text, "\n")).alias("line")).where(F.col("line").rlike(NODE))
+    return lines.select(key, F.trim(F.regexp_extract("line", NODE, 2)).alias("name")).distinct()
+
+
 def typed_edges(final: DataFrame, initial: DataFrame, key: str) -> DataFrame:
     """The final edges: direct where the initial graph has them, else through a function pointer."""
     known = initial.select(key, "caller", "callee").distinct().withColumn("direct", F.lit(True))

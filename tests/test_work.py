@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from strandline.functions import text
 from strandline.operators import merge, relational
-from strandline.sources import files, manifests
+from strandline.sources import debug_info, dot, files, manifests
 from strandline.streaming.ingest import insert_ignore_into, watermarked_counts
 
 
@@ -103,3 +103,42 @@ def test_watermarked_counts(spark, tmp_path):
     q = counts.writeStream.format("memory").queryName("late_counts").outputMode("complete").trigger(availableNow=True).start()
     q.awaitTermination()
     assert sorted(r["count"] for r in spark.table("late_counts").collect()) == [3, 3]
+
+
+def test_patches_set_the_fields_they_name(spark):
+    old = spark.createDataFrame([(1, "a", "x"), (2, "b", "y"), (3, None, "z"), (4, "d", "w")], "id int, must string, may string")
+    patches = spark.createDataFrame([(1, None, None, ["must", "may"]), (2, "B", None, ["must"]), (3, "C", "Z", ["may"]), (4, "D", "W", None), (9, "n", "n", ["must"])], "id int, must string, may string, fields array<string>")
+    got = merge.patched(old, patches, ["id"], ["may"])
+    assert sorted(tuple(r) for r in got.collect()) == [(1, "a", None), (2, "B", "y"), (3, None, "Z"), (4, "d", "w")]
+    assert merge.patched(old.limit(0), patches, ["id"]).count() == 0 and merge.patched(old, patches.limit(0), ["id"]).count() == 4
+
+
+def test_debug_records_under_both_names(spark):
+    f = spark.createDataFrame([("m", n) for n in ("init.1", "init", "gone", "run")], "k string, name string")
+    metas = spark.createDataFrame([("m", "init", "init", 1, "a.c"), ("m", "init.1", "init", 2, "b.c"), ("m", "run", None, 3, "c.c"), ("m", "", None, 4, "d.c"), ("x", "gone", "gone", 5, "e.c")], "k string, ir_name string, original_name string, n int, file_path string")
+    got = debug_info.with_debug(f, metas, "k", "n")
+    assert {(r["name"], r.file_path, r.is_external) for r in got.collect()} == {("init.1", "b.c", False), ("init", "b.c", False), ("gone", None, True), ("run", "c.c", False)}
+    assert debug_info.with_debug(f, metas.limit(0), "k", "n").where("is_external").count() == 4
+
+
+def test_repositories_of_packages(spark):
+    gh = "https://github.com/o/"
+    links = [({"Docs": gh + "docs", "homepage": gh + "home", "SOURCE": gh + "src"}, None, gh + "src"), ({"Source": "https://x.example/a/b", "Tracker": gh + "t/issues"}, gh + "h", gh + "t/issues"), ({}, gh + "h", gh + "h"), (None, "https://x.example", None), (None, None, None)]
+    got = spark.createDataFrame(links, "links map<string,string>, home string, want string").select(text.linked_repo("links", "home"), "want").collect()
+    assert [r[0] for r in got] == [r[1] for r in got]
+    poms = [
+        (f"<project><url>{gh}own</url><scm><url>{gh}scm</url></scm></project>", gh + "scm"),
+        ("<project><scm><url>https://x.example</url><connection>scm:git:git://github.com/o/c.git</connection></scm></project>", gh + "c.git"),
+        (f"<project><licenses><license><url>{gh}licence</url></license></licenses><url>{gh}own</url></project>", gh + "own"),
+        (f"<!-- <project> --><url>{gh}own</url>", None), ("", None), (None, None),
+    ]
+    got = spark.createDataFrame(poms, "pom string, want string").select(text.pom_repo("pom"), "want").collect()
+    assert [r[0] for r in got] == [r[1] for r in got]
+
+
+def test_slices_of_lines_and_names_in_graphs(spark):
+    rows = [("a\nb\nc", 2, 3, "b\nc"), ("a\nb", 2, 9, "b"), ("a", 2, 2, None), ("a", 0, 1, None), ("", 1, 1, ""), (None, 1, 1, None), ("a", None, 1, None)]
+    got = spark.createDataFrame(rows, "t string, a int, b int, want string").select(text.line_slice("t", "a", "b"), "want").collect()
+    assert [r[0] for r in got] == [r[1] for r in got]
+    t = spark.createDataFrame([("g", 'digraph {\n N1 [shape=record,label="{main}"];\n N2 [label="{fun: lone}"];\n N1 -> N1;\n}'), ("h", None)], "k string, t string")
+    assert {tuple(r) for r in dot.dot_names(t, "k", "t").collect()} == {("g", "main"), ("g", "lone")}

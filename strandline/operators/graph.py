@@ -2,7 +2,7 @@
 
 A vertex is a function of a snapshot, by name and file, as one string (``vertex``). Each step is one join of the frontier
 with the edges and an anti join with what is known, both by (graph, vertex), and is checkpointed, so the plan doesn't grow
-with the depth. A callee that holds a tenth of all edges is met once per graph and step, as frontiers hold distinct vertices.
+with the depth. A frontier that was counted and is small is broadcast, so that its step doesn't shuffle all edges. A callee that holds a tenth of all edges is met once per graph and step, as frontiers hold distinct vertices.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ from strandline.session import checkpointed
 
 
 SEP = "\x1f"
+BROADCAST_ROWS = 100_000  # a frontier of at most so many rows, of some hundred bytes each, goes to the edges; beyond, both are shuffled
 
 
 def vertex(name: Column | str, file: Column | str) -> Column:
@@ -92,6 +93,10 @@ def plain_edges(edges: DataFrame) -> DataFrame:
     return edges.where("snapshot_id is not null and trim(caller) <> '' and trim(callee) <> '' and caller <> callee").select(F.col("snapshot_id").alias("graph"), F.col("caller").alias("src"), F.col("callee").alias("dst")).distinct()
 
 
+def _to_edges(front: DataFrame, rows: int) -> DataFrame:
+    return F.broadcast(front) if rows <= BROADCAST_ROWS else front
+
+
 def reach(edges: DataFrame, starts: DataFrame, max_depth: int = 50, tag: str | None = None) -> DataFrame:
     """(graph, [tag,] vertex, depth): least number of steps from any start (graph, [tag,] vertex), at most max_depth.
 
@@ -100,11 +105,11 @@ def reach(edges: DataFrame, starts: DataFrame, max_depth: int = 50, tag: str | N
     on = ["graph", *([tag] if tag else []), "vertex"]
     e = checkpointed(edges.select("graph", F.col("src").alias("vertex"), "dst"))
     front = checkpointed(starts.select(*on).distinct().withColumn("depth", F.lit(0)))
-    seen = front
+    seen, rows = front, front.count()
     for depth in range(1, max_depth + 1):
-        step = front.drop("depth").join(e, ["graph", "vertex"]).drop("vertex").withColumnRenamed("dst", "vertex").select(*on).distinct()
+        step = _to_edges(front.drop("depth"), rows).join(e, ["graph", "vertex"]).drop("vertex").withColumnRenamed("dst", "vertex").select(*on).distinct()
         front = checkpointed(step.join(seen, on, "left_anti").withColumn("depth", F.lit(depth)))
-        if front.isEmpty():
+        if not (rows := front.count()):
             break
         seen = seen.unionByName(front)
     return seen
@@ -159,12 +164,12 @@ def paths_to(edges: DataFrame, starts: DataFrame, targets: DataFrame, max_depth:
     onward = checkpointed(onward.where("left = from_left - 1").select(*at, F.col("src").alias("vertex"), "dst"))
     first = starts.select("graph", F.col("vertex").alias("start"), "vertex").distinct().join(left.where("left > 0"), ["graph", "vertex"])
     front = checkpointed(first.select(*on, "vertex", F.col("left").alias("depth"), F.lit(1).alias("rank"), F.array("vertex").alias("path")))
-    found = front.limit(0)
+    found, rows = front.limit(0), front.count()
     order = Window.partitionBy(*on, "vertex").orderBy("path")
     for _ in range(max_depth):
-        step = front.join(onward, [*at, "vertex"]).select(*on, F.col("dst").alias("vertex"), "depth", F.concat("path", F.array("dst")).alias("path"))
+        step = _to_edges(front, rows).join(onward, [*at, "vertex"]).select(*on, F.col("dst").alias("vertex"), "depth", F.concat("path", F.array("dst")).alias("path"))
         front = checkpointed(step.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= max_results).select(*found.columns))
-        if front.isEmpty():
+        if not (rows := front.count()):
             break
         found = found.unionByName(front.where("vertex = aim"))
     return found.select("graph", "start", "vertex", "depth", "rank", "path")

@@ -53,6 +53,17 @@ def test_functions_of_one_name_are_vertices_of_their_own(spark):
     assert none.count() == 0 and graph.asked_functions(f.limit(0), asked).where("status = 'missing'").count() == 5
 
 
+def test_small_and_large_frontiers_give_the_same(spark, monkeypatch):
+    e = spark.createDataFrame([("g", f"v{i}", f"v{j}") for i in range(12) for j in (i + 1, (i * i) % 12)], "graph string, src string, dst string")
+    s = spark.createDataFrame([("g", "v2", "x"), ("g", "v7", "y")], "graph string, vertex string, tag string")
+    goal = spark.createDataFrame([("g", "v12")], "graph string, vertex string")
+    got = []
+    for rows in (100_000, 0):
+        monkeypatch.setattr(graph, "BROADCAST_ROWS", rows)
+        got.append([sorted(map(tuple, df.collect())) for df in (graph.reach(e, s, 50, "tag"), graph.paths_to(e, s, goal))])
+    assert got[0] == got[1] and all(got[0])
+
+
 def test_paths_to_targets_alone_are_those_of_all(spark):
     pairs = [("a", "b"), ("a", "c"), ("b", "d"), ("c", "d"), ("d", "e"), ("a", "a"), ("x", "d"), ("e", "f")]
     e = spark.createDataFrame([("g", s, d) for s, d in pairs], "graph string, src string, dst string")

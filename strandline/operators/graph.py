@@ -35,6 +35,20 @@ def known_functions(functions: DataFrame) -> DataFrame:
     return f.where("file <> ''").select("snapshot_id", "name", F.col("file").alias("wanted"), "file").unionByName(f.groupBy("snapshot_id", "name").agg(F.min("file").alias("file")).select("snapshot_id", "name", F.lit("").alias("wanted"), "file"))
 
 
+def _with_ends(edges: DataFrame, functions: DataFrame, *more: Column | str) -> DataFrame:
+    """The edges with a known function at both ends, repeated ones too."""
+    e = edges.select("snapshot_id", "caller", "callee", *more, *(F.coalesce(F.trim(f"{x}_file"), F.lit("")).alias(f"{x}_wanted") for x in ("caller", "callee")))
+    known = known_functions(functions)
+    for x in ("callee", "caller"):
+        e = e.join(known.select("snapshot_id", F.col("name").alias(x), F.col("wanted").alias(f"{x}_wanted"), F.col("file").alias(f"{x}_file")), ["snapshot_id", x, f"{x}_wanted"])
+    return e
+
+
+def call_steps(edges: DataFrame, functions: DataFrame) -> DataFrame:
+    """(graph, src, dst) of the edges that ``resolved_edges`` gives, repeated ones too: enough for a search, and a shuffle less."""
+    return _with_ends(edges, functions).select(F.col("snapshot_id").alias("graph"), vertex("caller", "caller_file").alias("src"), vertex("callee", "callee_file").alias("dst"))
+
+
 def resolved_edges(edges: DataFrame, functions: DataFrame) -> DataFrame:
     """(snapshot_id, caller, caller_file, callee, callee_file, call_type, confidence, backend), both ends functions of the snapshot.
 
@@ -42,10 +56,7 @@ def resolved_edges(edges: DataFrame, functions: DataFrame) -> DataFrame:
     with an unknown end are dropped; of equal edges the greatest confidence stays, of these the first. Calls of a function
     to itself are edges like others.
     """
-    e = edges.select("edge_id", "snapshot_id", "caller", "callee", "call_type", "confidence", F.col("source_backend").alias("backend"), *(F.coalesce(F.trim(f"{x}_file"), F.lit("")).alias(f"{x}_wanted") for x in ("caller", "callee")))
-    known = known_functions(functions)
-    for x in ("callee", "caller"):
-        e = e.join(known.select("snapshot_id", F.col("name").alias(x), F.col("wanted").alias(f"{x}_wanted"), F.col("file").alias(f"{x}_file")), ["snapshot_id", x, f"{x}_wanted"])
+    e = _with_ends(edges, functions, "edge_id", "call_type", "confidence", F.col("source_backend").alias("backend"))
     best = F.max_by(F.struct("call_type", "confidence", "backend"), F.struct("confidence", -F.col("edge_id")))
     return e.groupBy("snapshot_id", "caller", "caller_file", "callee", "callee_file").agg(best.alias("r")).select("snapshot_id", "caller", "caller_file", "callee", "callee_file", "r.*")
 
@@ -100,7 +111,7 @@ def _to_edges(front: DataFrame, rows: int) -> DataFrame:
 def reach(edges: DataFrame, starts: DataFrame, max_depth: int = 50, tag: str | None = None) -> DataFrame:
     """(graph, [tag,] vertex, depth): least number of steps from any start (graph, [tag,] vertex), at most max_depth.
 
-    With a tag every tag has its own search, all of them in the same steps.
+    With a tag every tag has its own search, all of them in the same steps. Repeated edges and starts change nothing.
     """
     on = ["graph", *([tag] if tag else []), "vertex"]
     e = checkpointed(edges.select("graph", F.col("src").alias("vertex"), "dst"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from strandline.functions import text
 from strandline.operators import graph, relational
 from strandline.plans.proxies import view
-from strandline.plans.reference import _ENTRIES, _EDGES, _REACHED, HOPS, _edges, _entries, _name, _reached
+from strandline.plans.reference import _ENTRIES, _EDGES, _REACHED, HOPS, _entries, _name, _reached, _steps
 from strandline.plans.registry import Registry
 from strandline.session import checkpointed
 from strandline.sources import debug_info, manifests
@@ -105,7 +105,7 @@ def reachability_decisions(spark: SparkSession, d: str) -> DataFrame:
     snapshots = f.where("library_id is not null").select("library_id", "graph").distinct()
     aims = v.where("target is not null").select("library_id", "target").distinct().join(snapshots, "library_id").join(f.select("graph", F.col("name").alias("target"), F.col("vertex").alias("aim")).distinct(), ["graph", "target"])
     aims = checkpointed(aims)
-    back = graph.reach(graph.reversed_edges(_edges(spark, d)), aims.select("graph", "aim", F.col("aim").alias("vertex")), HOPS, "aim").where("depth > 0")
+    back = graph.reach(graph.reversed_edges(_steps(spark, d)), aims.select("graph", "aim", F.col("aim").alias("vertex")), HOPS, "aim").where("depth > 0")
     ends = f.where("is_entry_point or name = 'main'").groupBy("graph", "vertex", "name").agg(F.coalesce(F.bool_or("is_entry_point"), F.lit(False)).alias("starts"))
     ways = back.join(ends, ["graph", "vertex"]).join(aims, ["graph", "aim"])
     hit = F.min(F.when(F.col("starts"), F.struct(F.col("name").alias("entry"), "depth")))
@@ -126,7 +126,7 @@ def graph_helper_calls(spark: SparkSession, d: str) -> DataFrame:
     f = table(spark, d, "function_records").where("trim(file_path) <> '' and snapshot_id is not null and name is not null").select(F.col("snapshot_id").alias("graph"), graph.vertex("name", "file_path").alias("vertex"), "file_path").distinct()
     s = _entries(spark, d)
     own = f.join(s, ["graph", "vertex"]).select("graph", F.col("vertex").alias("start"), "file_path").join(f, ["graph", "file_path"]).where("vertex <> start")
-    got = graph.through_helpers(_edges(spark, d), s, own)
+    got = graph.through_helpers(_steps(spark, d), s, own)
     return graph.named(graph.named(got, "start", "start", "start_file"), "callee", "callee", "callee_file")
 
 

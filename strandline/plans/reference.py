@@ -259,6 +259,11 @@ def _edges(spark: SparkSession, d: str) -> DataFrame:
     return graph.vertex_edges(_resolved(spark, d))
 
 
+def _steps(spark: SparkSession, d: str) -> DataFrame:
+    """The edges for a search, repeated ones too."""
+    return graph.call_steps(table(spark, d, "call_edges"), table(spark, d, "function_records"))
+
+
 def _entries(spark: SparkSession, d: str) -> DataFrame:
     """All entry points of all snapshots (graph, vertex)."""
     f = table(spark, d, "function_records").where("is_entry_point and snapshot_id is not null and name is not null")
@@ -302,7 +307,7 @@ def calls_callers(spark: SparkSession, d: str) -> DataFrame:
 @query(f"with recursive {_REACH} select graph, {_name('vertex')}, depth from m")
 def graph_bfs_reaches(spark: SparkSession, d: str) -> DataFrame:
     """The least depth of every function from any entry point of its snapshot."""
-    return graph.named(graph.reach(_edges(spark, d), _entries(spark, d), HOPS), "vertex", "name", "file")
+    return graph.named(graph.reach(_steps(spark, d), _entries(spark, d), HOPS), "vertex", "name", "file")
 
 
 @query(f"with recursive {_REACH.replace(f'r.depth < {HOPS}', 'r.depth < 3')} select e.graph, {_name('e.src', 'caller', 'caller_file')}, {_name('e.dst', 'callee', 'callee_file')}, e.call_type from e join m a on a.graph = e.graph and a.vertex = e.src join m b on b.graph = e.graph and b.vertex = e.dst")
@@ -317,7 +322,7 @@ def graph_subtree(spark: SparkSession, d: str) -> DataFrame:
 def graph_unreached(spark: SparkSession, d: str) -> DataFrame:
     """Functions with a source that no entry point of their snapshot reaches."""
     f = table(spark, d, "function_records").where("snapshot_id is not null and name is not null and trim(file_path) <> ''").select(F.col("snapshot_id").alias("graph"), graph.vertex("name", "file_path").alias("vertex")).distinct()
-    return graph.named(f.join(graph.reach(_edges(spark, d), _entries(spark, d), HOPS), ["graph", "vertex"], "left_anti"), "vertex", "name", "file")
+    return graph.named(f.join(graph.reach(_steps(spark, d), _entries(spark, d), HOPS), ["graph", "vertex"], "left_anti"), "vertex", "name", "file")
 
 
 @query()
@@ -347,7 +352,7 @@ _REACHED = f"{_EDGES}, {_ENTRIES}, r as (select graph, entry, entry as vertex, 0
 
 def _reached(spark: SparkSession, d: str) -> DataFrame:
     """(graph, entry, vertex, depth) of every function that an entry point reaches."""
-    return graph.reach(_edges(spark, d), _entries(spark, d).withColumn("entry", F.col("vertex")), HOPS, "entry").where("depth > 0")
+    return graph.reach(_steps(spark, d), _entries(spark, d).withColumn("entry", F.col("vertex")), HOPS, "entry").where("depth > 0")
 
 
 @query(f"""with recursive {_REACHED}, v as (select snapshot_id as graph, count(*) as functions, count(*) filter (where trim(file) = '') as externals from f group by 1),
